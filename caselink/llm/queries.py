@@ -1,6 +1,9 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
 from caselink.llm.minhash_dedup import op1_minhash_near_dedup
+from caselink.llm.mixing import OP4_SQL, op4_mixing_water_filling
+from caselink.llm.pii import op2_pii_anchor_expansion
+from caselink.llm.toxicity import op10_toxicity_kneser_ney
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_anchor_expansion, op4_mixing_water_filling, op10_toxicity_kneser_ney)}
+ORACLES: dict[str, str] = {"op4_mixing_water_filling": OP4_SQL}
