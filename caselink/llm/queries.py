@@ -4,7 +4,17 @@ from caselink.llm.minhash_dedup import op1_minhash_near_dedup
 from caselink.llm.mixing import OP4_SQL, op4_mixing_water_filling
 from caselink.llm.pieces import op5_sentencepiece_merge_rounds
 from caselink.llm.pii import op2_pii_anchor_expansion
+from caselink.llm.repeats import op8_suffix_array_repeats
+from caselink.llm.token_counts import op7_prefix_token_counts
 from caselink.llm.toxicity import op10_toxicity_kneser_ney
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_anchor_expansion, op4_mixing_water_filling, op5_sentencepiece_merge_rounds, op10_toxicity_kneser_ney)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup,
+    op2_pii_anchor_expansion,
+    op4_mixing_water_filling,
+    op5_sentencepiece_merge_rounds,
+    op7_prefix_token_counts,
+    op8_suffix_array_repeats,
+    op10_toxicity_kneser_ney,
+)}
 ORACLES: dict[str, str] = {"op4_mixing_water_filling": OP4_SQL}
