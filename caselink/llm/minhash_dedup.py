@@ -6,8 +6,10 @@ bitmaps estimates the similarity of a candidate pair before any set is moved. Wh
 
 Texts with the same word sequence are one class from the start, so a group of copies never meets itself. In a bucket
 the members first link to *leaders* (one pair a member); pairs beyond these are only looked at when, after the first
-components, they would still join two of them. Buckets above ``small`` members are scanned again with the components
-known, so no link between two components is left untested.
+components, they would still join two of them. Buckets above ``small`` members are scanned again with the components,
+longer sketches and the sets at hand: a pair of two components is confirmed in the first bucket it shares, on the spot,
+and only links that join components are written, so rows stay linear in a group's size and no such pair is left
+untested. A large bucket's different texts (never its copies) are together in one task then.
 
 Edge cases: null and empty texts have no shingles and link with nothing; repeated rows of one doc_id stay rows and are
 one node; a null doc_id links with nothing and gets a null component_id and kept = true; an empty table gives an empty
@@ -30,6 +32,7 @@ from caselink.operators.components import component_roots
 from caselink.session import durable, ship
 
 BITS = 256
+FINE_SAMPLES, FINE_BITS = 480, 1024
 SIG = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 PAIRS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
@@ -154,30 +157,45 @@ def _bucket_scan(limit: int, num: int, den: int, small: int):
     return run
 
 
-def _cross_scan(limit: int, num: int, den: int):
-    """From rows (band, doc, n, sketch, component) sorted by band: passing pairs of different components, in tiles."""
+def _cross_scan(fine_limit: int, num: int, den: int):
+    """From rows (band, doc, component, bands, fine sketch, set) sorted by band: confirmed links that join components."""
 
     def run(batches):
         for table in _runs(batches, 0):
-            band, ids, n, comp = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
-            bits = _bits(table.column(3))
+            band, ids, comp = (table.column(i).to_numpy() for i in (0, 1, 2))
+            keys = table.column(3).combine_chunks().flatten().to_numpy().reshape(len(band), -1)
+            bits = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(band), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
+            n = np.array([len(x) for x in sets])
             cuts = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
+            out = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if (comp[lo:hi] == comp[lo]).all():
-                    continue
-                for i in range(lo, hi):
-                    rest = np.arange(i + 1, hi)
-                    rest = rest[comp[rest] != comp[i]]
-                    flips = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
-                    hit = rest[(flips <= limit) & (np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num)]
-                    if len(hit):
-                        yield _pairs_batch([(1, int(ids[i]), int(ids[x]), 0, b"") for x in hit])
+                own = comp[lo:hi].copy()
+                at = int(np.flatnonzero(keys[lo] == band[lo])[0])
+                for i in range(hi - lo - 1):
+                    rest = np.arange(i + 1, hi - lo)
+                    rest = rest[own[rest] != own[i]]
+                    if not len(rest):
+                        continue
+                    x, y = lo + i, lo + rest
+                    ok = (np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) <= fine_limit) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)
+                    ok &= ~(keys[y, :at] == keys[x, :at]).any(1)
+                    for j in rest[ok]:
+                        if own[j] != own[i] and _linked(sets[x], sets[lo + j], num, den):
+                            out.append((int(ids[x]), int(ids[lo + j])))
+                            own[own == own[j]] = own[i]
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _sets(size: int):
-    schema = pa.schema([("doc", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("set", pa.binary()), ("fine", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -185,8 +203,9 @@ def _sets(size: int):
             data, offsets = utf8(batch.column(1))
             for i, j, part, off in chunks(data, offsets):
                 words, at = word_hashes(part, off)
-                sets = [shingle_hashes(words[at[r] : at[r + 1]], size).tobytes() for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+                sets = [shingle_hashes(words[at[r] : at[r + 1]], size) for r in range(j - i)]
+                fine = [odd_sketch(samples(x, FINE_SAMPLES), FINE_BITS) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(fine, pa.binary())], schema=schema)
 
     return run
 
@@ -198,9 +217,7 @@ def _confirm(num: int, den: int):
         for batch in batches:
             keep = []
             for r in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[r].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+                keep.append(_linked(*(np.frombuffer(batch.column(c)[r].as_buffer(), np.uint64) for c in (2, 3)), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -217,34 +234,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = durable(own.mapInArrow(_signer(bands, rows, size), "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch binary"), "minhash-sig")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = sig.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
+    reps = sig.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
     keyed = reps.select(F.explode("bands").alias("band"), "doc_id", F.col("n_shingles").alias("n"), "sketch")
-    kinds = "kind byte, a long, b long, n long, sketch binary"
-    found = durable(keyed.repartition("band").sortWithinPartitions("band", "doc_id").mapInArrow(_bucket_scan(limit, num, den, small), kinds), "minhash-pairs")
+    found = durable(keyed.repartition("band").sortWithinPartitions("band", "doc_id").mapInArrow(_bucket_scan(limit, num, den, small), "kind byte, a long, b long, n long, sketch binary"), "minhash-pairs")
+    ids = found.select(F.col("a").alias("doc_id")).union(found.where("kind < 2").select("b")).distinct()
+    sets = durable(own.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary, fine binary").dropDuplicates(["doc"]), "minhash-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs.select("a", "b").distinct(), "minhash-candidates")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = own.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc long, set binary").dropDuplicates(["doc"])
-        sets = durable(sets, "minhash-sets")
-        both = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
-                .join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b"))
+        both = (pairs.select("a", "b").distinct().join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
+                .join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b"))
         return durable(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long"), "minhash-links")
 
     links = confirmed(found.where("kind = 0"))
     roots = component_roots(links, "a", "b")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    big = (found.where("kind = 2").select(F.col("b").alias("band"), "a", "n", "sketch").join(of("a"), "a", "left")
-           .select("band", "a", "n", "sketch", F.coalesce("of_a", "a").alias("comp")).repartition("band").sortWithinPartitions("band", "a"))
-    rest = found.where("kind = 1").select("a", "b").union(big.mapInArrow(_cross_scan(limit, num, den), kinds).select("a", "b")).distinct()
-    rest = (rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-            .join(found.where("kind = 0").select("a", "b").distinct(), ["a", "b"], "left_anti"))
-    rest = durable(rest.select("a", "b"), "minhash-rest")
-    if not rest.isEmpty():
-        roots = component_roots(links.union(confirmed(rest)), "a", "b")
+    rest = found.where("kind = 1").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    more = confirmed(rest.join(found.where("kind = 0").select("a", "b").distinct(), ["a", "b"], "left_anti"))
+    big = found.where("kind = 2").select(F.col("b").alias("band"), F.col("a").alias("doc"))
+    roots = component_roots(links.union(more), "a", "b")
+    open_buckets = (big.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).groupBy("band")
+                    .agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"))
+    scan = (big.join(open_buckets, "band", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").join(sets, "doc")
+            .join(reps.select(F.col("doc_id").alias("doc"), "bands").dropDuplicates(["doc"]), "doc")
+            .select("band", "doc", F.coalesce("component", "doc").alias("comp"), "bands", "fine", "set").repartition("band").sortWithinPartitions("band", "doc"))
+    last = durable(scan.mapInArrow(_cross_scan(most_flips(num / den, FINE_SAMPLES, FINE_BITS), num, den), "a long, b long"), "minhash-last")
+    if not last.isEmpty():
+        roots = component_roots(links.union(more).union(last), "a", "b")
     named = (classes.join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
              .select("k1", "k2", F.coalesce("component", "rep").alias("component")))
-    return (sig.select("doc_id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left")
+    return (sig.select("doc_id", "k1", "k2", "n_shingles").join(named.hint("merge"), ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))))
 
