@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caselink.plans import q_correlate
 from caselink.session import ship
 
-MODULES: list = []
+MODULES: list = [q_correlate]
 
 
 def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
