@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.plans import q_correlate
+from caselink.plans import q_cases, q_correlate, q_timeline
 from caselink.session import ship
 
-MODULES: list = [q_correlate]
+MODULES: list = [q_correlate, q_cases, q_timeline]
 
 
 def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
