@@ -88,7 +88,7 @@ def proximity_pairs(items: DataFrame, seconds: Column, scope: list[str], item: s
     near = rows.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     left = rows.withColumnsRenamed({"i": "a", "s": "sa"})
     return (left.join(near.withColumnsRenamed({"i": "b", "s": "sb"}), [*scope, "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("sa") - F.col("sb")) <= wide))
-            .select(*scope, "a", "b", F.round(F.abs(F.col("sa") - F.col("sb")) / 3600.0, 4).alias("hours_apart")))
+            .select(*scope, "a", "b", F.round(F.abs(F.col("sa") - F.col("sb")) / 3600.0, 4).alias("hours_apart"), F.abs(F.col("sa") - F.col("sb")).alias("seconds")))
 
 
 def shared_flagged_indicators(occ: DataFrame, verdicts: DataFrame) -> DataFrame:

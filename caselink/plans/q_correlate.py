@@ -41,7 +41,7 @@ def g4_equal_attribute_factors(spark, d):
 
 
 def g5_proximity_pairs(spark, d):
-    return op.proximity_pairs(table(spark, d, "events"), F.col("ts").cast("double"), ["user_id"], "event_id")
+    return op.proximity_pairs(table(spark, d, "events"), F.col("ts").cast("double"), ["user_id"], "event_id").drop("seconds")
 
 
 def g6_shared_flagged_indicators(spark, d):
