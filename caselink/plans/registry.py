@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.plans import q_cases, q_correlate, q_graph, q_timeline
+from caselink.plans import q_cases, q_correlate, q_graph, q_timeline, q_urls
 from caselink.session import ship
 
-MODULES: list = [q_correlate, q_cases, q_timeline, q_graph]
+MODULES: list = [q_correlate, q_cases, q_timeline, q_graph, q_urls]
 
 
 def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
