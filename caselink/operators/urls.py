@@ -13,22 +13,29 @@ from caselink.functions.scores import band, weighted_mean
 AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_url(url: Column, reputation: bool = False) -> Column:
     """The comparison form: decoded, scheme http by default, host in lower case, no default port, fragment or closing
     slash; as reputation form also single slashes and sorted distinct query pairs."""
-    raw = F.trim(url)
-    plain = F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw)
-    full = F.when(plain.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), plain).otherwise(F.concat(F.lit("http://"), plain))
-    scheme = F.lower(F.regexp_extract(full, r"^([^:]+)://", 1))
-    host = F.lower(F.regexp_extract(full, AUTHORITY + r"([^/?#]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(full, r"://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(full, r"\?([^#]*)", 1)
-    if reputation:
-        path = F.regexp_replace(path, "/{2,}", "/")
-        query = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(query, "&"), lambda p: p != ""))), "&")
-    path = F.regexp_replace(path, "/$", "")
-    return F.when(raw == "", "").otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+    def form(full: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(full, r"^([^:]+)://", 1))
+        host = F.regexp_replace(F.concat(scheme, F.lit("://"), F.lower(F.regexp_extract(full, AUTHORITY + r"([^/?#]*)", 1))), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+        path = F.regexp_extract(full, r"://[^/?#]*([^?#]*)", 1)
+        query = F.regexp_extract(full, r"\?([^#]*)", 1)
+        if reputation:
+            path = F.regexp_replace(path, "/{2,}", "/")
+            query = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(query, "&"), lambda p: p != ""))), "&")
+        return F.concat(host, F.regexp_replace(path, "/$", ""), let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+
+    def decoded(raw: Column) -> Column:
+        return let(F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw), lambda p: F.when(p.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), p).otherwise(F.concat(F.lit("http://"), p)))
+
+    return let(F.trim(url), lambda raw: F.when(raw == "", "").otherwise(let(decoded(raw), form)))
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
