@@ -108,7 +108,13 @@ class PieceModel:
         own = np.array([self.rank[p] for p in self.symbol], np.int64)
         self.safe = (least > own)[self.merged]  # merging it can't give rise to a pair that goes first
         self.names = list(self.symbol)
-        self.word = re.compile(f"{MARK}*[^{MARK}{self.cuts}]+|[{self.cuts}]|{MARK}+" if self.cuts else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.piece_of = np.array([self.ids[p] for p in self.symbol], np.int64)
+        # a letter and a mark that no piece holds in this order can be cut apart too
+        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+        joined = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if re.match(f"[{letters}]", p[i])}
+        marks = re.escape("".join(c for c in ",.!?;:%$&#*|" if c not in joined))
+        whole = f"{MARK}*[^{MARK}{self.cuts}]+|{MARK}+" + (f"|[{self.cuts}]" if self.cuts else "")
+        self.word = re.compile((f"{MARK}*[^{MARK}{self.cuts}{marks}]++(?<=[{letters}])(?=[{marks}])|" if marks else "") + whole)
 
     def words(self, text: str) -> list[str]:
         return self.word.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
@@ -152,37 +158,58 @@ class PieceModel:
         names = [*self.names, *extra]
         of = np.repeat(np.arange(n), [len(w) for w in words])
         done_sym, done_of = [], []
+
+        def ranked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(rank, merged symbol) of the pairs that start at these places."""
+            pair = sym[at] << 32 | sym[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            hit = (self.keys[found] == pair) & (of[at] == of[at + 1])
+            return np.where(hit, self.ranks[found], NONE), found
+
+        rank, found = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+        if len(sym) > 1:
+            rank[:-1], found[:-1] = ranked(np.arange(len(sym) - 1))
         while len(sym):
-            pair = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            hit = (self.keys[at] == pair) & (of[:-1] == of[1:])
-            rank = np.where(hit, self.ranks[at], NONE)
             best = np.full(n, NONE)
-            np.minimum.at(best, of[:-1], rank) if len(rank) < 64 else self._minima(best, of[:-1], rank)
+            self._minima(best, of, rank)
             going = best[of] < NONE
             if not going.all():
                 done_sym.append(sym[~going])
                 done_of.append(of[~going])
-            here = np.flatnonzero(hit & (rank == best[of[:-1]]))
+                sym, of, rank, found = sym[going], of[going], rank[going], found[going]
+            here = np.flatnonzero((rank == best[of]) & (rank < NONE))
             if not len(here):
                 break
             word = of[here]
             first = np.r_[True, word[1:] != word[:-1]]
-            take = first | self.safe[at[here]]
+            take = first | self.safe[found[here]]
             here, first = here[take], first[take]
             # of overlapping occurrences (a run of neighbours) every second goes
             start = np.r_[True, (np.diff(here) > 1)] | first
             run = np.maximum.accumulate(np.where(start, np.arange(len(here)), 0))
             here = here[(np.arange(len(here)) - run) % 2 == 0]
-            sym[here] = self.merged[at[here]]
-            keep = going.copy()
+            sym[here] = self.merged[found[here]]
+            keep = np.ones(len(sym), bool)
             keep[here + 1] = False
-            sym, of = sym[keep], of[keep]
+            sym, of, rank, found = sym[keep], of[keep], rank[keep], found[keep]
+            here = here - np.arange(len(here))  # each merge moved what follows by one
+            rank[here] = NONE
+            at = np.r_[here - 1, here]
+            at = at[(at >= 0) & (at < len(sym) - 1)]
+            rank[at], found[at] = ranked(at)
         all_sym, all_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_of))
         order = np.argsort(all_of, kind="stable")
-        out: list[list[int]] = [[] for _ in range(n)]
-        for s, w in zip(all_sym[order].tolist(), all_of[order].tolist(), strict=True):
-            out[w] += self._ids(names[s])
+        all_sym, all_of = all_sym[order], all_of[order]
+        plain = all_sym < base
+        ids = self.piece_of[np.where(plain, all_sym, 0)].tolist()
+        ends = np.searchsorted(all_of, np.arange(n), "right").tolist()
+        out, lo = [], 0
+        for hi in ends:
+            out.append(ids[lo:hi])
+            lo = hi
+        for w in np.unique(all_of[~plain]).tolist():
+            lo = ends[w - 1] if w else 0
+            out[w] = [i for s in all_sym[lo : ends[w]].tolist() for i in self._ids(names[s])]
         return out
 
     @staticmethod
@@ -205,20 +232,30 @@ class PieceModel:
 
 
 class WordIds(dict):
-    """word: (number of ids, the ids joined by commas, surface bytes)."""
+    """word: its ids joined by commas. ``odd`` has the surface of words whose pieces don't spell them."""
 
-    def __init__(self, model: PieceModel, most: int = 300_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 600_000) -> None:
+        self.odd: dict[str, bytes] = {}
         self.model, self.most = model, most
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
+            self.odd.clear()
             new = list(words)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for w, ids in zip(part, self.model.segment(part), strict=True):
-                self[w] = (len(ids), ",".join(map(str, ids)), self.model.surface(ids))
+                self[w] = ",".join(map(str, ids))
+                if (surface := self.model.surface(ids)) != w.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+                    self.odd[w] = surface
+
+    def surface(self, words: list[str]) -> bytes:
+        """The bytes that the ids of these words decode to, the leading space included."""
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            return b"".join(self.odd.get(w) or w.replace(MARK, " ").encode() for w in words)
+        return "".join(words).replace(MARK, " ").encode("utf-8", "surrogatepass")
 
 
 _models: dict[str, PieceModel] = {}
@@ -243,14 +280,14 @@ def _mapper(path: str, column: int, kind: str):
                 known.learn(set().union(*split))
                 part = batch.slice(lo, len(split))
                 lo += len(split)
-                rows = [[known[w] for w in words] for words in split]
+                rows = [",".join(map(known.__getitem__, words)) for words in split]
                 if kind == "digest":
-                    new = [pa.array([sum(x[0] for x in r) for r in rows], pa.int64()),
-                           pa.array([hashlib.sha256(",".join(x[1] for x in r).encode()).hexdigest() for r in rows], pa.string()),
-                           pa.array([hashlib.sha256(known.model.trimmed(b"".join(x[2] for x in r)).encode()).hexdigest() for r in rows], pa.string())]
+                    new = [pa.array([r.count(",") + 1 if r else 0 for r in rows], pa.int64()),
+                           pa.array([hashlib.sha256(r.encode()).hexdigest() for r in rows], pa.string()),
+                           pa.array([hashlib.sha256(known.model.trimmed(known.surface(w)).encode()).hexdigest() for w in split], pa.string())]
                     yield pa.RecordBatch.from_arrays([*part.columns[:column], *new], names=[*part.schema.names[:column], "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    ids = pa.array([[int(i) for x in r for i in x[1].split(",")] for r in rows], pa.list_(pa.int32()))
+                    ids = pa.array([np.fromstring(r, np.int32, sep=",") if r else np.zeros(0, np.int32) for r in rows], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return run
