@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.plans import q_cases, q_correlate, q_graph, q_metrics, q_retrieve, q_streaming, q_text, q_timeline, q_urls
+from caselink.plans import q_cases, q_correlate, q_graph, q_metrics, q_retrieve, q_sources, q_streaming, q_text, q_timeline, q_urls
 from caselink.session import ship
 
-MODULES: list = [q_correlate, q_cases, q_timeline, q_graph, q_urls, q_text, q_metrics, q_retrieve, q_streaming]
+MODULES: list = [q_correlate, q_cases, q_timeline, q_graph, q_urls, q_text, q_metrics, q_retrieve, q_streaming, q_sources]
 
 
 def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
