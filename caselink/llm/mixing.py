@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     out = mix(docs, **options)
-    return out.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns) if docs.columns else out
+    return out.where("mix_copies > 0").withColumn("mix_turn", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
 
 
 def op4_mixing_water_filling(spark, sf_dir: str) -> DataFrame:
