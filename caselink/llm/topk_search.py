@@ -9,7 +9,7 @@ A stated share of the rows is the query set, in blocks against all rows: each qu
 returns at most k rows for it, none of them below the k-th score from home.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows with a null vec_id, take no
-part; rows that share the query's vec_id are its own; candidates of another length are not scored; a query with fewer
+part; rows that share the query's vec_id are its own, and one of them is asked; candidates of another length are not scored; a query with fewer
 candidates gets all; equal scores go to the smaller vec_id; scores are exact up to 2**53; an empty table gives an empty
 result.
 """
@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     home = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     columns = ["shard", "kind", "dim", "vec_id", "floor", "v"]
     base = ready.select(home("vec_id").alias("shard"), F.lit(0).alias("kind"), "dim", "vec_id", F.lit(0.0).alias("floor"), "v")
-    queries = ready.where(is_query).withColumn("kind", F.lit(1))
+    queries = ready.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v", F.lit(1).alias("kind"))
 
     def answered(rows: DataFrame) -> DataFrame:
         both = base.unionByName(rows.select(*columns)).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "kind")
