@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
 from caselink.llm.embedding_dedup import OP3_SQL, op3_embedding_near_dedup
-from caselink.llm.minhash_dedup import op1_minhash_near_dedup
+from caselink.llm.minhash_dedup import OP1_SQL, op1_minhash_near_dedup
 from caselink.llm.mixing import OP4_SQL, op4_mixing_water_filling
 from caselink.llm.pieces import op5_sentencepiece_merge_rounds
 from caselink.llm.pii import op2_pii_anchor_expansion
@@ -23,4 +23,4 @@ QUERIES = {f.__name__: f for f in (
     op9_kd_tree_top_k,
     op10_toxicity_kneser_ney,
 )}
-ORACLES: dict[str, str] = {"op3_embedding_near_dedup": OP3_SQL, "op4_mixing_water_filling": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_mixing_water_filling": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
