@@ -12,25 +12,30 @@ from caselink.plans.tables import FREQ, OCC, PAIRS, SPEC, WEIGHT, occurrences, t
 from caselink.session import durable
 
 
+def occ_of(spark, d):
+    """Occurrences, written once: frequencies, the corpus size and both sides of the pair join read them."""
+    return durable(op.normalised(occurrences(spark, d)), "occurrences")
+
+
 def spec_of(occ):
     return op.value_specificity(op.document_frequency(occ))
 
 
 def pairs_of(spark, d):
-    occ = op.normalised(occurrences(spark, d))
+    occ = occ_of(spark, d)
     return occ, durable(op.correlate_pairs(op.shared_value_pairs(occ, spec_of(occ))), "pairs")
 
 
 def g1_document_frequency(spark, d):
-    return op.document_frequency(op.normalised(occurrences(spark, d)))
+    return op.document_frequency(occ_of(spark, d))
 
 
 def g2_value_specificity(spark, d):
-    return spec_of(op.normalised(occurrences(spark, d)))
+    return spec_of(occ_of(spark, d))
 
 
 def g3_shared_value_pairs(spark, d):
-    occ = op.normalised(occurrences(spark, d))
+    occ = occ_of(spark, d)
     return op.shared_value_pairs(occ, spec_of(occ))
 
 
@@ -46,11 +51,11 @@ def g5_proximity_pairs(spark, d):
 
 def g6_shared_flagged_indicators(spark, d):
     verdicts = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(".Example")).alias("value"), F.when(F.col("s_acctbal") < 0, "Scam").otherwise("clean").alias("verdict"))
-    return op.shared_flagged_indicators(op.normalised(occurrences(spark, d)), verdicts)
+    return op.shared_flagged_indicators(occ_of(spark, d), verdicts)
 
 
 def g7_correlate_pairs(spark, d):
-    occ = op.normalised(occurrences(spark, d))
+    occ = occ_of(spark, d)
     return op.correlate_pairs(op.shared_value_pairs(occ, spec_of(occ)))
 
 
@@ -60,7 +65,7 @@ def g8_correlation_summary(spark, d):
 
 
 def _cross(spark, d):
-    occ = op.normalised(occurrences(spark, d)).where("entity_type = 'bank_accounts'")
+    occ = occ_of(spark, d).where("entity_type = 'bank_accounts'")
     return op.cross_case_links(occ, spec_of(occ))
 
 
