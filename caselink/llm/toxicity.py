@@ -10,8 +10,12 @@ alike). A document's evidence is its three strongest words, the numbers of words
 length-normalised mean, and its length. A logistic calibration on training rows that the counts left out turns these
 into a score from 0 to 1.
 
-Counting is a Spark aggregation over all labelled rows, first of words, then of letter strings; the models become a table
-hashed into 2**21 slots, the only thing that is broadcast (16 MB at any input size).
+Counting is a Spark aggregation over all labelled rows, first of words, then of letter strings. The models are a Parquet
+table in the shared folder, one row a context with the value of each letter after it and of unseen ones; every string
+counts, however rare, and nothing is hashed or broadcast. For scoring, a task numbers the distinct words of a run of
+documents (a chunk, bounded in text and in letters of words) and writes the words' strings, once a chunk, by context in
+packets of a range of context hashes. There a merge with the models, by the full strings, values them, and each chunk's
+values meet its documents, which by then are lists of word numbers.
 
 Edge cases: null and empty texts, and texts without letters, have no evidence and get the calibration's value at zero;
 null labels are no labels; of repeated label rows the largest counts; without both classes among the training rows the
@@ -20,24 +24,26 @@ score is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from caselink.session import durable, ship
 
 ORDER = 6
 START = 9
-SLOTS = 1 << 21
 DISCOUNT = 0.75
 MOST_FITTED = 20_000
+CHUNK_CHARS, CHUNK_LETTERS = 16_000_000, 2_500_000
+PACKETS = 1024
 CAP = 8.0
 LEVELS = (2.0, 3.0, 4.0, 5.0)
 FEATURES = 3 + len(LEVELS) + 2
@@ -78,8 +84,8 @@ def _string_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([ordinary[k] for k in keys], pa.int64())], names=["g", "t", "o"])
 
 
-def fit_models(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """From (label, text): log-likelihood differences by hashed letter string, and by hashed context for unseen strings."""
+def fit_models(train: DataFrame) -> DataFrame:
+    """From (label, text): ctx, unseen, after. Log-likelihood differences of each letter seen after ctx, and of any other."""
     words = train.mapInArrow(_word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     strings = words.mapInArrow(_string_counts, "g string, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     a = durable(strings.selectExpr("g", "t", "o", "left(g, length(g) - 1) as ctx", "right(g, 3) as suffix"), "toxic-strings")
@@ -90,65 +96,132 @@ def fit_models(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared = (c.join(d, "ctx2").join(e, "ch").selectExpr("suffix", f"(greatest(n3 - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds2 * n1 / n0) / n2 as p"))
     p = lambda k: f"if(sum_{k} > 0, (greatest({k} - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds_{k} * p) / sum_{k}, p)"
     left = lambda k: f"if(sum_{k} > 0, {DISCOUNT}D * kinds_{k} / sum_{k}, 1D)"
-    slot = lambda x: f"cast(crc32(cast({x} as binary)) % {SLOTS} as int) as slot"
-    seen = a.join(b, "ctx").join(shared, "suffix").selectExpr(slot("g"), f"cast(ln({p('t')}) - ln({p('o')}) as float) as v", "t + o as n")
-    unseen = b.selectExpr(slot("ctx"), f"cast(ln({left('t')}) - ln({left('o')}) as float) as v", "sum_t + sum_o as n")
-    tables = []
-    for found in (seen, unseen):  # what occurs once is no evidence of its own and falls back
-        got = found.where("n > 1").groupBy("slot").agg(F.max(F.struct("n", "v")).alias("x")).selectExpr("slot", "x.v as v").toArrow()
-        table = np.full(SLOTS, np.nan, np.float32)
-        table[got["slot"].to_numpy()] = got["v"].to_numpy()
-        tables.append(table)
-    return tables[0], tables[1]
-
-
-class Evidence(dict):
-    """word: log-likelihood as toxic less that as ordinary."""
-
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray) -> None:
-        self.seen, self.unseen = seen, unseen
-
-    def __missing__(self, word: str) -> float:
-        total = 0.0
-        for g in _strings(word):
-            v = self.seen[zlib.crc32(g.encode()) % SLOTS]
-            if v != v:
-                v = self.unseen[zlib.crc32(g[:-1].encode()) % SLOTS]
-            if v == v:
-                total += float(v)
-        if len(self) < 400_000:
-            self[word] = total
-        return total
-
-
-def features(text: str | None, evidence: Evidence) -> list[float]:
-    words = WORD.findall((text or "").lower())
-    if not words:
+    value = lambda x: f"cast(ln({x('t')}) - ln({x('o')}) as float)"
+    seen = a.join(b, "ctx").join(shared, "suffix").select("ctx", F.struct(F.expr("right(g, 1) as ch"), F.expr(value(p)).alias("v")).alias("x"), F.expr(value(left)).alias("unseen"))
+    return durable(seen.groupBy("ctx").agg(F.first("unseen").alias("unseen"), F.map_from_entries(F.collect_list("x")).alias("after")), "toxic-models")
+
+
+class Numbers(dict):
+    """word: its number in the chunk, by first occurrence."""
+
+    letters = 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.letters += len(word) + 1
+        return n
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Sorted, as differences, the four bytes of each apart: most are zero, and Parquet and shuffles compress them."""
+    return np.diff(np.sort(numbers), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().cumsum()
+
+
+SCAN_FIELDS = [StructField("_chunk", LongType()), StructField("_bag", BinaryType()), StructField("_n", IntegerType()), StructField("_pack", BinaryType())]
+
+
+def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is the text. Rows of documents (_bag: numbers of their words; _n is null), then of their chunk:
+    one with its words (_n: -1) and one a packet (_n) of contexts, each with the letters after it."""
+    new = lambda: (int.from_bytes(os.urandom(8)) >> 1, Numbers())
+    (chunk, words), chars, names, types = new(), 0, None, None
+
+    def rows(kept, bags, n, packs):
+        own = [pa.array([chunk] * len(bags), pa.int64()), pa.array(bags, pa.binary()), pa.array(n, pa.int32()), pa.array(packs, pa.binary())]
+        return pa.RecordBatch.from_arrays([*(kept or [pa.nulls(len(bags), t) for t in types]), *own], names=[*names, *(f.name for f in SCAN_FIELDS)])
+
+    def finished():
+        after, packets = defaultdict(str), defaultdict(list)
+        for g in {g for word in words for g in _strings(word)}:
+            after[g[:-1]] += g[-1]
+        for ctx, letters in after.items():
+            packets[zlib.crc32(ctx.encode()) % PACKETS] += ctx, letters
+        yield rows(None, [zlib.compress("\n".join(words).encode(), 1)], [-1], [None])
+        yield rows(None, [None] * len(packets), list(packets), [zlib.compress("\n".join(x).encode(), 1) for x in packets.values()])
+
+    for batch in batches:
+        names, types = batch.schema.names[:-1], [f.type for f in batch.schema][:-1]
+        texts, bags, lo = batch.column(batch.num_columns - 1), [], 0
+        for r in range(batch.num_rows):
+            text = texts[r].as_py() or ""
+            found = WORD.findall(text.lower())
+            bags.append(_packed(np.fromiter(map(words.__getitem__, found), np.uint32, len(found))))
+            chars += len(text)
+            full = chars > CHUNK_CHARS or words.letters > CHUNK_LETTERS
+            if full or len(bags) == 1024 or r + 1 == batch.num_rows:
+                nothing = [None] * len(bags)
+                yield rows(batch.slice(lo, len(bags)).columns[:-1], bags, nothing, nothing)
+                lo, bags = r + 1, []
+            if full:
+                yield from finished()
+                (chunk, words), chars = new(), 0
+    if chars or words:
+        yield from finished()
+
+
+def features(x: np.ndarray) -> list[float]:
+    """From the evidence of each word of a document."""
+    if not len(x):
         return [0.0] * FEATURES
-    x = np.fromiter(map(evidence.__getitem__, words), np.float32, len(words))
-    x -= np.median(x)
+    x = x - np.median(x)
     top = np.clip(np.sort(np.partition(x, len(x) - 3)[-3:] if len(x) > 3 else x)[::-1], 0, CAP)
     top = [*map(float, top), *[0.0] * (3 - len(top))]
     return [*top, *(float(np.log1p((x > v).sum())) for v in LEVELS), float(np.minimum(x, CAP).mean()), float(np.log1p(len(x)))]
 
 
 FEATURE_NAMES = [f"f{i}" for i in range(FEATURES)]
-FEATURE_TYPES = ", ".join(f"{f} double" for f in FEATURE_NAMES)
-
 
-def _feature_mapper(tables):
-    """The last column is the text; it makes way for its features."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(*tables.value)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                rows = [features(t.as_py(), evidence) for t in part.column(part.num_columns - 1)]
-                cols = [pa.array(x, pa.float64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*part.schema.names[:-1], *FEATURE_NAMES])
-
-    return run
+def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by packet, its models first: packets of chunks with the values of their strings."""
+    at, models = None, {}
+    for batch in batches:
+        out = []
+        for packet, chunk, pack, ctx, unseen, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if packet != at:
+                at, models = packet, {}
+            if chunk is None:
+                models[ctx] = unseen, dict(after)
+                continue
+            parts, values = zlib.decompress(pack).decode().split("\n"), []
+            for ctx, letters in zip(parts[::2], parts[1::2], strict=True):
+                other, known = models.get(ctx, (0.0, {}))
+                values.extend(known.get(ch, other) for ch in letters)
+            out.append((chunk, packet, pack, np.array(values, "<f4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["_of", "_n", "_pack", "_bag"])
+
+
+def _chunk_features(docs: pa.Table, strings: pa.Table) -> pa.Table:
+    """Documents of a chunk with their features, by the values of its strings."""
+    value, words = {}, []
+    for n, pack, bag in zip(strings["_n"].to_pylist(), strings["_pack"].to_pylist(), strings["_bag"].to_pylist(), strict=True):
+        if n == -1:
+            words = zlib.decompress(bag).decode().split("\n")
+            continue
+        parts = zlib.decompress(pack).decode().split("\n")
+        keys = (ctx + ch for ctx, letters in zip(parts[::2], parts[1::2], strict=True) for ch in letters)
+        value.update(zip(keys, np.frombuffer(bag, "<f4").tolist(), strict=True))
+    evidence = np.array([sum(map(value.__getitem__, _strings(w))) for w in words if w], np.float32)
+    rows = [features(evidence[_unpacked(bag.as_py())]) for bag in docs["_bag"]]
+    kept = [c for c in docs.column_names if c not in ("_chunk", "_bag")]
+    return pa.table([*(docs[c] for c in kept), *(pa.array(x, pa.float64()) for x in zip(*rows, strict=True))], names=[*kept, *FEATURE_NAMES])
+
+
+def document_features(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """``docs``, whose last column is the text, with the features f0, f1, ... in place of it."""
+    kept = [StructField(f.name, f.dataType) for f in docs.schema.fields[:-1]]
+    scan = durable(docs.mapInArrow(_scanner, StructType([*kept, *SCAN_FIELDS])), "toxic-scan", "zstd")
+    packets = scan.where("_n >= 0").select("_n", "_chunk", "_pack").unionByName(models.withColumn("_n", F.expr(f"cast(crc32(cast(ctx as binary)) % {PACKETS} as int)")), allowMissingColumns=True)
+    packets = packets.select("_n", "_chunk", "_pack", "ctx", "unseen", "after").repartition("_n").sortWithinPartitions("_n", F.col("_chunk").asc_nulls_first())
+    strings = packets.mapInArrow(_valued, "_of long, _n int, _pack binary, _bag binary")
+    strings = strings.unionByName(scan.where("_n = -1").select(F.col("_chunk").alias("_of"), "_n", "_pack", "_bag"))
+    rows = scan.where("_n is null").select(*(F.col(f"`{f.name}`") for f in kept), "_chunk", "_bag")
+    schema = StructType([*kept, *(StructField(f, DoubleType()) for f in FEATURE_NAMES)])
+    return rows.groupBy("_chunk").cogroup(strings.groupBy("_of")).applyInArrow(_chunk_features, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,7 +251,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ship(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     results = {"doc_id", "held_out", "score", "predicted"}
-    kept = ["doc_id", *(c for c in docs.columns if c not in results | {id_col} | set(FEATURE_NAMES) | {"scored_text"})] if keep_columns else ["doc_id"]
+    kept = ["doc_id", *(c for c in docs.columns if c not in results | {id_col} | set(FEATURE_NAMES) | {f.name for f in SCAN_FIELDS} | {"scored_text"})] if keep_columns else ["doc_id"]
     every = docs.withColumnRenamed(id_col, "doc_id").withColumn("scored_text", F.col(text_col).cast("string")).select(*kept, "scored_text")
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
              .where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")))
@@ -186,14 +259,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     train = durable(own.where(~_held_out("doc_id")).join(known, "doc_id").select("doc_id", "label", "fit", "text"), "toxic-train")
     have = {r["label"] for r in train.where("not fit").select("label").distinct().collect()}
     if have == {0, 1}:
-        tables = spark.sparkContext.broadcast(fit_models(train.where("not fit").select("label", "text")))
-        run = _feature_mapper(tables)
-        # texts become features where they lie; only the sample's few numbers meet in one place
-        fitted = train.where("fit").select("doc_id", "label", "text").mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, label int, {FEATURE_TYPES}")
+        models = fit_models(train.where("not fit").select("label", "text"))
+        # only the sample's few numbers meet in one place
+        fitted = document_features(train.where("fit").select("doc_id", "label", "text"), models)
         sample = fitted.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MOST_FITTED).select("label", *FEATURE_NAMES).toArrow()
         x, y = np.stack([sample[f].to_numpy() for f in FEATURE_NAMES], 1), sample["label"].to_numpy()
         w = _logistic(x, y) if len(np.unique(y)) == 2 else np.r_[0.3, 0.3, 0.3, np.zeros(FEATURES - 3), -4.0]
-        scored = every.mapInArrow(run, StructType([*every.schema.fields[:-1], *(StructField(f, DoubleType()) for f in FEATURE_NAMES)]))
+        scored = document_features(every, models)
         z = sum((F.col(f) * float(v) for f, v in zip(FEATURE_NAMES, w[:-1], strict=True)), F.lit(float(w[-1])))
         score = 1 / (1 + F.exp(-z))
     else:

@@ -250,6 +250,49 @@ def test_toxicity_finds_planted_words(spark):
     assert none.where("predicted = 1").isEmpty() and "text" in none.columns
 
 
+def test_toxicity_evidence_by_brute_force(spark):
+    """Every string keeps its own value, those seen once too; others fall back by their context, and unknown contexts are 0."""
+    r = random.Random(11)
+    made = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    train = [(int(i % 3 == 0), " ".join(r.choices(made, k=12))) for i in range(90)] + [(1, "onlyonce")]
+    counts = [collections.Counter(), collections.Counter()]
+    for y, t in train:
+        for w in t.split():
+            counts[y].update(toxicity._strings(w))
+    strings, d = counts[0].keys() | counts[1].keys(), toxicity.DISCOUNT
+    n3 = collections.Counter(g[-3:] for g in strings)
+    n2, kinds2, n1 = collections.Counter(), collections.Counter(), collections.Counter()
+    for x, n in n3.items():
+        n2[x[:-1]] += n
+        kinds2[x[:-1]] += 1
+        n1[x[-1]] += 1
+    sums, kinds = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for y in (0, 1):
+        for g, n in counts[y].items():
+            sums[y][g[:-1]] += n
+            kinds[y][g[:-1]] += 1
+
+    def value(g):
+        c = g[:-1]
+        left = [d * kinds[y][c] / sums[y][c] if sums[y][c] else 1 for y in (0, 1)]
+        if g not in strings:
+            return np.log(left[1] / left[0])
+        x = g[-3:]
+        p = (max(n3[x] - d, 0) + d * kinds2[x[:-1]] * n1[x[-1]] / len(n3)) / n2[x[:-1]]
+        q = [(max(counts[y][g] - d, 0) / sums[y][c] if sums[y][c] else 0) + left[y] * p for y in (0, 1)]
+        return np.log(q[1] / q[0])
+
+    models = toxicity.fit_models(spark.createDataFrame(train, "label int, text string"))
+    assert models.selectExpr("sum(size(after))").first()[0] == len(strings)
+    texts = [(i, " ".join([*r.choices(made, k=9), "onlyonce", "".join(r.choice("abczé") for _ in range(11))])) for i in range(40)] + [(40, None), (41, "7 !")]
+    got = {x.doc_id: x for x in toxicity.document_features(spark.createDataFrame(texts, "doc_id long, text string"), models).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        words = toxicity.WORD.findall(t or "")
+        want = toxicity.features(np.array([sum(value(g) for g in toxicity._strings(w)) for w in words]))
+        assert np.allclose([got[i][f] for f in toxicity.FEATURE_NAMES], want, atol=1e-4)
+
+
 def test_empty_tables(spark, empty):
     assert minhash_dedup.near_duplicates(empty).isEmpty()
     assert pii.find_personal_data(empty).isEmpty() and pii.redact(empty).isEmpty()
