@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -245,7 +245,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out rows are never read. With
     ``keep_columns`` all columns of ``docs`` come first (those named like results are replaced by them).
 
-    A quarter of the training rows, at most MOST_FITTED of them, fits the calibration; the counts take all the others.
+    A quarter of the training rows, at most MOST_FITTED of them by hash order, fits the calibration; the counts take all
+    the others. Rows of one doc_id stay together.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -257,12 +258,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
              .where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")))
     known = known.withColumn("fit", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4 == 0)
     train = durable(own.where(~_held_out("doc_id")).join(known, "doc_id").select("doc_id", "label", "fit", "text"), "toxic-train")
-    have = {r["label"] for r in train.where("not fit").select("label").distinct().collect()}
+    # the sample ends at a hash: no join is needed to tell its rows from those that are counted
+    order = F.md5(F.col("doc_id").cast("string"))
+    first = train.where("fit").groupBy(order.alias("key")).agg(F.count("*").alias("n")).orderBy("key").limit(MOST_FITTED)
+    last = first.withColumn("rows", F.sum("n").over(Window.orderBy("key"))).where(F.col("rows") <= MOST_FITTED).agg(F.max("key")).first()[0] or ""
+    fits = F.col("fit") & (order <= last)
+    have = {r["label"] for r in train.where(~fits).select("label").distinct().collect()}
     if have == {0, 1}:
-        models = fit_models(train.where("not fit").select("label", "text"))
+        models = fit_models(train.where(~fits).select("label", "text"))
         # only the sample's few numbers meet in one place
-        fitted = document_features(train.where("fit").select("doc_id", "label", "text"), models)
-        sample = fitted.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MOST_FITTED).select("label", *FEATURE_NAMES).toArrow()
+        fitted = document_features(train.where(fits).select("doc_id", "label", "text"), models)
+        sample = fitted.orderBy(order, "doc_id").select("label", *FEATURE_NAMES).toArrow()
         x, y = np.stack([sample[f].to_numpy() for f in FEATURE_NAMES], 1), sample["label"].to_numpy()
         w = _logistic(x, y) if len(np.unique(y)) == 2 else np.r_[0.3, 0.3, 0.3, np.zeros(FEATURES - 3), -4.0]
         scored = document_features(every, models)

@@ -293,6 +293,22 @@ def test_toxicity_evidence_by_brute_force(spark):
         assert np.allclose([got[i][f] for f in toxicity.FEATURE_NAMES], want, atol=1e-4)
 
 
+def test_toxicity_counts_all_rows_outside_the_sample(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(train):
+        raise Seen(train.count())
+
+    monkeypatch.setattr(toxicity, "MOST_FITTED", 10)
+    monkeypatch.setattr(toxicity, "fit_models", fit)
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    with pytest.raises(Seen) as got:
+        toxicity.score_toxicity(docs, labels)
+    assert got.value.args[0] == docs.where(~toxicity._held_out("doc_id")).count() - 10
+
+
 def test_empty_tables(spark, empty):
     assert minhash_dedup.near_duplicates(empty).isEmpty()
     assert pii.find_personal_data(empty).isEmpty() and pii.redact(empty).isEmpty()
