@@ -169,13 +169,13 @@ def entity_prf(gold: DataFrame, pred: DataFrame) -> DataFrame:
 def error_rates(pairs: DataFrame) -> DataFrame:
     """From (id, expected, found): character and word error rates of each sample, after lower-casing and space folding.
 
-    Words become single code points per pair, so the word distance is a character distance (built in, on the JVM).
+    Words become single code points per pair, from U+10000 on, so the word distance is a character distance (built in, on the JVM).
     """
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     rows = pairs.withColumns({"e": fold("expected"), "f": fold("found")}).withColumns({"ew": F.split("e", " "), "fw": F.split("f", " ")})
     rows = rows.withColumn("words", F.array_union("ew", "fw"))
-    code = lambda c: F.array_join(F.transform(c, lambda w: F.chr(F.array_position("words", w) % 200 + 33)), "")
-    rows = rows.withColumns({"char_errors": F.levenshtein("e", "f"), "word_errors": F.when(F.size("words") <= 200, F.levenshtein(code("ew"), code("fw")))})
+    code = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("words", w) + 65535), 8, "0")), "UTF-32")), "")
+    rows = rows.withColumns({"char_errors": F.levenshtein("e", "f"), "word_errors": F.levenshtein(code("ew"), code("fw"))})
     return rows.select("id", "char_errors", F.round(safe(F.col("char_errors"), F.length("e")), 6).alias("cer"), "word_errors", F.round(F.when(F.col("word_errors").isNotNull(), F.col("word_errors") / F.size("ew")), 6).alias("wer"))
 
 

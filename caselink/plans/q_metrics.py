@@ -73,7 +73,7 @@ def l1_entity_prf(spark, d):
 
 
 def l2_error_rates(spark, d):
-    t = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.substring("text", 1, 300).alias("expected"))
+    t = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("expected"))
     return op.error_rates(t.withColumn("found", F.regexp_replace("expected", "on", "no")))
 
 

@@ -164,3 +164,15 @@ def test_growth_of_cross_case_linking_is_in_its_shared_values(spark):
         return correlate.shared_values(correlate.normalised(occ), correlate.value_specificity(correlate.document_frequency(correlate.normalised(occ))), [], "case_id").count()
 
     assert made(100) <= 1.5 ** math.log2(4) * 4 * max(made(25), 1)
+
+
+def test_error_rates_of_many_words_and_whole_texts(spark, tmp_path):
+    from caselink.operators import metrics
+    from caselink.plans import q_metrics
+
+    words = [f"w{i}" for i in range(500)]
+    found = [*words[:10], "new", *words[11:480]]
+    got = metrics.error_rates(spark.createDataFrame([("a", " ".join(words), " ".join(found))], "id string, expected string, found string")).first()
+    assert (got.word_errors, got.wer) == (21, 0.042)
+    spark.createDataFrame([(1, 1, "user", "x" * 400 + " on")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert q_metrics.l2_error_rates(spark, str(tmp_path)).first().char_errors == 2
