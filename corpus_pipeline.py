@@ -28,8 +28,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id; one row of each doc_id."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each near-duplicate group (similarity of 0.8 or more), that with the smallest doc_id; one row of each doc_id."""
+    kept = near_duplicates(docs, num=80).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

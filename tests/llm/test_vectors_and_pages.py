@@ -152,3 +152,12 @@ def test_pipeline_stages(spark):
 
 def test_queries_carry_their_numbers():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_links_from_a_similarity_of_080(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles each; the changed last words leave 90 of 110 in common, 0.82
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))])), (3, "other words stand here alone")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [1, 3]
