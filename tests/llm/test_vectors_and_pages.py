@@ -59,6 +59,25 @@ def test_near_vectors(vectors, rows):
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id not in alive)
 
 
+@pytest.mark.parametrize("crowded", [True, False])
+def test_near_vectors_recall(spark, crowded):
+    """Pairs at cosine 0.9803 among vectors of one label, also where all crowd around a common direction."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.standard_normal((3000, 64)))
+    x = unit(np.sqrt(0.08) * x + np.sqrt(0.92) * unit(r.standard_normal((1, 64)))) if crowded else x
+    z = r.standard_normal((500, 64))
+    z = unit(z - (z * x[:500]).sum(1, keepdims=True) * x[:500])
+    every = np.r_[x, 0.9803 * x[:500] + np.sqrt(1 - 0.9803**2) * z]
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: g for g in embedding_dedup.near_vectors(table).collect()}
+    want = every @ every.T >= 0.98
+    np.fill_diagonal(want, False)
+    found = sum(g.n_links for g in got.values())
+    assert want.sum() >= 1000 and 0.99 * want.sum() <= found <= want.sum()
+    assert np.mean([got[i].component_id == got[3000 + i].component_id for i in range(500)]) >= 0.99
+
+
 def test_top_k(vectors, rows):
     ok = [(i, np.floor(1024 * np.float32(v).astype(float))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
