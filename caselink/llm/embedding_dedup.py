@@ -1,8 +1,10 @@
 """Embedding near-duplicates by sorted projection passes.
 
-In every pass each vector gets a key, the signs of its products with random directions written one after the other.
-Vectors of a label are put in key order and each is compared with the next ``window`` ones; verified pairs of all passes
-are united. Order places come from a range-partitioned sort and are cut into blocks that also hold the next block's
+In every pass each vector gets a key, a row of random hashes written one after the other: each hash says which of 16
+random directions the vector, seen from its label's mean, points along or against the most. Vectors of a label are put
+in key order and each is compared with the next ``window`` ones; verified pairs of all passes are united. Seen from the
+mean, vectors that crowd around a common direction spread over all hashes; cosines are always those of the vectors
+themselves. Order places come from a range-partitioned sort and are cut into blocks that also hold the next block's
 first ``window`` rows, so no task holds a label whole.
 
 Equal vectors of a label are one vector with a weight from the start. As links never leave a component, the exact
@@ -33,29 +35,65 @@ from caselink.session import durable, ship
 ROWS = pa.schema([("vec_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("space", pa.string()), ("v", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
-def directions(dim: int, passes: int, bits: int) -> np.ndarray:
-    return np.random.default_rng([11, dim]).standard_normal((passes * bits, dim))
+WIDTH = 16
 
 
-def _prepare(passes: int, bits: int):
+def directions(dim: int, passes: int, hashes: int) -> np.ndarray:
+    return np.random.default_rng([11, dim]).standard_normal((passes * hashes * WIDTH, dim))
+
+
+def order_keys(units: np.ndarray, planes: np.ndarray, passes: int, hashes: int) -> np.ndarray:
+    """The key of each row in each pass."""
+    p = (units @ planes.T).reshape(len(units), passes, hashes, WIDTH)
+    most = np.abs(p).argmax(3)
+    against = np.take_along_axis(p, most[..., None], 3)[..., 0] < 0
+    return (most * 2 + against) @ ((2 * WIDTH) ** np.arange(hashes - 1, -1, -1, dtype=np.int64))
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """vec_id, space, unit vector of each row (vec_id, v, space); space and vector are None where nothing can link."""
+    for i, space, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), usable(batch.column(1))[1], strict=True):
+        norm = float(np.linalg.norm(v / np.abs(v).max())) * np.abs(v).max() if v is not None and v.any() else 0.0
+        good = i is not None and space is not None and norm and np.isfinite(norm)
+        yield (i, space, v, v / norm) if good else (i, None, None, None)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """space, n and the sum of its unit vectors, once a run of rows."""
+    sums: dict[str, list] = {}
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([n for n, _ in sums.values()], pa.int64()),
+                                              pa.array([s for _, s in sums.values()], pa.list_(pa.float64()))], names=["space", "n", "s"])
+    for batch in batches:
+        for _, space, _, unit in _units(batch):
+            if space is not None:
+                n, s = sums.get(space, (0, 0.0))
+                sums[space] = [n + 1, s + unit]
+        if len(sums) > 10_000:
+            yield out()
+            sums.clear()
+    yield out()
+
+
+def space_means(own: DataFrame) -> DataFrame:
+    """space, mean: of the unit vectors, rounded so that the order of sums can't show."""
+    parts = own.mapInArrow(_sums, "space string, n long, s array<double>").select("space", "n", F.posexplode("s").alias("i", "x"))
+    means = parts.groupBy("space", "i").agg(F.round(F.sum("x") / F.sum("n"), 6).alias("x"))
+    return means.groupBy("space").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("mean"))
+
+
+def _prepare(passes: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            _, vectors = usable(batch.column(1))
-            out = []
-            for i, label, v in zip(ids, labels, vectors, strict=True):
-                norm = float(np.linalg.norm(v / np.abs(v).max())) * np.abs(v).max() if v is not None and v.any() else 0.0
-                if i is None or label is None or not norm or not np.isfinite(norm):
+            means, out = batch.column(3).to_pylist(), []
+            for (i, space, v, unit), mean in zip(_units(batch), means, strict=True):
+                if space is None:
                     out.append((i, None, None, None, None, None))
                     continue
-                space = f"{label}/{len(v)}"
                 k = np.frombuffer(hashlib.blake2b(v.tobytes() + space.encode(), digest_size=16).digest(), np.int64)
                 if len(v) not in planes:
-                    planes[len(v)] = directions(len(v), passes, bits)
-                unit = v / norm
-                keys = ((planes[len(v)] @ unit).reshape(passes, bits) > 0) @ weights
+                    planes[len(v)] = directions(len(v), passes, hashes)
+                keys = order_keys((unit - np.array(mean))[None], planes[len(v)], passes, hashes)[0]
                 out.append((i, int(k[0]), int(k[1]), space, unit.tobytes(), keys.tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ROWS, strict=True)], schema=ROWS)
@@ -132,12 +170,15 @@ def _count_links(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, passes: int = 20, bits: int = 40, window: int = 64, rows: int = 1024, tile: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98,
+                 passes: int = 32, hashes: int = 10, window: int = 128, rows: int = 1024, tile: int = 2048) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ship(spark)
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
-    ready = durable(own.mapInArrow(_prepare(passes, bits), "vec_id long, k1 long, k2 long, space string, v binary, keys array<long>"), "vectors-ready")
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"),
+                         F.concat(F.col(label_col).cast("string"), F.lit("/"), F.size(vector_col).cast("string")).alias("space"))
+    with_mean = own.join(durable(space_means(own), "vectors-means"), "space", "left").select("vec_id", "v", "space", "mean")
+    ready = durable(with_mean.mapInArrow(_prepare(passes, hashes), "vec_id long, k1 long, k2 long, space string, v binary, keys array<long>"), "vectors-ready")
     classes = ready.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
     reps = durable(classes.join(ready.select("k1", "k2", "vec_id", "space", "v", "keys").dropDuplicates(["k1", "k2", "vec_id"]), ["k1", "k2", "vec_id"]).withColumnRenamed("vec_id", "rep"), "vectors-reps")
     turns = reps.select("rep", "k1", "space", F.posexplode("keys").alias("turn", "key"), "v")
