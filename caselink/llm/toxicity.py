@@ -28,7 +28,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from caselink.session import durable, ship
+from caselink.session import discard, durable, ship
 
 ORDER = 6
 START = 9
@@ -80,25 +80,39 @@ def _string_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for g in _strings(word):
                 toxic[g] += t
                 ordinary[g] += o
-        keys = list(toxic)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([ordinary[k] for k in keys], pa.int64())], names=["g", "t", "o"])
+        columns = [pa.array([g[:-1] for g in toxic], pa.string()), pa.array([g[-1] for g in toxic], pa.string())]
+        numbers = [pa.array(list(toxic.values()), pa.int64()), pa.array([ordinary[g] for g in toxic], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, *numbers], names=["ctx", "ch", "t", "o"])
 
 
 def fit_models(train: DataFrame) -> DataFrame:
-    """From (label, text): ctx, unseen, after. Log-likelihood differences of each letter seen after ctx, and of any other."""
-    words = train.mapInArrow(_word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    strings = words.mapInArrow(_string_counts, "g string, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    a = durable(strings.selectExpr("g", "t", "o", "left(g, length(g) - 1) as ctx", "right(g, 3) as suffix"), "toxic-strings")
-    b = a.groupBy("ctx").agg(*(F.sum(c).alias(f"sum_{c}") for c in "to"), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in "to"))
-    c = a.groupBy("suffix").agg(F.count("*").alias("n3")).selectExpr("suffix", "n3", "left(suffix, length(suffix) - 1) as ctx2", "right(suffix, 1) as ch")
-    d = c.groupBy("ctx2").agg(F.sum("n3").alias("n2"), F.count("*").alias("kinds2"))
+    """From (label, text): ctx, unseen, after. Log-likelihood differences of each letter seen after ctx, and of any other.
+
+    One exchange by context serves the counts of strings and the list of a context's letters, which only the alphabet
+    bounds; the shared backoff is a row for the last two letters of a context.
+    """
+    words = (train.mapInArrow(_word_counts, "word string, toxic long, ordinary long")
+             .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    strings = (words.mapInArrow(_string_counts, "ctx string, ch string, t long, o long").repartition("ctx")
+               .groupBy("ctx", "ch").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+               .groupBy("ctx").agg(F.collect_list(F.struct("ch", "t", "o")).alias("s")))
+    a = durable(strings.selectExpr("ctx", "right(ctx, 2) as ctx2", "s"), "toxic-strings", "zstd")
+    c = a.select("ctx2", F.explode("s.ch").alias("ch")).groupBy("ctx2", "ch").agg(F.count("*").alias("n3"))
     e = c.groupBy("ch").agg(F.count("*").alias("n1")).join(c.agg(F.count("*").alias("n0")))
-    shared = (c.join(d, "ctx2").join(e, "ch").selectExpr("suffix", f"(greatest(n3 - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds2 * n1 / n0) / n2 as p"))
-    p = lambda k: f"if(sum_{k} > 0, (greatest({k} - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds_{k} * p) / sum_{k}, p)"
+    shared = (c.join(e, "ch").groupBy("ctx2")
+              .agg(F.sum("n3").alias("n2"), F.count("*").alias("kinds2"), F.collect_list(F.struct("ch", "n3", "n1", "n0")).alias("m"))
+              .selectExpr("ctx2", f"""map_from_entries(transform(m, x -> struct(x.ch,
+                  (greatest(x.n3 - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds2 * x.n1 / x.n0) / n2))) as shared"""))
+    sums = [f"aggregate(s, 0L, (n, x) -> n + x.{k}) as sum_{k}" for k in "to"] + [f"size(filter(s, x -> x.{k} > 0)) as kinds_{k}" for k in "to"]
+    p = lambda k: (f"if(sum_{k} > 0, (greatest(x.{k} - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds_{k} * shared[x.ch]) / sum_{k},"
+                   " shared[x.ch])")
     left = lambda k: f"if(sum_{k} > 0, {DISCOUNT}D * kinds_{k} / sum_{k}, 1D)"
     value = lambda x: f"cast(ln({x('t')}) - ln({x('o')}) as float)"
-    seen = a.join(b, "ctx").join(shared, "suffix").select("ctx", F.struct(F.expr("right(g, 1) as ch"), F.expr(value(p)).alias("v")).alias("x"), F.expr(value(left)).alias("unseen"))
-    return durable(seen.groupBy("ctx").agg(F.first("unseen").alias("unseen"), F.map_from_entries(F.collect_list("x")).alias("after")), "toxic-models")
+    seen = a.selectExpr("ctx", "ctx2", "s", *sums).join(shared, "ctx2")
+    after = f"map_from_entries(transform(s, x -> struct(x.ch, {value(p)}))) as after"
+    out = durable(seen.selectExpr("ctx", f"{value(left)} as unseen", after), "toxic-models", "zstd")
+    discard(a)
+    return out
 
 
 class Numbers(dict):
@@ -121,6 +135,16 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().cumsum()
 
 
+def _packets(words: Iterable[str]) -> dict[int, list[str]]:
+    """packet: its contexts, each followed by the letters after it, in the order of the words."""
+    after, packets = defaultdict(str), defaultdict(list)
+    for g in dict.fromkeys(g for word in words for g in _strings(word)):
+        after[g[:-1]] += g[-1]
+    for ctx, letters in after.items():
+        packets[zlib.crc32(ctx.encode()) % PACKETS] += ctx, letters
+    return packets
+
+
 SCAN_FIELDS = [StructField("_chunk", LongType()), StructField("_bag", BinaryType()), StructField("_n", IntegerType()), StructField("_pack", BinaryType())]
 
 
@@ -135,11 +159,7 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(kept or [pa.nulls(len(bags), t) for t in types]), *own], names=[*names, *(f.name for f in SCAN_FIELDS)])
 
     def finished():
-        after, packets = defaultdict(str), defaultdict(list)
-        for g in {g for word in words for g in _strings(word)}:
-            after[g[:-1]] += g[-1]
-        for ctx, letters in after.items():
-            packets[zlib.crc32(ctx.encode()) % PACKETS] += ctx, letters
+        packets = _packets(words)
         yield rows(None, [zlib.compress("\n".join(words).encode(), 1)], [-1], [None])
         yield rows(None, [None] * len(packets), list(packets), [zlib.compress("\n".join(x).encode(), 1) for x in packets.values()])
 
@@ -173,7 +193,7 @@ def features(x: np.ndarray) -> list[float]:
     return [*top, *(float(np.log1p((x > v).sum())) for v in LEVELS), float(np.minimum(x, CAP).mean()), float(np.log1p(len(x)))]
 
 
-FEATURE_NAMES = [f"f{i}" for i in range(FEATURES)]
+FEATURE_NAMES = [f"_toxic_f{i}" for i in range(FEATURES)]
 
 
 def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,36 +211,38 @@ def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ctx, letters in zip(parts[::2], parts[1::2], strict=True):
                 other, known = models.get(ctx, (0.0, {}))
                 values.extend(known.get(ch, other) for ch in letters)
-            out.append((chunk, packet, pack, np.array(values, "<f4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["_of", "_n", "_pack", "_bag"])
+            # in the order of the packet, which the chunk's words give again: the strings don't travel back
+            out.append((chunk, packet, zlib.compress(np.array(values, "<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+        types = (pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["_of", "_n", "_bag"])
 
 
 def _chunk_features(docs: pa.Table, strings: pa.Table) -> pa.Table:
     """Documents of a chunk with their features, by the values of its strings."""
-    value, words = {}, []
-    for n, pack, bag in zip(strings["_n"].to_pylist(), strings["_pack"].to_pylist(), strings["_bag"].to_pylist(), strict=True):
-        if n == -1:
-            words = zlib.decompress(bag).decode().split("\n")
-            continue
-        parts = zlib.decompress(pack).decode().split("\n")
+    sent = dict(zip(strings["_n"].to_pylist(), strings["_bag"].to_pylist(), strict=True))
+    words = [w for w in zlib.decompress(sent.pop(-1)).decode().split("\n") if w] if sent else []
+    value = {}
+    for n, parts in _packets(words).items():
         keys = (ctx + ch for ctx, letters in zip(parts[::2], parts[1::2], strict=True) for ch in letters)
-        value.update(zip(keys, np.frombuffer(bag, "<f4").tolist(), strict=True))
-    evidence = np.array([sum(map(value.__getitem__, _strings(w))) for w in words if w], np.float32)
+        found = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent[n]), np.uint8).reshape(4, -1).T).view("<f4")
+        value.update(zip(keys, found.ravel().tolist(), strict=True))
+    evidence = np.array([sum(map(value.__getitem__, _strings(w))) for w in words], np.float32)
     rows = [features(evidence[_unpacked(bag.as_py())]) for bag in docs["_bag"]]
     kept = [c for c in docs.column_names if c not in ("_chunk", "_bag")]
     return pa.table([*(docs[c] for c in kept), *(pa.array(x, pa.float64()) for x in zip(*rows, strict=True))], names=[*kept, *FEATURE_NAMES])
 
 
 def document_features(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """``docs``, whose last column is the text, with the features f0, f1, ... in place of it."""
+    """``docs``, whose last column is the text, with its features in place of it."""
     kept = [StructField(f.name, f.dataType) for f in docs.schema.fields[:-1]]
     scan = durable(docs.mapInArrow(_scanner, StructType([*kept, *SCAN_FIELDS])), "toxic-scan", "zstd")
     packets = scan.where("_n >= 0").select("_n", "_chunk", "_pack").unionByName(models.withColumn("_n", F.expr(f"cast(crc32(cast(ctx as binary)) % {PACKETS} as int)")), allowMissingColumns=True)
     packets = packets.select("_n", "_chunk", "_pack", "ctx", "unseen", "after").repartition("_n").sortWithinPartitions("_n", F.col("_chunk").asc_nulls_first())
-    strings = packets.mapInArrow(_valued, "_of long, _n int, _pack binary, _bag binary")
-    strings = strings.unionByName(scan.where("_n = -1").select(F.col("_chunk").alias("_of"), "_n", "_pack", "_bag"))
+    strings = packets.mapInArrow(_valued, "_of long, _n int, _bag binary")
+    strings = strings.unionByName(scan.where("_n = -1").select(F.col("_chunk").alias("_of"), "_n", "_bag"))
     rows = scan.where("_n is null").select(*(F.col(f"`{f.name}`") for f in kept), "_chunk", "_bag")
-    schema = StructType([*kept, *(StructField(f, DoubleType()) for f in FEATURE_NAMES)])
+    # as read back: a file's columns may all be null, those inside a struct too
+    schema = StructType([*(scan.schema[f.name] for f in kept), *(StructField(f, DoubleType()) for f in FEATURE_NAMES)])
     return rows.groupBy("_chunk").cogroup(strings.groupBy("_of")).applyInArrow(_chunk_features, schema)
 
 
@@ -243,7 +265,7 @@ def _held_out(id_col: str):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out rows are never read. With
-    ``keep_columns`` all columns of ``docs`` come first (those named like results are replaced by them).
+    ``keep_columns`` a struct ``row`` comes first: the row of ``docs`` as it is, whatever its columns are called.
 
     A quarter of the training rows, at most MOST_FITTED of them by hash order, fits the calibration; the counts take all
     the others. Rows of one doc_id stay together.
@@ -251,9 +273,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    results = {"doc_id", "held_out", "score", "predicted"}
-    kept = ["doc_id", *(c for c in docs.columns if c not in results | {id_col} | set(FEATURE_NAMES) | {f.name for f in SCAN_FIELDS} | {"scored_text"})] if keep_columns else ["doc_id"]
-    every = docs.withColumnRenamed(id_col, "doc_id").withColumn("scored_text", F.col(text_col).cast("string")).select(*kept, "scored_text")
+    kept = ["row", "doc_id"] if keep_columns else ["doc_id"]
+    every = docs.select(*[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * keep_columns,
+                        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
              .where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")))
     known = known.withColumn("fit", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4 == 0)
@@ -271,6 +293,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         sample = fitted.orderBy(order, "doc_id").select("label", *FEATURE_NAMES).toArrow()
         x, y = np.stack([sample[f].to_numpy() for f in FEATURE_NAMES], 1), sample["label"].to_numpy()
         w = _logistic(x, y) if len(np.unique(y)) == 2 else np.r_[0.3, 0.3, 0.3, np.zeros(FEATURES - 3), -4.0]
+        discard(train)
         scored = document_features(every, models)
         z = sum((F.col(f) * float(v) for f, v in zip(FEATURE_NAMES, w[:-1], strict=True)), F.lit(float(w[-1])))
         score = 1 / (1 + F.exp(-z))
