@@ -294,14 +294,16 @@ def _mapper(path: str, column: int, kind: str):
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of ``text_col`` without begin or end."""
+    """``docs`` with ``ids``, the piece ids of ``text_col`` without begin or end; it replaces a column of that name."""
     ship(docs.sparkSession)
+    docs = docs.drop("ids")
     return docs.mapInArrow(_mapper(path, docs.columns.index(text_col), "ids"), f"{_ddl(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the text of ``ids_col``."""
+    """``encoded`` with ``decoded``, the text of ``ids_col``; it replaces a column of that name."""
     ship(encoded.sparkSession)
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids_col)
 
     def run(batches):
