@@ -2,17 +2,17 @@
 data, mix sources to target weights, and encode.
 
 Each stage takes all that the stage before it kept, as the columns of documents; what it decides takes effect. The last
-returns token ids. Stages keep clean documents as they are; rows with a null doc_id pass all of them.
+returns token ids and the digest of what they decode to. Extra columns pass, whatever they are called. Stages keep clean documents as they are; rows with a null doc_id pass all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselink.llm.minhash_dedup import near_duplicates
 from caselink.llm.mixing import mixed
-from caselink.llm.pieces import encode, piece_model
+from caselink.llm.pieces import decode, encode, piece_model
 from caselink.llm.pii import redact
 from caselink.llm.toxicity import score_toxicity
 from caselink.session import durable
@@ -24,13 +24,22 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic, by labels of the training rows."""
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity of 0.8 or more), that with the smallest doc_id; one row of each doc_id."""
-    kept = near_duplicates(docs, num=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each near-duplicate group (similarity of 0.8 or more), that with the smallest doc_id.
+
+    Rows that repeat a doc_id with another text are texts of their own and stay with it; of rows equal in doc_id and
+    text, the first by their other columns (as JSON) stays.
+    """
+    kept = near_duplicates(docs, num=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
+    named = rows.where("id is not null").join(kept.select(F.col("doc_id").alias("id"), "times").hint("merge"), "id")
+    repeated = F.col("times") > 1
+    first = Window.partitionBy("id", F.when(repeated, F.md5("row.text"))).orderBy(F.when(repeated, F.to_json("row")))
+    once = named.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("row")
+    return once.unionByName(rows.where("id is null").select("row")).select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of every document of the mix."""
-    own = docs.select("doc_id", "lang", "source", "text")
-    return encode(own, piece_model()).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens, ids and the digest of the text they decode to, of every document of the mix."""
+    both = decode(encode(docs.select("doc_id", "lang", "source", "text"), piece_model()), piece_model())
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
