@@ -13,9 +13,10 @@ into a score from 0 to 1.
 Counting is a Spark aggregation over all labelled rows, first of words, then of letter strings. The models are a Parquet
 table in the shared folder, one row a context with the value of each letter after it and of unseen ones; every string
 counts, however rare, and nothing is hashed or broadcast. For scoring, a task numbers the distinct words of a run of
-documents (a chunk, bounded in text and in letters of words) and writes the words' strings, once a chunk, by context in
-packets of a range of context hashes. There a merge with the models, by the full strings, values them, and each chunk's
-values meet its documents, which by then are lists of word numbers.
+documents (a chunk, bounded in text and in letters of words) and writes the words, once a chunk; their strings go by context in
+packets of a range of context hashes. There a merge with the models, by the full strings, values them (as half-precision
+numbers, a thousandth of their size apart), and each chunk's values meet its documents, which by then are lists of word
+numbers.
 
 Edge cases: null and empty texts, and texts without letters, have no evidence and get the calibration's value at zero;
 null labels are no labels; of repeated label rows the largest counts; without both classes among the training rows the
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from caselink.session import discard, durable, ship
 
@@ -74,19 +75,27 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _string_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    toxic, ordinary = Counter(), Counter()
+
+    def out():
+        columns = [pa.array([g[:-1] for g in toxic], pa.string()), pa.array([g[-1] for g in toxic], pa.string())]
+        numbers = [pa.array(list(toxic.values()), pa.int64()), pa.array([ordinary[g] for g in toxic], pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *numbers], names=["ctx", "ch", "t", "o"])
+
     for batch in batches:
-        toxic, ordinary = Counter(), Counter()
         for word, t, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for g in _strings(word):
                 toxic[g] += t
                 ordinary[g] += o
-        columns = [pa.array([g[:-1] for g in toxic], pa.string()), pa.array([g[-1] for g in toxic], pa.string())]
-        numbers = [pa.array(list(toxic.values()), pa.int64()), pa.array([ordinary[g] for g in toxic], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, *numbers], names=["ctx", "ch", "t", "o"])
+        if len(toxic) > 400_000:
+            yield out()
+            toxic.clear()
+            ordinary.clear()
+    yield out()
 
 
 def fit_models(train: DataFrame) -> DataFrame:
-    """From (label, text): ctx, unseen, after. Log-likelihood differences of each letter seen after ctx, and of any other.
+    """From (label, text): ctx, unseen, letters, v. Log-likelihood differences of each letter seen after ctx, and of any other.
 
     One exchange by context serves the counts of strings and the list of a context's letters, which only the alphabet
     bounds; the shared backoff is a row for the last two letters of a context.
@@ -109,8 +118,8 @@ def fit_models(train: DataFrame) -> DataFrame:
     left = lambda k: f"if(sum_{k} > 0, {DISCOUNT}D * kinds_{k} / sum_{k}, 1D)"
     value = lambda x: f"cast(ln({x('t')}) - ln({x('o')}) as float)"
     seen = a.selectExpr("ctx", "ctx2", "s", *sums).join(shared, "ctx2")
-    after = f"map_from_entries(transform(s, x -> struct(x.ch, {value(p)}))) as after"
-    out = durable(seen.selectExpr("ctx", f"{value(left)} as unseen", after), "toxic-models", "zstd")
+    v = f"transform(s, x -> {value(p)}) as v"
+    out = durable(seen.selectExpr("ctx", f"{value(left)} as unseen", "array_join(s.ch, '') as letters", v), "toxic-models", "zstd")
     discard(a)
     return out
 
@@ -127,7 +136,7 @@ class Numbers(dict):
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Sorted, as differences, the four bytes of each apart: most are zero, and Parquet and shuffles compress them."""
+    """Sorted, as differences, the four bytes of each apart: most are zero, and files and shuffles compress them."""
     return np.diff(np.sort(numbers), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
@@ -145,23 +154,20 @@ def _packets(words: Iterable[str]) -> dict[int, list[str]]:
     return packets
 
 
-SCAN_FIELDS = [StructField("_chunk", LongType()), StructField("_bag", BinaryType()), StructField("_n", IntegerType()), StructField("_pack", BinaryType())]
+SCAN_FIELDS = [StructField("_chunk", LongType()), StructField("_bag", BinaryType()), StructField("_words", BinaryType())]
 
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column is the text. Rows of documents (_bag: numbers of their words; _n is null), then of their chunk:
-    one with its words (_n: -1) and one a packet (_n) of contexts, each with the letters after it."""
+    """The last column is the text. Rows of documents (_bag: numbers of their words), then one of their chunk (_words)."""
     new = lambda: (int.from_bytes(os.urandom(8)) >> 1, Numbers())
     (chunk, words), chars, names, types = new(), 0, None, None
 
-    def rows(kept, bags, n, packs):
-        own = [pa.array([chunk] * len(bags), pa.int64()), pa.array(bags, pa.binary()), pa.array(n, pa.int32()), pa.array(packs, pa.binary())]
+    def rows(kept, bags, spelled):
+        own = [pa.array([chunk] * len(bags), pa.int64()), pa.array(bags, pa.binary()), pa.array(spelled, pa.binary())]
         return pa.RecordBatch.from_arrays([*(kept or [pa.nulls(len(bags), t) for t in types]), *own], names=[*names, *(f.name for f in SCAN_FIELDS)])
 
     def finished():
-        packets = _packets(words)
-        yield rows(None, [zlib.compress("\n".join(words).encode(), 1)], [-1], [None])
-        yield rows(None, [None] * len(packets), list(packets), [zlib.compress("\n".join(x).encode(), 1) for x in packets.values()])
+        yield rows(None, [None], [zlib.compress("\n".join(words).encode(), 1)])
 
     for batch in batches:
         names, types = batch.schema.names[:-1], [f.type for f in batch.schema][:-1]
@@ -173,8 +179,7 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars += len(text)
             full = chars > CHUNK_CHARS or words.letters > CHUNK_LETTERS
             if full or len(bags) == 1024 or r + 1 == batch.num_rows:
-                nothing = [None] * len(bags)
-                yield rows(batch.slice(lo, len(bags)).columns[:-1], bags, nothing, nothing)
+                yield rows(batch.slice(lo, len(bags)).columns[:-1], bags, [None] * len(bags))
                 lo, bags = r + 1, []
             if full:
                 yield from finished()
@@ -183,6 +188,20 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finished()
 
 
+def _spelled(words: bytes) -> list[str]:
+    return [w for w in zlib.decompress(words).decode().split("\n") if w]
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (_chunk, _words): its packets, _n by _n."""
+    for batch in batches:
+        for chunk, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            packets = _packets(_spelled(words))
+            packs = [zlib.compress("\n".join(x).encode(), 1) for x in packets.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(packets), pa.int32()), pa.array([chunk] * len(packs), pa.int64()), pa.array(packs, pa.binary())],
+                                             names=["_n", "_chunk", "_pack"])
+
+
 def features(x: np.ndarray) -> list[float]:
     """From the evidence of each word of a document."""
     if not len(x):
@@ -201,18 +220,18 @@ def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, models = None, {}
     for batch in batches:
         out = []
-        for packet, chunk, pack, ctx, unseen, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for packet, chunk, pack, ctx, unseen, letters, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if packet != at:
                 at, models = packet, {}
             if chunk is None:
-                models[ctx] = unseen, dict(after)
+                models[ctx] = unseen, dict(zip(letters, v, strict=True))
                 continue
             parts, values = zlib.decompress(pack).decode().split("\n"), []
             for ctx, letters in zip(parts[::2], parts[1::2], strict=True):
                 other, known = models.get(ctx, (0.0, {}))
                 values.extend(known.get(ch, other) for ch in letters)
             # in the order of the packet, which the chunk's words give again: the strings don't travel back
-            out.append((chunk, packet, zlib.compress(np.array(values, "<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+            out.append((chunk, packet, zlib.compress(np.array(values, "<f2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)))
         types = (pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["_of", "_n", "_bag"])
 
@@ -220,12 +239,12 @@ def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunk_features(docs: pa.Table, strings: pa.Table) -> pa.Table:
     """Documents of a chunk with their features, by the values of its strings."""
     sent = dict(zip(strings["_n"].to_pylist(), strings["_bag"].to_pylist(), strict=True))
-    words = [w for w in zlib.decompress(sent.pop(-1)).decode().split("\n") if w] if sent else []
+    words = _spelled(sent.pop(-1)) if sent else []
     value = {}
     for n, parts in _packets(words).items():
         keys = (ctx + ch for ctx, letters in zip(parts[::2], parts[1::2], strict=True) for ch in letters)
-        found = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent[n]), np.uint8).reshape(4, -1).T).view("<f4")
-        value.update(zip(keys, found.ravel().tolist(), strict=True))
+        found = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent[n]), np.uint8).reshape(2, -1).T).view("<f2")
+        value.update(zip(keys, found.ravel().astype(float).tolist(), strict=True))
     evidence = np.array([sum(map(value.__getitem__, _strings(w))) for w in words], np.float32)
     rows = [features(evidence[_unpacked(bag.as_py())]) for bag in docs["_bag"]]
     kept = [c for c in docs.column_names if c not in ("_chunk", "_bag")]
@@ -236,11 +255,13 @@ def document_features(docs: DataFrame, models: DataFrame) -> DataFrame:
     """``docs``, whose last column is the text, with its features in place of it."""
     kept = [StructField(f.name, f.dataType) for f in docs.schema.fields[:-1]]
     scan = durable(docs.mapInArrow(_scanner, StructType([*kept, *SCAN_FIELDS])), "toxic-scan", "zstd")
-    packets = scan.where("_n >= 0").select("_n", "_chunk", "_pack").unionByName(models.withColumn("_n", F.expr(f"cast(crc32(cast(ctx as binary)) % {PACKETS} as int)")), allowMissingColumns=True)
-    packets = packets.select("_n", "_chunk", "_pack", "ctx", "unseen", "after").repartition("_n").sortWithinPartitions("_n", F.col("_chunk").asc_nulls_first())
+    chunks = scan.where("_words is not null").select("_chunk", "_words")
+    of_models = models.withColumn("_n", F.expr(f"cast(crc32(cast(ctx as binary)) % {PACKETS} as int)"))
+    packets = chunks.mapInArrow(_packer, "_n int, _chunk long, _pack binary").unionByName(of_models, allowMissingColumns=True)
+    packets = packets.select("_n", "_chunk", "_pack", "ctx", "unseen", "letters", "v").repartition("_n").sortWithinPartitions("_n", F.col("_chunk").asc_nulls_first())
     strings = packets.mapInArrow(_valued, "_of long, _n int, _bag binary")
-    strings = strings.unionByName(scan.where("_n = -1").select(F.col("_chunk").alias("_of"), "_n", "_bag"))
-    rows = scan.where("_n is null").select(*(F.col(f"`{f.name}`") for f in kept), "_chunk", "_bag")
+    strings = strings.unionByName(chunks.selectExpr("_chunk as _of", "-1 as _n", "_words as _bag"))
+    rows = scan.where("_words is null").select(*(F.col(f"`{f.name}`") for f in kept), "_chunk", "_bag")
     # as read back: a file's columns may all be null, those inside a struct too
     schema = StructType([*(scan.schema[f.name] for f in kept), *(StructField(f, DoubleType()) for f in FEATURE_NAMES)])
     return rows.groupBy("_chunk").cogroup(strings.groupBy("_of")).applyInArrow(_chunk_features, schema)
@@ -288,13 +309,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     have = {r["label"] for r in train.where(~fits).select("label").distinct().collect()}
     if have == {0, 1}:
         models = fit_models(train.where(~fits).select("label", "text"))
+        scored = durable(document_features(every, models), "toxic-features", "zstd")
         # only the sample's few numbers meet in one place
-        fitted = document_features(train.where(fits).select("doc_id", "label", "text"), models)
-        sample = fitted.orderBy(order, "doc_id").select("label", *FEATURE_NAMES).toArrow()
+        sample = train.where(fits).select("doc_id", "label").distinct().join(scored.select("doc_id", *FEATURE_NAMES), "doc_id")
+        sample = sample.orderBy(order, "doc_id", *FEATURE_NAMES).select("label", *FEATURE_NAMES).toArrow()
         x, y = np.stack([sample[f].to_numpy() for f in FEATURE_NAMES], 1), sample["label"].to_numpy()
         w = _logistic(x, y) if len(np.unique(y)) == 2 else np.r_[0.3, 0.3, 0.3, np.zeros(FEATURES - 3), -4.0]
-        discard(train)
-        scored = document_features(every, models)
+        discard(train, models)
         z = sum((F.col(f) * float(v) for f, v in zip(FEATURE_NAMES, w[:-1], strict=True)), F.lit(float(w[-1])))
         score = 1 / (1 + F.exp(-z))
     else:
