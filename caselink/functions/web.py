@@ -17,5 +17,29 @@ LURE_WORDS = ("verify", "verification", "kyc", "login", "signin", "secure", "sec
 REWARD_WORDS = ("cashback", "reward", "bonus", "prize", "lucky", "winner", "gift", "offer", "claim", "free", "lottery", "draw", "jackpot", "dashain", "tihar")
 #: Public suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("com.np", "org.np", "net.np", "gov.np", "edu.np", "co.uk", "org.uk", "com.au", "co.in", "co.jp", "com.br")
-#: Cloud hosting suffixes and who runs them.
-CLOUD_SUFFIXES = {"github.io": "github", "web.app": "firebase", "firebaseapp.com": "firebase", "netlify.app": "netlify", "vercel.app": "vercel", "pages.dev": "cloudflare", "herokuapp.com": "heroku", "blogspot.com": "google", "azurewebsites.net": "azure", "amazonaws.com": "aws"}
+#: Cloud providers and the host suffixes that tell them.
+CLOUD_PROVIDERS = {
+    "GitHub Pages": ("github.io", "githubusercontent.com"), "Netlify": ("netlify.app", "netlify.com"), "Vercel": ("vercel.app",),
+    "Firebase": ("web.app", "firebaseapp.com"), "Backblaze": ("backblazeb2.com",), "Dropbox": ("dropbox.com", "dropboxusercontent.com"),
+    "Google Drive": ("drive.google.com", "docs.google.com"), "Cloudflare Pages": ("pages.dev",),
+    "Azure Blob": ("blob.core.windows.net", "azurewebsites.net", "azureedge.net"), "Amazon S3": ("s3.amazonaws.com", "amazonaws.com"),
+    "DigitalOcean Spaces": ("digitaloceanspaces.com",), "Render": ("onrender.com",), "Railway": ("up.railway.app", "railway.app"),
+    "CloudFront": ("cloudfront.net",), "Weebly": ("weebly.com",), "Glitch": ("glitch.me",),
+}
+#: Words in a cloud-hosted URL that make it suspicious.
+CLOUD_LOGIN_WORDS = ("login", "signin", "sign-in", "log-in", "account", "verify", "verification", "secure", "auth", "authenticate", "session", "password",
+                     "credential", "unlock", "confirm", "webscr")
+CLOUD_MONEY_WORDS = ("bank", "paypal", "wallet", "esewa", "khalti", "imepay", "payment", "billing", "invoice", "refund", "card", "otp", "swift", "transfer")
+CLOUD_BRAND_WORDS = ("paypal", "google", "facebook", "microsoft", "apple", "amazon", "netflix", "instagram", "whatsapp", "office365", "outlook", "esewa",
+                     "khalti", "imepay", "nabil", "nicasia")
+#: Endings and brands that the domain's own risk looks at.
+DOMAIN_RISKY_TLDS = ("top", "xyz", "icu", "cyou", "rest", "monster", "click", "link", "gq", "tk", "ml", "cf", "ga", "zip", "mov", "loan", "work", "country", "cam")
+PROTECTED_BRANDS = ("paypal", "google", "facebook", "microsoft", "apple", "amazon", "netflix", "instagram", "whatsapp", "esewa", "khalti", "imepay", "nabil",
+                    "nicasia", "globalime", "himalayanbank", "nepalbank")
+#: Severity and contribution of the rules on a URL; words count 0.15 each, at most 0.55, and are high from four on.
+RULES = {
+    "is_ip_based": ("high", 0.75), "is_url_shortener": ("medium", 0.50), "is_punycode": ("high", 0.70), "has_homograph_chars": ("critical", 1.0),
+    "suspicious_tld": ("high", 0.65), "brand_in_subdomain": ("high", 0.80), "brand_in_domain": ("high", 0.70), "typosquatting": ("critical", 0.95),
+    "excessive_subdomains": ("medium", 0.45), "suspicious_keywords": ("medium", 0.15), "suspicious_keyword_single": ("low", 0.20), "long_url": ("low", 0.25),
+    "no_https": ("low", 0.20), "double_slash_in_path": ("medium", 0.40), "at_symbol_in_url": ("critical", 0.90), "data_or_js_uri": ("critical", 1.0),
+}

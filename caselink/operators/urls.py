@@ -117,14 +117,35 @@ def features_lexical() -> dict[str, Column]:
             "contains_suspicious_keyword": (bad > 0).cast("int"), "longest_word_length": longest, "digit_to_letter_ratio": F.round(F.when(letters > 0, count("url", "[0-9]") / letters).otherwise(0.0), 4)}
 
 
-def features_brand() -> dict[str, Column]:
-    """Brand names in the domain, subdomain and path; distance to the nearest brand. All off on an official domain."""
-    brands = [b for b in W.OFFICIAL_DOMAINS if b not in W.NOT_IMPERSONATED]
-    official = F.col("registered_domain").isin(*(x for v in W.OFFICIAL_DOMAINS.values() for x in v))
-    near = F.array_min(F.array(*(F.levenshtein(F.col("domain"), F.lit(b)) for b in brands)))
-    within = lambda c: F.when(official, 0).otherwise((hits(F.lower(c), [b for b in brands if len(b) > 4]) > 0).cast("int"))
-    return {"brand_in_domain": within("domain"), "brand_in_subdomain": within("subdomain"), "brand_in_path": within("path"), "min_brand_distance": F.when(official, 0).otherwise(near),
-            "brand_similarity": F.when(official, 0.0).otherwise(F.round(1 - near / F.greatest(F.length("domain"), F.lit(1)), 4)), "is_typosquat": F.when(official, 0).otherwise(near.between(1, 2).cast("int"))}
+def brand_hit(brand: str, text: Column) -> Column:
+    """Whether a text holds a brand; brands of up to four letters need neighbours that aren't letters."""
+    return text.contains(brand) if len(brand) > 4 else text.rlike(rf"(^|[^\p{{L}}]){brand}([^\p{{L}}]|$)")
+
+
+BRANDS = [b for b in W.OFFICIAL_DOMAINS if b not in W.NOT_IMPERSONATED]
+
+
+def features_brand(metadata: bool = False) -> dict[str, Column]:
+    """The first brand (in fixed order) whose official domain this is or that the URL holds, and where; distance to the
+    nearest brand. All flags are off on an official domain. ``metadata`` adds the names."""
+    places = {"domain": F.lower("registered_domain"), "subdomain": F.lower("subdomain"), "path": F.lower("path"), "filename": F.lower("filename"), "query": F.lower("query")}
+    found = lambda b, official, held: F.struct(F.lit(b).alias("brand"), F.lit(official).alias("official"), held.alias("held"))
+    none = F.array().cast("array<string>")
+    chain = F
+    for b, own in ((b, W.OFFICIAL_DOMAINS[b]) for b in BRANDS):
+        held = F.array_compact(F.array(*(F.when(brand_hit(b, text), place) for place, text in places.items())))
+        chain = chain.when(F.col("registered_domain").isin(*own), found(b, True, none)).when(F.size(held) > 0, found(b, False, held))
+    first = chain.otherwise(found(None, False, none))
+    flag = lambda place: let(first, lambda x: F.array_contains(x["held"], place).cast("int"))
+    near = F.array_min(F.array(*(F.struct(F.levenshtein(F.lower("domain"), F.lit(b)).alias("d"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, b in enumerate(BRANDS))))
+    score = lambda x: F.when(x["official"], 0.0).otherwise(F.round(1 - near["d"] / F.greatest(F.length("domain"), F.length(near["b"]), F.lit(1)), 4))
+    squat = lambda x: (near["d"].between(1, 2) & ~F.array_contains(x["held"], "domain") & ~x["official"]).cast("int")
+    out = {f"brand_in_{k}": flag(k) for k in ("domain", "subdomain", "path")}
+    out |= {"min_brand_distance": near["d"], "brand_similarity_score": let(first, score), "is_typosquat": let(first, squat)}
+    names = {"brand_detected": let(first, lambda x: x["brand"]), "official_domain_match": let(first, lambda x: x["official"]), "closest_brand": near["b"],
+             "brand_location": let(first, lambda x: F.when(x["official"], "domain").otherwise(F.coalesce(F.get(x["held"], 0), F.lit("none")))),
+             "brand_similarity": let(first, lambda x: F.when(x["brand"].isNotNull(), score(x)).otherwise(0.0))}
+    return out | names if metadata else out
 
 
 def features_security() -> dict[str, Column]:
@@ -149,21 +170,31 @@ def url_features(df: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) ->
     return url_parts(df).select(*df.columns, *(c.alias(k) for k, c in cols.items()))
 
 
-#: What a rule adds to the score of a URL, and its severity.
-RULES = {"is_ip_based": ("high", 0.75), "is_url_shortener": ("medium", 0.50), "is_punycode": ("high", 0.70), "has_homograph_chars": ("critical", 0.90), "is_data_uri": ("critical", 0.95), "has_javascript": ("critical", 0.95), "suspicious_tld": ("medium", 0.35),
-         "many_subdomains": ("medium", 0.30), "long_url": ("low", 0.20), "suspicious_keywords": ("medium", 0.35), "at_symbol": ("high", 0.60), "no_https": ("low", 0.15), "typosquat": ("high", 0.70), "brand_in_subdomain": ("high", 0.65), "double_slash": ("low", 0.20)}
-
-
 def rule_findings(features: DataFrame) -> DataFrame:
-    """Rules that fire on a URL's features, their capped sum, and whether one of them is critical."""
+    """Rules that fire on a URL's features with their severities, their capped sum, and whether one of them is critical."""
     c = F.col
-    fires = {"is_ip_based": c("is_ip_address") == 1, "is_url_shortener": c("is_url_shortener") == 1, "is_punycode": c("is_punycode") == 1, "has_homograph_chars": c("has_homograph_chars") == 1, "is_data_uri": c("is_data_uri") == 1, "has_javascript": c("has_javascript") == 1,
-             "suspicious_tld": c("is_suspicious_tld") == 1, "many_subdomains": c("subdomain_count") >= 3, "long_url": c("url_length") > 100, "suspicious_keywords": c("suspicious_keyword_count") > 0, "at_symbol": c("has_at_symbol") == 1, "no_https": c("is_https") == 0,
-             "typosquat": c("is_typosquat") == 1, "brand_in_subdomain": c("brand_in_subdomain") == 1, "double_slash": c("has_double_slash") == 1}
-    found = F.array_compact(F.array(*(F.when(t, k) for k, t in fires.items())))
-    score = reduce(lambda a, b: a + b, (F.when(t, RULES[k][1]).otherwise(0.0) for k, t in fires.items()))
-    definite = reduce(lambda a, b: a | b, (t for k, t in fires.items() if RULES[k][0] == "critical"))
-    return features.select("url", F.array_join(found, ",").alias("rules"), F.round(F.least(F.lit(1.0), score), 4).alias("rule_score"), definite.alias("definite"))
+    on = lambda name: c(name) == 1
+    host, words = F.lower(F.regexp_extract("url", AUTHORITY + r"([^/?#:]+)", 1)), c("suspicious_keyword_count")
+    local = host.isin("localhost", "127.0.0.1", "") | host.startswith("192.168.")
+    scheme = F.lower(F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    fires = {"is_ip_based": on("is_ip_address"), "is_url_shortener": on("is_url_shortener") | reduce(lambda a, b: a | b, (host.contains(x) for x in W.SHORTENERS)),
+             "is_punycode": on("is_punycode"), "has_homograph_chars": on("has_homograph_chars"), "suspicious_tld": on("is_suspicious_tld") | (c("tld_risk_score") >= 0.7),
+             "brand_in_subdomain": on("brand_in_subdomain"), "brand_in_domain": on("brand_in_domain"), "typosquatting": on("is_typosquat"),
+             "excessive_subdomains": c("subdomain_count") >= 3, "suspicious_keywords": words >= 2, "suspicious_keyword_single": words == 1, "long_url": c("url_length") >= 75,
+             "no_https": (c("is_https") == 0) & ~local, "double_slash_in_path": on("has_double_slash"), "at_symbol_in_url": on("has_at_symbol"),
+             "data_or_js_uri": on("is_data_uri") | on("has_javascript") | scheme.isin("data", "javascript")}
+
+    def finding(rule: str) -> Column:
+        severity, share = W.RULES[rule]
+        many = rule == "suspicious_keywords"
+        return F.struct(F.lit(rule).alias("rule"), (F.when(words < 4, severity).otherwise("high") if many else F.lit(severity)).alias("severity"),
+                        (F.least(F.lit(0.55), share * words) if many else F.lit(share)).alias("share"))
+
+    found = features.select("url", F.array_compact(F.array(*(F.when(t, finding(k)) for k, t in fires.items()))).alias("found"))
+    total = F.aggregate("found", F.lit(0.0), lambda n, x: n + x["share"])
+    return found.select("url", F.array_join(F.transform("found", lambda x: x["rule"]), ",").alias("rules"),
+                        F.array_join(F.transform("found", lambda x: x["severity"]), ",").alias("severities"),
+                        F.round(F.least(F.lit(1.0), total), 4).alias("rule_score"), F.exists("found", lambda x: x["severity"] == "critical").alias("definite"))
 
 
 def score_host(df: DataFrame) -> DataFrame:
@@ -207,23 +238,40 @@ def match_blocklist(df: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def domain_risk(df: DataFrame) -> DataFrame:
-    """Depth, entropy, randomness and risk points of a URL's domain."""
-    p = url_parts(df).withColumn("h", entropy(F.col("domain")))
-    random = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("h") - 2.6) / 1.6)), 4)
-    depth = F.when(F.col("subdomain") == "", 0).otherwise(F.size(F.split("subdomain", r"\.")))
-    brands = [b for b in W.OFFICIAL_DOMAINS if b not in W.NOT_IMPERSONATED]
-    near = reduce(lambda a, b: a | b, ((F.levenshtein("domain", F.lit(b), 1) == 1) for b in brands))
-    points = F.when(depth >= 3, 15).otherwise(0) + F.when(F.col("suffix").isin(*W.RISKY_TLDS), 20).otherwise(0) + F.round(random * 20).cast("int") + F.when(near, 30).otherwise(0) + F.when(F.col("host").contains("xn--"), 20).otherwise(0)
-    return p.select(*df.columns, depth.alias("depth"), F.col("h").alias("core_entropy"), random.alias("randomness"), F.least(points, F.lit(60)).alias("risk_points"))
+    """Depth, entropy, randomness, embedded or near brand, and risk points of a URL's host."""
+    labels = F.split("host", r"\.")
+    n = F.size(labels)
+    p = url_parts(df).select(*df.columns, "host").withColumns({
+        "core": F.when(n >= 2, F.get(labels, n - 2)).otherwise(F.get(labels, F.lit(0))), "ending": F.when(n >= 2, F.get(labels, n - 1)).otherwise(""),
+        "depth": F.greatest(n - 2, F.lit(0))})
+    p = p.withColumn("flat", F.replace("core", F.lit("-"), F.lit(""))).withColumn("core_entropy", F.round(entropy(F.col("core")), 2))
+    p = p.withColumn("randomness", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("core_entropy") - 2.6) / 1.6)), 2))
+    chain = F
+    named = lambda inside, near: F.struct(F.lit(inside).alias("inside"), F.lit(near).alias("near"))
+    for b in W.PROTECTED_BRANDS:
+        own, held, close = (F.col("flat") == b) | (F.col("core") == b), F.contains("flat", F.lit(b)), F.levenshtein("flat", F.lit(b), 1) >= 0
+        chain = chain.when(own, named("", "")).when(held, named(b, "")).when(close, named("", b))
+    p = p.withColumn("brand", chain.otherwise(named("", "")))
+    tests = [(F.col("depth") >= 3, 10), ((F.col("randomness") >= 0.6) & (F.length("core") >= 8), 15), (F.col("ending").isin(*W.DOMAIN_RISKY_TLDS), 15),
+             (~F.col("host").rlike(r"^[\x00-\x7f]*$"), 20), ((F.col("brand.inside") != "") | (F.col("brand.near") != ""), 30)]
+    risk = reduce(lambda a, b: a + b, (F.when(t, k).otherwise(0) for t, k in tests))
+    return p.select(*df.columns, "host", "depth", "core_entropy", "randomness", F.col("brand.inside").alias("impersonated_brand"), F.col("brand.near").alias("typosquat_of"), risk.alias("risk_points"))
 
 
 def cloud_context(df: DataFrame) -> DataFrame:
-    """Cloud provider of the host and how suspicious its use is."""
-    p = url_parts(df)
-    provider = reduce(lambda a, kv: a.when(F.col("host").endswith("." + kv[0]), kv[1]), list(W.CLOUD_SUFFIXES.items())[1:], F.when(F.col("host").endswith("." + next(iter(W.CLOUD_SUFFIXES))), next(iter(W.CLOUD_SUFFIXES.values()))))
-    signals = [hits(F.lower("url"), W.LURE_WORDS) > 0, hits(F.lower("url"), W.REWARD_WORDS) > 0, F.length("subdomain") > 20, count("host", "-") >= 2, F.col("scheme") != "https", F.col("query") != ""]
-    n = reduce(lambda a, b: a + b, (F.coalesce(s, F.lit(False)).cast("int") for s in signals))
-    return p.select(*df.columns, provider.alias("provider"), F.when(provider.isNull(), 0).otherwise(n).alias("signals"), F.when(provider.isNull() | (n == 0), 0).otherwise(F.least(F.lit(35), 12 + 8 * (n - 1))).alias("points"))
+    """Cloud provider of the host and how suspicious its use is, by wording, brands and what domain_risk finds."""
+    p, url = domain_risk(df), F.lower("url")
+    chain = F
+    for name, suffixes in W.CLOUD_PROVIDERS.items():
+        chain = chain.when(reduce(lambda a, b: a | b, ((F.col("host") == x) | F.col("host").endswith("." + x) for x in suffixes)), name)
+    provider = chain.otherwise(None)
+    signals = [hits(url, W.CLOUD_LOGIN_WORDS) > 0, hits(url, W.CLOUD_MONEY_WORDS) > 0, hits(url, W.CLOUD_BRAND_WORDS) > 0, F.col("impersonated_brand") != "",
+               F.col("typosquat_of") != "", F.col("depth") >= 3]
+    n = reduce(lambda a, b: a + b, (s.cast("int") for s in signals))
+    seen = p.select(*df.columns, provider.alias("provider"), n.alias("n"))
+    none = F.col("provider").isNull()
+    return seen.select(*df.columns, "provider", F.when(none, 0).otherwise(F.col("n")).alias("signals"),
+                       F.when(none | (F.col("n") == 0), 0).otherwise(F.least(F.lit(35), 12 + 8 * (F.col("n") - 1))).alias("points"))
 
 
 def brand_findings(df: DataFrame) -> DataFrame:

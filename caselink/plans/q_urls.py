@@ -32,6 +32,10 @@ def _family(name):
     return run
 
 
+def d9_features_brand(spark, d):
+    return op.url_parts(_urls(spark, d)).select("page_id", "url", *(c.alias(k) for k, c in op.features_brand(metadata=True).items()))
+
+
 def d12_url_features(spark, d):
     return op.url_features(_urls(spark, d))
 
@@ -111,7 +115,7 @@ def c15_encode_urls(spark, d):
     return op.encode_urls(_urls(spark, d)).select("page_id", F.array_join(F.transform("char_ids", lambda x: x.cast("string")), ",").alias("char_ids"))
 
 
-QUERIES = {k: f for k, f in globals().items() if k[0] in "dc" and k[1].isdigit()} | {f"d{i}_features_{n}": _family(n) for i, n in ((4, "length"), (5, "character"), (6, "entropy"), (7, "structural"), (8, "lexical"), (9, "brand"), (10, "security"), (11, "tld"))}
+QUERIES = {k: f for k, f in globals().items() if k[0] in "dc" and k[1].isdigit()} | {f"d{i}_features_{n}": _family(n) for i, n in ((4, "length"), (5, "character"), (6, "entropy"), (7, "structural"), (8, "lexical"), (10, "security"), (11, "tld"))}
 
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 PARTS = rf"""p0 AS (
@@ -143,8 +147,8 @@ SQL_FAMILIES = {
                  "is_url_shortener": f"(registered_domain IN {_in(W.SHORTENERS)})::INTEGER", "is_data_uri": "starts_with(lower(url), 'data:')::INTEGER", "has_javascript": "contains(lower(url), 'javascript:')::INTEGER"},
     "tld": {"is_suspicious_tld": f"(suffix IN {_in(W.RISKY_TLDS)})::INTEGER", "tld_risk_score": f"CASE WHEN suffix IN {_in(W.RISKY_TLDS)} THEN 0.8 WHEN length(string_split(suffix, '.')[-1]) = 2 THEN 0.3 WHEN suffix IN ('com','org','net','edu','gov') THEN 0.1 ELSE 0.4 END::DOUBLE",
             "is_cctld": "(length(string_split(suffix, '.')[-1]) = 2)::INTEGER", "is_new_gtld": "(length(string_split(suffix, '.')[-1]) <> 2 AND suffix NOT IN ('com','org','net','edu','gov','mil','int',''))::INTEGER"},
-    "brand": {**{f"brand_in_{k}": f"CASE WHEN registered_domain IN {OFFICIAL} THEN 0 ELSE ({_hits(f'lower({c})', [b for b in BRANDS if len(b) > 4])} > 0)::INTEGER END" for k, c in (("domain", "domain"), ("subdomain", "subdomain"), ("path", "path"))},
-              "min_brand_distance": f"CASE WHEN registered_domain IN {OFFICIAL} THEN 0 ELSE least({', '.join(f'levenshtein(domain, {chr(39)}{b}{chr(39)})' for b in BRANDS)}) END::INTEGER"},
+    "brand": {**{f"brand_in_{k}": f"list_contains(held, '{k}')::INTEGER" for k in ("domain", "subdomain", "path")}, "min_brand_distance": "near",
+              "brand_similarity_score": "CASE WHEN official THEN 0 ELSE alike END::DOUBLE", "is_typosquat": "(near BETWEEN 1 AND 2 AND NOT list_contains(held, 'domain') AND NOT official)::INTEGER"},
 }
 WORDS = "regexp_replace(host, '[^a-z0-9]+', '', 'g')"
 EVERY = f"({WORDS} || regexp_replace(lower(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END), '[^a-z0-9]+', '', 'g'))"
@@ -153,7 +157,51 @@ SCORE = rf"""s AS (SELECT page_id, url, host, CASE WHEN contains(host, '.') THEN
   + CASE WHEN is_ip THEN 40 WHEN labels[-1] IN {_in(W.RISKY_TLDS)} THEN 25 ELSE 0 END + CASE WHEN registered_domain IN {_in(W.SHORTENERS)} THEN 35 ELSE 0 END + CASE WHEN contains(host, 'xn--') THEN 30 ELSE 0 END + CASE WHEN len(labels) >= 5 THEN 15 ELSE 0 END
   + CASE WHEN len(regexp_extract_all(host, '-')) >= 3 THEN 15 ELSE 0 END + CASE WHEN length(host) > 40 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(labels[1], '^[0-9a-f]{{8,}}$') THEN 10 ELSE 0 END + {_word(W.LURE_WORDS)} + {_word(W.REWARD_WORDS)}
   + CASE WHEN {_hits(EVERY, W.LURE_WORDS)} > 0 AND {_hits(EVERY, W.REWARD_WORDS)} > 0 THEN 10 ELSE 0 END) END END::INTEGER AS risk_score FROM q)"""
+_has = lambda b, text: f"contains({text}, '{b}')" if len(b) > 4 else f"regexp_matches({text}, '(^|[^\\p{{L}}]){b}([^\\p{{L}}]|$)')"
+PLACES = {"domain": "lower(registered_domain)", "subdomain": "lower(subdomain)", "path": "lower(path)", "filename": "lower(filename)", "query": "lower(query)"}
+BRANDED = f"""b0 AS (SELECT *, coalesce({', '.join(f"CASE WHEN registered_domain IN {_in(W.OFFICIAL_DOMAINS[b])} OR {' OR '.join(_has(b, t) for t in PLACES.values())} THEN '{b}' END" for b in BRANDS)}) AS brand,
+    list_min([{', '.join(f"(levenshtein(lower(domain), '{b}') * 1000 + {i})" for i, b in enumerate(BRANDS))}]) AS packed FROM q),
+b1 AS (SELECT *, coalesce({' OR '.join(f"(brand = '{b}' AND registered_domain IN {_in(W.OFFICIAL_DOMAINS[b])})" for b in BRANDS)}, false) AS official, (packed // 1000)::INTEGER AS near,
+    {_in(BRANDS).replace('(', '[').replace(')', ']')}[packed % 1000 + 1] AS closest FROM b0),
+b2 AS (SELECT *, CASE WHEN official OR brand IS NULL THEN []::VARCHAR[] ELSE list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'(brand = {chr(39)}{b}{chr(39)} AND {_has(b, t)})' for b in BRANDS)} THEN '{k}' END" for k, t in PLACES.items())}], lambda x: x IS NOT NULL) END AS held,
+    round(1 - near / greatest(length(domain), length(closest), 1)::DOUBLE, 4) AS alike FROM b1)"""
+_h = lambda text: (f"round(coalesce(list_sum(list_transform(list_distinct(list_filter(string_split({text}, ''), lambda x: x <> '')), lambda c: -(len(list_filter(string_split({text}, ''), lambda y: y = c))::DOUBLE / length({text}))"
+                   f" * log2(len(list_filter(string_split({text}, ''), lambda y: y = c))::DOUBLE / length({text})))), 0), 6)")
+SQL_FAMILIES["entropy"] = {f"{k}_entropy": _h(c) for k, c in (("url", "url"), ("hostname", "host"), ("domain", "domain"), ("path", "path"), ("subdomain", "subdomain"), ("query", "query"))} | {
+    "digit_ratio": f"round({_n('[0-9]')} / greatest(length(url), 1)::DOUBLE, 4)",
+    "vowel_consonant_ratio": "round(coalesce(len(regexp_extract_all(host, '[aeiou]'))::DOUBLE / nullif(len(regexp_extract_all(host, '[b-df-hj-np-tv-z]')), 0), 0), 4)"}
+FEATURES = f"WITH {PARTS}, {BRANDED}, f AS (SELECT page_id, url, host, " + ", ".join(f"{v} AS {k}" for n in ("length", "character", "entropy", "structural", "lexical", "brand", "security", "tld") for k, v in SQL_FAMILIES[n].items()) + " FROM b2)"
+_any = lambda text, ws: "(" + " OR ".join(f"contains({text}, '{w}')" for w in ws) + ")"
+FIRES = {"is_ip_based": "is_ip_address = 1", "is_url_shortener": f"is_url_shortener = 1 OR {_any('host', W.SHORTENERS)}", "is_punycode": "is_punycode = 1", "has_homograph_chars": "has_homograph_chars = 1",
+         "suspicious_tld": "is_suspicious_tld = 1 OR tld_risk_score >= 0.7", "brand_in_subdomain": "brand_in_subdomain = 1", "brand_in_domain": "brand_in_domain = 1", "typosquatting": "is_typosquat = 1",
+         "excessive_subdomains": "subdomain_count >= 3", "suspicious_keywords": "suspicious_keyword_count >= 2", "suspicious_keyword_single": "suspicious_keyword_count = 1", "long_url": "url_length >= 75",
+         "no_https": "is_https = 0 AND NOT (host IN ('localhost', '127.0.0.1', '') OR starts_with(host, '192.168.'))", "double_slash_in_path": "has_double_slash = 1", "at_symbol_in_url": "has_at_symbol = 1",
+         "data_or_js_uri": "is_data_uri = 1 OR has_javascript = 1 OR regexp_matches(lower(url), '^(data|javascript):')"}
+_severity = lambda k: "CASE WHEN suspicious_keyword_count < 4 THEN 'medium' ELSE 'high' END" if k == "suspicious_keywords" else f"'{W.RULES[k][0]}'"
+_share = lambda k: "least(0.55, 0.15::DOUBLE * suspicious_keyword_count)" if k == "suspicious_keywords" else f"{W.RULES[k][1]}::DOUBLE"
+_listed = lambda make: "list_filter([" + ", ".join(f"CASE WHEN {t} THEN {make(k)} END" for k, t in FIRES.items()) + "], lambda x: x IS NOT NULL)"
+RISK = f"""r0 AS (SELECT page_id, url, host, CASE WHEN len(labels) >= 2 THEN labels[-2] ELSE labels[1] END AS core, CASE WHEN len(labels) >= 2 THEN labels[-1] ELSE '' END AS ending, greatest(len(labels) - 2, 0)::INTEGER AS depth FROM q),
+r1 AS (SELECT *, replace(core, '-', '') AS flat, round({_h('core')}, 2) AS core_entropy FROM r0),
+r2 AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (core_entropy - 2.6) / 1.6)), 2) AS randomness,
+  CASE {' '.join(f"WHEN flat = '{b}' OR core = '{b}' THEN '' WHEN contains(flat, '{b}') THEN 'in:{b}' WHEN levenshtein(flat, '{b}') <= 1 THEN 'by:{b}'" for b in W.PROTECTED_BRANDS)} ELSE '' END AS brand FROM r1),
+risk AS (SELECT page_id, url, host, depth, core_entropy, randomness, CASE WHEN starts_with(brand, 'in:') THEN brand[4:] ELSE '' END AS impersonated_brand, CASE WHEN starts_with(brand, 'by:') THEN brand[4:] ELSE '' END AS typosquat_of,
+  (CASE WHEN depth >= 3 THEN 10 ELSE 0 END + CASE WHEN randomness >= 0.6 AND length(core) >= 8 THEN 15 ELSE 0 END + CASE WHEN ending IN {_in(W.DOMAIN_RISKY_TLDS)} THEN 15 ELSE 0 END
+   + CASE WHEN regexp_matches(host, '[^\\x00-\\x7f]') THEN 20 ELSE 0 END + CASE WHEN brand <> '' THEN 30 ELSE 0 END)::INTEGER AS risk_points FROM r2)"""
+CLOUD = f"""c AS (SELECT page_id, url, CASE {' '.join(f"WHEN {' OR '.join(f'(host = {chr(39)}{x}{chr(39)} OR ends_with(host, {chr(39)}.{x}{chr(39)}))' for x in xs)} THEN '{k}'" for k, xs in W.CLOUD_PROVIDERS.items())} END AS provider,
+  {_any('lower(url)', W.CLOUD_LOGIN_WORDS)}::INTEGER + {_any('lower(url)', W.CLOUD_MONEY_WORDS)}::INTEGER + {_any('lower(url)', W.CLOUD_BRAND_WORDS)}::INTEGER + (impersonated_brand <> '')::INTEGER + (typosquat_of <> '')::INTEGER + (depth >= 3)::INTEGER AS n FROM risk)"""
+REASONS = ["CASE WHEN is_ip_address = 1 THEN 'uses a raw IP address' END", "CASE WHEN is_https = 0 THEN 'is not encrypted' END", "CASE WHEN suspicious_keyword_count > 0 THEN 'holds ' || suspicious_keyword_count || ' suspicious words' END",
+           "CASE WHEN subdomain_count >= 2 THEN 'has ' || subdomain_count || ' subdomain levels' END", "CASE WHEN is_suspicious_tld = 1 THEN 'has a risky ending' END", "CASE WHEN url_length > 75 THEN 'is ' || url_length || ' characters long' END"]
 ORACLES = {
+    "d6_features_entropy": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["entropy"].items()) + " FROM q",
+    "d9_features_brand": f"WITH {PARTS}, {BRANDED} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["brand"].items()) + """, brand AS brand_detected, official AS official_domain_match, closest AS closest_brand,
+  CASE WHEN official THEN 'domain' ELSE coalesce(held[1], 'none') END AS brand_location, CASE WHEN brand IS NULL OR official THEN 0 ELSE alike END::DOUBLE AS brand_similarity FROM b2""",
+    "d12_url_features": FEATURES + " SELECT * EXCLUDE (host) FROM f",
+    "d13_rule_findings": FEATURES + f""" SELECT url, array_to_string({_listed(lambda k: f"'{k}'")}, ',') AS rules, array_to_string({_listed(_severity)}, ',') AS severities,
+  round(least(1.0::DOUBLE, coalesce(list_sum({_listed(_share)}), 0)), 4) AS rule_score, list_contains({_listed(_severity)}, 'critical') AS definite FROM f""",
+    "d17_domain_risk": f"WITH {PARTS}, {RISK} SELECT * FROM risk",
+    "d18_cloud_context": f"WITH {PARTS.replace('FROM pages)', 'FROM (SELECT page_id, replace(url, ' + chr(39) + 'example.org' + chr(39) + ', ' + chr(39) + 'github.io' + chr(39) + ') AS url FROM pages))')}, {RISK}, {CLOUD}" + """
+SELECT page_id, url, provider, CASE WHEN provider IS NULL THEN 0 ELSE n END::INTEGER AS signals, CASE WHEN provider IS NULL OR n = 0 THEN 0 ELSE least(35, 12 + 8 * (n - 1)) END::INTEGER AS points FROM c""",
+    "d24_explain": FEATURES + f" SELECT url, array_to_string(list_filter([{', '.join(REASONS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM f",
     "d2_url_parts": f"WITH {PARTS} SELECT page_id, scheme, host, port, path, query, fragment, suffix, domain, registered_domain, subdomain, extension FROM q",
     **{f"d{i}_features_{n}": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES[n].items()) + " FROM q" for i, n in ((4, "length"), (5, "character"), (7, "structural"), (8, "lexical"), (10, "security"), (11, "tld"))},
     "d14_score_host": f"WITH {PARTS}, {SCORE} SELECT *, CASE WHEN risk_score >= 70 THEN 'malicious' WHEN risk_score >= 35 THEN 'suspicious' WHEN risk_score IS NOT NULL THEN 'benign' END AS verdict FROM s",
