@@ -72,5 +72,6 @@ def aliases(occ: DataFrame, most: int = 10) -> DataFrame:
     n = ids.groupBy(*keys).agg(F.count_distinct("item_id").alias("items"))
     other = ids.select("case_id", "item_id", F.concat_ws(":", "entity_type", "value").alias("other"))
     met = ids.join(other, ["case_id", "item_id"]).where(F.concat_ws(":", "entity_type", "value") != F.col("other")).groupBy(*keys, "other").agg(F.count_distinct("item_id").alias("together"))
-    return (met.join(n, keys).where(F.col("together") >= F.when(F.col("items") == 1, 1).otherwise(2)).groupBy(*keys)
-            .agg(F.slice(F.array_sort(F.collect_list("other")), 1, most).alias("aliases")))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("other"))
+    kept = met.join(n, keys).where(F.col("together") >= F.when(F.col("items") == 1, 1).otherwise(2)).withColumn("place", first).where(F.col("place") <= most)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("aliases"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caselink.functions import constants as K
 from caselink.functions.scores import band, lookup
+from caselink.session import durable
 
 
 def normalised(occ: DataFrame, trim: bool = True) -> DataFrame:
@@ -122,10 +123,36 @@ def correlation_summary(pairs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("top.a").alias("top_a"), F.col("top.b").alias("top_b"), (-F.col("top.c")).alias("top_confidence"))
 
 
-def cross_case_links(occ: DataFrame, spec: DataFrame) -> DataFrame:
-    """Case pairs that share values: confidence from the unrounded sum; links without a relationship go."""
-    factors = capped_factors(shared_values(occ, spec, [], "case_id"), [])
-    links = factors.groupBy("a", "b").agg(F.sum(lookup("entity_type", K.LINK_WEIGHTS) * F.col("total")).alias("raw"), F.sum("matches").alias("matches"))
+def cross_case_links(occ: DataFrame, spec: DataFrame, block: int = 1000) -> DataFrame:
+    """Case pairs that share values: confidence from the unrounded sum; links without a relationship go.
+
+    Values are numbers in the join, those of one item are left out first, and the cases of a frequent value are cut into
+    blocks of about ``block``, so that its pairs come from a task for two blocks. Only how many of its values a pair shares
+    and the sum of the (at most 3) most specific ones matter, in ten-thousandths: a plain sum where there are no more than
+    these, a ranking for the other pairs.
+    """
+    kinds = F.when(F.lit(False), 0)
+    for i, kind in enumerate(K.LINK_WEIGHTS):
+        kinds = kinds.when(F.col("entity_type") == kind, i)
+    weight = {i: w for i, w in enumerate(K.LINK_WEIGHTS.values())}
+    numbered = durable(spec.where("df > 1").select("entity_type", "value", F.round(F.col("specificity") * 10000).cast("long").alias("s"), kinds.alias("kind"),
+                                                   F.monotonically_increasing_id().alias("v")), "cross-values")
+    rows = occ.select("case_id", "entity_type", "value").distinct().join(numbered, ["entity_type", "value"]).select("case_id", "v", "s", "kind")
+    sized = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("v")) / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("case_id"), F.col("blocks")).cast("int"))
+    cells = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "v", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "case_id", "s", "kind")
+    left, right = cells.withColumnsRenamed({"case_id": "a", "mine": "x"}), cells.select("v", "low", "high", F.col("mine").alias("y"), F.col("case_id").alias("b"))
+    shared = left.join(right, ["v", "low", "high"]).where("a < b and (low = high or x <> y)").select("a", "b", "kind", "s")
+    sums = shared.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+    sums = durable(sums, "cross-sums")
+    many = sums.where(F.col("n") > K.FACTOR_CAP).select("a", "b", "kind")
+    w = Window.partitionBy("a", "b", "kind").orderBy(F.col("s").desc())
+    top = (shared.join(many, ["a", "b", "kind"], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K.FACTOR_CAP)
+           .groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("s").alias("total")))
+    factors = sums.where(F.col("n") <= K.FACTOR_CAP).unionByName(top)
+    # tenths of weights are whole: the sum is exact in any order
+    part = F.col("total") * F.round(lookup("kind", weight) * 100).cast("long")
+    links = factors.groupBy("a", "b").agg((F.sum(part) / 1e6).alias("raw"), F.sum("n").alias("matches"))
     return (links.select("a", "b", "matches", confidence(F.col("raw")).alias("confidence")).withColumn("strength", band(F.col("confidence"), K.STRENGTH_BANDS))
             .where("strength <> 'NO_RELATIONSHIP'"))
 

@@ -71,7 +71,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str,
     return nodes.select(F.col(node).alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def pagerank(simple: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 40) -> DataFrame:
+def pagerank(simple: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """Weighted PageRank of an undirected simple graph (no node is dangling), to an absolute change below the tolerance."""
     both = simple.select("u", "v", "weight").union(simple.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     total = both.groupBy("u").agg(F.sum("weight").alias("total"))
@@ -85,29 +85,30 @@ def pagerank(simple: DataFrame, damping: float = 0.85, tolerance: float = 1e-6,
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         rank = new.select("node", "rank")
         if not moved or moved < tolerance * n:
-            break
-    return rank
+            return rank
+    raise RuntimeError("PageRank did not settle")
 
 
-def communities(simple: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(simple: DataFrame, rounds: int = 100) -> DataFrame:
     """Weighted label propagation: every node takes the label with the most weight around it, the smallest in a tie;
-    rounds alternate between odd and even nodes so that labels don't swap for ever."""
+    a round moves half of the nodes and the next the others, other halves every time, so that labels don't swap for ever;
+    the job ends when two such rounds move nothing."""
     both = durable(simple.select("u", "v", "weight").union(simple.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "labels-links")
     label = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     still = 0
     for i in range(rounds):
         votes = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("u").alias("node")).agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("m")).select("node", F.col("m.label").alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
         moved = durable(label.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"), (turn & (F.col("best") != F.col("label"))).alias("moved")), "labels")
         label = moved.select("node", "label")
         still = still + 1 if moved.where("moved").isEmpty() else 0
-        if still == 2:
-            break
-    return label.withColumnRenamed("label", "community")
+        if still >= 2 and i % 2:
+            return label.withColumnRenamed("label", "community")
+    raise RuntimeError("communities did not settle")
 
 
-def backbone(simple: DataFrame, rounds: int = 30) -> DataFrame:
+def backbone(simple: DataFrame, rounds: int = 64) -> DataFrame:
     """Maximum spanning forest by Boruvka rounds: each component takes its heaviest outgoing edge, ties by the ends."""
     edges = durable(simple.select("u", "v", "weight"), "boruvka-edges")
     comp = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("c", F.col("node"))
@@ -121,6 +122,8 @@ def backbone(simple: DataFrame, rounds: int = 30) -> DataFrame:
         chosen = new if chosen is None else chosen.union(new)
         roots = component_roots(chosen, "u", "v")
         comp = durable(comp.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "boruvka-components")
+    else:
+        raise RuntimeError("the forest did not settle")
     return chosen.distinct() if chosen is not None else edges.select("u", "v").limit(0)
 
 

@@ -130,7 +130,7 @@ def candidate_models(names: tuple[str, ...] = ("logistic", "tree", "forest", "bo
     return {n: made[n]() for n in names}
 
 
-def train_compare(train: DataFrame, validation: DataFrame, features: list[str], names: tuple[str, ...] = ("logistic", "tree")) -> DataFrame:
+def train_compare(train: DataFrame, validation: DataFrame, features: list[str], names: tuple[str, ...] = ("logistic", "tree", "forest", "boosted", "bayes", "svm")) -> DataFrame:
     """Validation metrics of each candidate family."""
     from pyspark.ml.feature import VectorAssembler
 
@@ -144,7 +144,7 @@ def train_compare(train: DataFrame, validation: DataFrame, features: list[str],
     return out
 
 
-def tune(train: DataFrame, features: list[str], depths: tuple[int, ...] = (2, 4)) -> DataFrame:
+def tune(train: DataFrame, features: list[str], depths: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
     """Grid search of a tree's depth by F1 on a held-out quarter."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator

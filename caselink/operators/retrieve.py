@@ -72,17 +72,24 @@ def tokens(text):
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
 
 
-def hybrid_rank(questions: DataFrame, chunks: DataFrame, least: float = 0.18) -> DataFrame:
-    """Chunks by share of the question's words, exact ids and entity values they hold; through an inverted word table.
+def hybrid_rank(questions: DataFrame, chunks: DataFrame, near: DataFrame, least: float = 0.18) -> DataFrame:
+    """Chunks by vector score (0.65), share of the question's words (0.35, through an inverted word table), the exact id and
+    the entity value they hold.
 
-    questions: (query_id, text, entity, exact_id); without a vector score its share is 0.
+    questions: (query_id, text, entity, exact_id); near: (query_id, item_id, score), as knn gives it. A chunk that shares
+    no word, vector or id with a question isn't looked at: an entity value of a question is words of it.
     """
     asked = questions.withColumn("words", tokens(F.col("text")))
     want = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("w"))
     held = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("w"))
-    overlap = want.join(held, "w").groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("m"))
-    scored = overlap.join(asked.select("query_id", "entity", "exact_id"), "query_id").join(chunks.select("chunk_id", "item_id", "text"), "chunk_id")
-    score = 0.35 * F.col("m") / F.col("n") + F.when(F.col("entity").isNotNull() & F.contains(F.col("text"), F.col("entity")), 0.55).otherwise(0.0) + F.when(F.col("exact_id") == F.col("item_id"), 0.85).otherwise(0.0)
+    words = want.join(held, "w").groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("m")).select("query_id", "chunk_id", (F.col("m") / F.col("n")).alias("words"))
+    names = chunks.select("chunk_id", "item_id")
+    vector = near.groupBy("query_id", "item_id").agg(F.max("score").alias("vector")).join(names, "item_id").select("query_id", "chunk_id", "vector")
+    exact = asked.select("query_id", F.col("exact_id").alias("item_id")).join(names, "item_id").select("query_id", "chunk_id", F.lit(1).alias("exact"))
+    found = words.join(vector, ["query_id", "chunk_id"], "full").join(exact, ["query_id", "chunk_id"], "full").na.fill(0, ["words", "vector", "exact"])
+    scored = found.join(asked.select("query_id", "entity"), "query_id").join(chunks.select("chunk_id", "item_id", "text"), "chunk_id")
+    entity = F.when(F.col("entity").isNotNull() & F.contains(F.col("text"), F.col("entity")), 0.55).otherwise(0.0)
+    score = 0.65 * F.col("vector") + 0.35 * F.col("words") + entity + 0.85 * F.col("exact")
     return scored.select("query_id", "chunk_id", "item_id", F.round(F.least(F.lit(1.0), score), 6).alias("score")).where(F.col("score") >= least)
 
 

@@ -76,7 +76,7 @@ def b5_search_cases(spark, d):
 def b6_evidence_state(spark, d):
     text = _lines(spark, d).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id"))
     forensics = _lines(spark, d).where("l_quantity > 49").select(F.col("l_orderkey").alias("item_id"))
-    return op.evidence_state(_register(spark, d), occurrences(spark, d).where("entity_type = 'domains'"), text, forensics)
+    return op.evidence_state(_register(spark, d), occurrences(spark, d), text, forensics)
 
 
 def b7_linked_cases(spark, d):
@@ -197,7 +197,7 @@ SELECT * FROM (SELECT o_orderdate AS ts, 'c' || o_custkey AS actor, 'order ' ||
 SELECT c_custkey AS case_id, c_name AS title, CASE WHEN c_acctbal > 0 THEN CASE WHEN c_nationkey < 5 THEN 'CLOSED' ELSE 'REVIEW' END ELSE 'OPEN' END AS status, c_acctbal > 9000 AS archived
 FROM customer WHERE (lower(c_name) LIKE '%machin%' OR c_acctbal > 0 AND lower(c_mktsegment) LIKE '%machin%') AND NOT c_acctbal > 9000""",
     "b6_evidence_state": f"""
-WITH {OCC}, n AS (SELECT item_id, count(*) AS n FROM occ WHERE entity_type = 'domains' GROUP BY item_id)
+WITH {OCC}, n AS (SELECT item_id, count(*) AS n FROM occ GROUP BY item_id)
 SELECT *, entity_count > 0 OR has_text OR has_forensics AS processed FROM (
   SELECT o_orderkey AS item_id, coalesce(n, 0) AS entity_count, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS has_text, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) AS has_forensics
   FROM orders LEFT JOIN n ON item_id = o_orderkey)""",

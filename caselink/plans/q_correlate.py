@@ -65,7 +65,7 @@ def g8_correlation_summary(spark, d):
 
 
 def _cross(spark, d):
-    occ = occ_of(spark, d).where("entity_type = 'bank_accounts'")
+    occ = occ_of(spark, d)
     return op.cross_case_links(occ, spec_of(occ))
 
 
@@ -109,7 +109,7 @@ def g13_suspects(spark, d):
 
 
 def g14_aliases(spark, d):
-    return C.aliases(occurrences(spark, d).where("entity_type = 'bank_accounts'"))
+    return C.aliases(occurrences(spark, d))
 
 
 def g15_baseline_exact_pairs(spark, d):
@@ -122,8 +122,7 @@ def g15_baseline_unweighted_pairs(spark, d):
 
 QUERIES = {k: f for k, f in globals().items() if k[0] == "g" and k[1].isdigit()}
 
-CROSS = SPEC.replace("FROM lineitem JOIN orders ON l_orderkey = o_orderkey\n  UNION ALL", "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)").split("\n  SELECT DISTINCT o_custkey, l_orderkey, 'domains'")
-CROSS = CROSS[0] + ",\nfreq AS" + SPEC.split("freq AS", 1)[1] + f""",
+CROSS = SPEC + f""",
 links AS (
   SELECT a, b, sum({WEIGHT} * specificity) AS raw, count(*) AS matches
   FROM (SELECT *, row_number() OVER (PARTITION BY a, b, entity_type ORDER BY specificity DESC, value) AS r FROM (

@@ -28,7 +28,7 @@ def i3_finalize_edges(spark, d):
 
 
 def _simple(spark, d):
-    edges = op.graph_edges(occurrences(spark, d)).where("target not like 'bank_account:%'").select(F.col("source").alias("u"), F.col("target").alias("v"), "edge_type", "confidence")
+    edges = op.graph_edges(occurrences(spark, d)).select(F.col("source").alias("u"), F.col("target").alias("v"), "edge_type", "confidence")
     return durable(op.project_simple(edges, {"contains": 0.5, "mentions": 0.8}), "simple")
 
 
@@ -37,12 +37,15 @@ def i4_project_simple(spark, d):
 
 
 def i5_graph_statistics(spark, d):
-    return op.graph_statistics(op.graph_nodes(occurrences(spark, d).where("entity_type = 'domains'")), _simple(spark, d))
+    return op.graph_statistics(op.graph_nodes(occurrences(spark, d)), _simple(spark, d))
 
 
 def i6_connected_components(spark, d):
-    lines = table(spark, d, "lineitem").where("l_discount > 0.08 and l_returnflag = 'R'").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_orderkey") * 2 + 1).alias("b"))
-    return op.connected_components(lines.select(F.col("a").alias("n")).union(lines.select("b")), lines, "n", "a", "b")
+    """Customers, their orders and the orders' lines, numbered apart."""
+    orders = table(spark, d, "orders").select((F.col("o_custkey") * 3).alias("a"), (F.col("o_orderkey") * 3 + 1).alias("b"))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 3 + 1).alias("a"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 3 + 2).alias("b"))
+    nodes = table(spark, d, "customer").select((F.col("c_custkey") * 3).alias("n"))
+    return op.connected_components(nodes.union(orders.select("b")).union(lines.select("b")), orders.union(lines), "n", "a", "b")
 
 
 def i7_pagerank(spark, d):
@@ -81,7 +84,7 @@ QUERIES = {k: f for k, f in globals().items() if k[0] == "i" and k[1].isdigit()}
 SIMPLE = OCC + """,
 e AS (
   SELECT DISTINCT 'case:' || case_id AS u, 'item:' || item_id AS v, 0.5::DOUBLE AS w FROM occ
-  UNION ALL SELECT DISTINCT 'item:' || item_id, 'domain:' || value, 0.9::DOUBLE * 0.8::DOUBLE FROM occ WHERE entity_type = 'domains'),
+  UNION ALL SELECT DISTINCT 'item:' || item_id, CASE entity_type WHEN 'domains' THEN 'domain' ELSE 'bank_account' END || ':' || value, 0.9::DOUBLE * 0.8::DOUBLE FROM occ),
 simple AS (SELECT least(u, v) AS u, greatest(u, v) AS v, greatest(0.001::DOUBLE, max(w)) AS weight, 1 / greatest(0.001::DOUBLE, max(w)) AS distance FROM e GROUP BY ALL)"""
 ORACLES = {
     "i1_graph_nodes": f"""
@@ -98,15 +101,15 @@ WITH e AS (SELECT least(l_partkey, l_suppkey) AS u, greatest(l_partkey, l_suppke
 SELECT u, v, edge_type, max(confidence) AS confidence, arg_min(item_id, (-confidence, item_id)) AS item_id, count(*) AS merged FROM e GROUP BY u, v, edge_type""",
     "i4_project_simple": f"WITH {SIMPLE} SELECT * FROM simple",
     "i5_graph_statistics": f"""
-WITH {SIMPLE}, n AS (SELECT (SELECT count(DISTINCT case_id) FROM occ WHERE entity_type = 'domains') + (SELECT count(DISTINCT item_id) FROM occ) + (SELECT count(DISTINCT value) FROM occ WHERE entity_type = 'domains') AS nodes),
+WITH {SIMPLE}, n AS (SELECT (SELECT count(DISTINCT case_id) FROM occ) + (SELECT count(DISTINCT item_id) FROM occ) + (SELECT count(DISTINCT (entity_type, value)) FROM occ) AS nodes),
 deg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM simple UNION ALL SELECT v FROM simple) GROUP BY node)
 SELECT nodes, edges, 2 * edges / (nodes * (nodes - 1))::DOUBLE AS density, 2 * edges / nodes::DOUBLE AS mean_degree, top_hub, top_degree
 FROM n, (SELECT count(*) AS edges FROM simple), (SELECT arg_min(node, (-degree, node)) AS top_hub, max(degree) AS top_degree FROM deg)""",
     "i6_connected_components": """
-WITH RECURSIVE e AS (SELECT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_discount > 0.08 AND l_returnflag = 'R'),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(n, r) AS (SELECT a, a FROM s UNION SELECT s.b, r FROM reach JOIN s ON s.a = n WHERE r < s.b)
-SELECT n AS node, min(r) AS component FROM reach GROUP BY n""",
+WITH tree AS (
+  SELECT c_custkey AS c, c_custkey * 3 AS node FROM customer UNION ALL SELECT o_custkey, o_orderkey * 3 + 1 FROM orders
+  UNION ALL SELECT o_custkey, (l_orderkey * 100 + l_linenumber) * 3 + 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT DISTINCT node, min(node) OVER (PARTITION BY c) AS component FROM tree""",
     "i12_evidence_pair_projection": """
 WITH e AS (SELECT l_orderkey AS o, l_returnflag AS edge_type, l_suppkey AS s, max(l_discount) OVER (PARTITION BY l_orderkey, l_returnflag) AS c FROM lineitem)
 SELECT x.s AS a, y.s AS b, x.edge_type, max(x.c) AS confidence FROM e x JOIN e y ON x.o = y.o AND x.edge_type = y.edge_type AND x.s < y.s GROUP BY ALL""",

@@ -34,26 +34,39 @@ def k4_knn(spark, d):
 
 
 def _questions(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("entity"), F.lit(None).cast("bigint").alias("exact_id"))
+    """Benchmark passages: the entity is their first long word, the exact id their own number where it is even."""
+    entity = F.regexp_extract("text", "[A-Za-z]{9,}", 0)
+    exact = F.when(F.col("item_id") % 2 == 0, F.col("item_id"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.when(entity != "", entity).alias("entity"), exact.alias("exact_id"))
 
 
 def _chunks(spark, d):
     return _texts(spark, d).select(F.concat(F.col("item_id").cast("string"), F.lit(":000")).alias("chunk_id"), "item_id", "text")
 
 
+def _near(spark, d):
+    """A question has the vector of its number, a document that of its id."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("scope"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = rows.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return op.knn(asked.withColumnRenamed("vec_id", "query_id"), rows).select("query_id", F.col("vec_id").alias("item_id"), "score")
+
+
+def _ranked(spark, d):
+    return op.hybrid_rank(_questions(spark, d), _chunks(spark, d), _near(spark, d))
+
+
 def k5_hybrid_rank(spark, d):
-    return op.hybrid_rank(_questions(spark, d), _chunks(spark, d))
+    return _ranked(spark, d)
 
 
 def k6_expand_and_diversify(spark, d):
     related = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") + 1).alias("other"))
-    return op.expand_and_diversify(op.hybrid_rank(_questions(spark, d), _chunks(spark, d)), related)
+    return op.expand_and_diversify(_ranked(spark, d), related)
 
 
 def k7_missing_constraints(spark, d):
     rows = table(spark, d, "documents")
-    questions = rows.where("lang = 'en'").select(F.col("doc_id").alias("query_id"), "text")
-    return op.missing_constraints(questions, rows.where("lang = 'en'").select((F.col("doc_id") - 1).alias("query_id"), "text"))
+    return op.missing_constraints(rows.select(F.col("doc_id").alias("query_id"), "text"), rows.select((F.col("doc_id") - 1).alias("query_id"), "text"))
 
 
 def k8_retrieval_metrics(spark, d):
@@ -68,13 +81,31 @@ NEAR = """near AS (
   SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 5)"""
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 2))"
-HITS = f"""q AS (SELECT item_id AS query_id, {WORDS.format('text')} AS ws FROM benchmark), h AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents),
-o AS (SELECT query_id, doc_id, count(*) / len(any_value(ws))::DOUBLE AS share FROM (SELECT query_id, ws, unnest(ws) AS w FROM q) JOIN h USING (w) GROUP BY query_id, doc_id),
-hits AS (SELECT query_id, doc_id || ':000' AS chunk_id, doc_id AS item_id, round(0.35::DOUBLE * share, 6) AS score FROM o WHERE round(0.35::DOUBLE * share, 6) >= 0.18)"""
+HITS = NEAR.replace("q.vec_id % 20 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)") + f""",
+q AS (SELECT item_id AS query_id, {WORDS.format('text')} AS ws, nullif(regexp_extract(text, '[A-Za-z]{{9,}}'), '') AS entity, CASE WHEN item_id % 2 = 0 THEN item_id END AS exact_id FROM benchmark),
+h AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents),
+words AS (SELECT query_id, doc_id, 0.35::DOUBLE * (count(*) / len(any_value(ws))::DOUBLE) AS s FROM (SELECT query_id, ws, unnest(ws) AS w FROM q) JOIN h USING (w) GROUP BY query_id, doc_id),
+parts AS (
+  SELECT * FROM words UNION ALL SELECT query_id, vec_id, 0.65::DOUBLE * round(1 / (1 + distance), 6) FROM top
+  UNION ALL SELECT query_id, exact_id, 0.85::DOUBLE FROM q WHERE exact_id IS NOT NULL),
+summed AS (SELECT query_id, doc_id, sum(s) AS s FROM parts GROUP BY query_id, doc_id),
+rated AS (
+  SELECT query_id, doc_id || ':000' AS chunk_id, doc_id AS item_id, round(least(1.0::DOUBLE, s + CASE WHEN entity IS NOT NULL AND contains(text, entity) THEN 0.55::DOUBLE ELSE 0 END), 6) AS score
+  FROM summed JOIN q USING (query_id) JOIN documents USING (doc_id)),
+hits AS (SELECT * FROM rated WHERE score >= 0.18)"""
+CONSTRAINT = r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\b[a-f0-9]{32,64}\b|(?:NPR|Rs\.?|USD|\$)\s?[0-9][0-9,]*|\b[0-9]{6,}\b"
 ORACLES = {
     "k3_sync_chunks": """
 SELECT doc_id::VARCHAR AS chunk_id, CASE lang WHEN 'fr' THEN 'add' WHEN 'es' THEN 'delete' WHEN 'de' THEN 'update' ELSE 'keep' END AS action FROM documents""",
     "k4_knn": f"WITH {NEAR} SELECT query_id, vec_id, rank::INTEGER AS rank, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM top",
     "k5_hybrid_rank": f"WITH {HITS} SELECT * FROM hits",
+    "k6_expand_and_diversify": f"""
+WITH {HITS}, every AS (SELECT query_id, chunk_id, item_id, score FROM hits UNION ALL SELECT query_id, (item_id + 1) || ':000', item_id + 1, round(score * 0.72::DOUBLE, 6) FROM hits),
+best AS (SELECT query_id, chunk_id, item_id, max(score) AS score FROM every GROUP BY ALL),
+turned AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY score DESC, chunk_id)::INTEGER AS turn FROM best)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, score DESC, chunk_id)::INTEGER AS rank FROM turned QUALIFY rank <= 8""",
+    "k7_missing_constraints": f"""
+WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{CONSTRAINT}'))) AS value FROM documents)
+SELECT DISTINCT doc_id AS query_id, value FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.doc_id - 1 = v.doc_id AND w.value = v.value)""",
     "k8_retrieval_metrics": f"WITH {NEAR} SELECT count(*) AS queries, 1.0::DOUBLE AS recall, round(avg(1.0::DOUBLE / n), 6) AS precision, 1.0::DOUBLE AS mrr FROM (SELECT query_id, count(*) AS n FROM top GROUP BY query_id)",
 }
