@@ -198,8 +198,12 @@ class Counts(dict):
 
 
 def prefix_table(text: str, path: str) -> np.ndarray:
-    """The token count of every prefix of a text, by its length in UTF-8 bytes from 0 on; a word that a prefix cuts
-    counts as the part of it that is left."""
+    """The token count of every prefix of a text, by its length in UTF-8 bytes from 0 on. A word that a prefix cuts counts
+    as the part of it that is left. Where a prefix is split into other words than the text, as it ends in white space, in a
+    contraction or in a special string, what follows the last white space before is counted anew.
+
+    Inside a character the count is that of its first bytes.
+    """
     v = vocabulary_of(path)
     out, at = [np.zeros(1, np.int64)], 0
     specials = v.special_split.findall(text) if v.special_split else []
@@ -212,7 +216,36 @@ def prefix_table(text: str, path: str) -> np.ndarray:
         if i < len(specials):
             out.append(np.full(len(specials[i].encode()), at + 1))
             at += 1
-    return np.concatenate(out)
+    table = np.concatenate(out)
+    anew = _resplit(text, v, parts, specials)
+    if anew:
+        offset = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in text)])
+        tails = [v.split.findall(text[a:b]) for a, b in anew]
+        counts = iter(v.prefix_counts([w.encode("utf-8", "surrogatepass") for ws in tails for w in ws]))
+        for (a, b), ws in zip(anew, tails, strict=True):
+            table[offset[b]] = table[offset[a]] + sum(int(next(counts)[-1]) for _ in ws)
+    return table
+
+
+def _resplit(text: str, v: ByteVocabulary, parts: list[str], specials: list[str]) -> list[tuple[int, int]]:
+    """(from, to) in characters, by ``to``: prefixes that are split otherwise, and where their last unit starts."""
+    out, start = [], 0
+    for i, part in enumerate(parts):
+        at, last = start, start
+        for unit in v.unit.findall(part):
+            blank = len(unit) - len(unit.lstrip())
+            if blank > 1 and blank < len(unit):
+                out.append((at, at + blank))
+            inside = at
+            for word in v.split.findall(unit):
+                out += [(at, inside + k) for k in range(2, len(word)) if word[0] == "'" and word[1].isalpha()]
+                inside += len(word)
+            last, at = at, at + len(unit)
+        if i < len(specials):
+            out += [(last, at + k) for k in range(1, len(specials[i]))]
+            at += len(specials[i])
+        start = at
+    return sorted(out, key=lambda x: x[1])
 
 
 def _mapper(path: str):
@@ -243,13 +276,18 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def fit_budget(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and kept_bytes, the longest prefix of each text with at most ``budget`` tokens, read off the prefix table."""
+    """doc_id and kept_bytes, the longest prefix of whole characters with at most ``budget`` tokens, read off the prefix
+    table."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            kept = [int(np.flatnonzero(prefix_table(t or "", path) <= budget)[-1]) for t in batch.column(1).to_pylist()]
+            kept = []
+            for t in batch.column(1).to_pylist():
+                raw = np.frombuffer((t or "").encode(), np.uint8)
+                whole = np.r_[(raw & 0xC0) != 0x80, True]
+                kept.append(int(np.flatnonzero((prefix_table(t or "", path) <= budget) & whole)[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.int64())], names=["doc_id", "kept_bytes"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, kept_bytes long")
