@@ -10,8 +10,9 @@ the leftmost non-overlapping matches of these patterns, failing matches dropped
     phone  a plus, then 10 to 15 digits with spaces, brackets, dots and hyphens between them
 
 Added kinds: ``url`` (from a scheme or www. to the next white space, quote or angle bracket, closing punctuation
-trimmed) and ``account`` (the identifier after a cue such as IBAN, account or passport: 6 to 34 characters of letters,
-digits, single spaces and hyphens with at least four digits).
+trimmed) and ``account``, what follows a cue: after IBAN, two letters and two check digits before 11 to 30 letters and
+digits, whose remainder by 97 is 1; after others, such as account or passport, at most four letters and then at least
+four digits, with single spaces and hyphens between, 6 to 34 characters in all. Schemes and cues may be in any case.
 
 Edge cases: null and empty texts have no spans; a null doc_id is kept as it is; repeated rows give repeated rows; an
 empty table gives an empty result; other columns pass ``redact`` untouched.
@@ -41,8 +42,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s\"'<>]+")
-ACCOUNT = re.compile(r"(?:\s+(?:no\.?|number|id))?[\s:=#]*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s\"'<>]+", re.IGNORECASE)
+LABEL = r"(?:\s+(?:no\.?|number|id))?[\s:=#]*"
+ACCOUNT = re.compile(LABEL + r"([A-Za-z]{0,4}-?[0-9](?:[ -]?[0-9]){3,}[A-Za-z]{0,4})(?![A-Za-z0-9])", re.IGNORECASE)
+IBAN = re.compile(LABEL + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.IGNORECASE)
+LOWER = {c: c + 32 for c in range(65, 91)}
 DIGITS = "0123456789"
 
 
@@ -55,12 +59,10 @@ def automaton() -> ahocorasick.Automaton:
         for e in DIGITS:
             for gap in ("", " ", "-"):
                 out.add_word(d + gap + e, ("card", 2 + len(gap)))
-    for s in SCHEMES:
-        for x in (s, s.upper(), s.capitalize()):
-            out.add_word(x, ("url", len(x)))
-    for c in CUES:
-        for x in (c, c.upper(), c.title(), c.capitalize()):
-            out.add_word(x, ("account", len(x)))
+    for x in SCHEMES:
+        out.add_word(x, ("url", len(x)))
+    for x in CUES:
+        out.add_word(x, ("account", len(x)))
     out.make_automaton()
     return out
 
@@ -75,11 +77,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(found: str) -> bool:
+    """Whether the check digits are right: the first four characters go last, letters count from 10, and 97 leaves 1."""
+    s = found.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def account_after(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """Where the identifier after a cue stands, if it is valid. An IBAN ends where its check digits are right."""
+    m = (IBAN if cue == "iban" else ACCOUNT).match(text, at)
+    if not m or m.start(1) == at:
+        return None
+    if cue != "iban":
+        return m.span(1) if 6 <= m.end(1) - m.start(1) <= 34 else None
+    # words may follow: shorter readings end at a space
+    ends = [m.end(1), *(i for i in range(m.end(1) - 1, m.start(1) + 14, -1) if text[i] == " ")]
+    return next(((m.start(1), e) for e in ends if iban(text[m.start(1) : e])), None)
+
+
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of one text in code points, by start and then kind as listed."""
     out: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, length) in anchors.iter(text):
+    # only ASCII letters, so that places stay the same
+    for last, (kind, length) in anchors.iter(text.lower() if text.isascii() else text.translate(LOWER)):
         start = last - length + 1
         if kind == "card":
             if start < done[kind]:
@@ -111,13 +132,13 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
                     out.append((start, m.end(), kind))
         elif start >= done[kind]:
             if kind == "url":
-                m = re.compile(URL.pattern, re.IGNORECASE).match(text, start)
+                m = URL.match(text, start)
                 if m and len(found := m.group().rstrip(".,;:!?)]}*_")) > length:
                     done[kind] = start + len(found)
                     out.append((start, done[kind], kind))
-            elif (start == 0 or not text[start - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)) and m.start(1) > last + 1 and sum(c in DIGITS for c in m.group(1)) >= 4:
-                done[kind] = m.end(1)
-                out.append((m.start(1), m.end(1), kind))
+            elif (start == 0 or not text[start - 1].isalnum()) and (found := account_after(text, last + 1, text[start : last + 1].lower())):
+                done[kind] = found[1]
+                out.append((*found, kind))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[0], rank[x[2]]))
 

@@ -119,6 +119,10 @@ def test_personal_data_parsers_equal_their_patterns():
     for _ in range(4000):
         s = "".join(r.choice(["@", "a", "b.", "1", "23", ".", " ", "-", "+", "(", "4539578763621486", "255", "9", "+1 234", "x@y.z", "%"]) for _ in range(r.randint(1, 14)))
         assert [x for x in pii.spans_of(s, anchors) if x[2] in pii.BASE] == plain(s)
+    account = lambda t: [t[a:b] for a, b, k in pii.spans_of(t, anchors) if k == "account"]
+    assert account("iBAN: de89370400440532013000") == ["de89370400440532013000"] and account("aCCount 12345678") == ["12345678"]
+    assert account("IBAN DE00370400440532013000") == account("account details 1234 and 5678") == account("account is 12345678") == []
+    assert account("IBAN DE89 3704 0044 0532 0130 00 was used") == ["DE89 3704 0044 0532 0130 00"] and account("passport no. N1234567, İ") == ["N1234567"]
     assert [s[2] for s in pii.spans_of("IBAN: DE89 3704 0044 0532 0130 00, see https://a.b/c.", anchors) if s[2] not in pii.BASE] == ["account", "url"]
 
 
@@ -219,6 +223,24 @@ def test_prefix_counts_and_budgets(docs):
     assert kept[3] == 0 and kept[6] == 7 and 10 <= kept[8] < 100
 
 
+def test_prefix_counts_of_whole_texts_equal_the_library(spark):
+    """At every character of texts full of white space, contractions and special strings; budgets end at characters."""
+    from tokenizers import Tokenizer
+
+    path = token_counts.byte_vocabulary()
+    lib, r = Tokenizer.from_file(path), random.Random(6)
+    bits = ["\n", "\n", " ", " ", "'s", "'re", "'ve", "'ll", "'", "!!", "word", "the ", "日本", "é", "12", "<|endoftext|>", "don't", "x"]
+    texts = ["\n\n's!!"] + ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(400)]
+    want = {t: [len(lib.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)] for t in texts}
+    for t in texts:
+        table, at = token_counts.prefix_table(t, path), np.cumsum([0, *(len(c.encode()) for c in t)])
+        assert [int(table[i]) for i in at] == want[t], repr(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for g in token_counts.fit_budget(docs, path, 3).collect():
+        t = texts[g.doc_id]
+        assert g.kept_bytes == len(t[: max(n for n, c in enumerate(want[t]) if c <= 3)].encode())
+
+
 def brute_repeats(texts, n):
     seen = collections.Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
     out = []
