@@ -29,7 +29,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -284,9 +284,10 @@ def _held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, keep_columns: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out rows are never read. With
-    ``keep_columns`` a struct ``row`` comes first: the row of ``docs`` as it is, whatever its columns are called.
+    ``keep_columns`` a struct ``row`` of these comes first, whatever they are called; it goes through all steps, so a digest
+    is better kept than a text.
 
     A quarter of the training rows, at most MOST_FITTED of them by hash order, fits the calibration; the counts take all
     the others. Rows of one doc_id stay together.
@@ -295,7 +296,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ship(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = ["row", "doc_id"] if keep_columns else ["doc_id"]
-    every = docs.select(*[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * keep_columns,
+    every = docs.select(*[F.struct(*(F.col(f"`{c}`") for c in keep_columns)).alias("row")] * bool(keep_columns),
                         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
              .where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label")))

@@ -293,7 +293,7 @@ def test_toxicity_finds_planted_words(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity._held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, flipped).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
-    none = toxicity.score_toxicity(docs, labels.where("toxic = 0"), keep_columns=True)
+    none = toxicity.score_toxicity(docs, labels.where("toxic = 0"), keep_columns=docs.columns)
     assert none.where("predicted = 1").isEmpty() and none.select("row.*").columns == docs.columns
 
 
