@@ -22,9 +22,16 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic, by labels of the training rows."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
-    return scored.where("predicted = 0").select("row.*")
+    """Documents that aren't predicted to be toxic, by labels of the training rows.
+
+    Rows are told by doc_id and the digest of their text: only these go through the scoring, and the toxic ones are joined
+    away afterwards.
+    """
+    own = docs.select("doc_id", "text", F.md5("text").alias("digest"))
+    scored = score_toxicity(own, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=("doc_id", "digest"))
+    toxic = durable(scored.where("predicted = 1").select(F.col("row.doc_id").alias("toxic_id"), F.col("row.digest").alias("toxic_digest")).distinct(), "pipeline-toxic")
+    same = docs["doc_id"].eqNullSafe(toxic["toxic_id"]) & F.md5(docs["text"]).eqNullSafe(toxic["toxic_digest"])
+    return docs.join(toxic, same, "left_anti")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
