@@ -288,7 +288,10 @@ def _mapper(path: str, column: int, kind: str):
                     yield pa.RecordBatch.from_arrays([*part.columns[:column], *new], names=[*part.schema.names[:column], "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     ids = pa.array([np.fromstring(r, np.int32, sep=",") if r else np.zeros(0, np.int32) for r in rows], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+                    new = {"ids": ids}
+                    if kind == "both":
+                        new["decoded"] = pa.array([known.model.trimmed(known.surface(w)) for w in split], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new.values()], names=[*part.schema.names, *new])
 
     return run
 
@@ -300,6 +303,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(_mapper(path, docs.columns.index(text_col), "ids"), f"{_ddl(docs)}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, the text these decode to, in one pass; they replace columns of these names."""
+    ship(docs.sparkSession)
+    docs = docs.drop("ids", "decoded")
+    return docs.mapInArrow(_mapper(path, docs.columns.index(text_col), "both"), f"{_ddl(docs)}, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids_col``; it replaces a column of that name."""
     ship(encoded.sparkSession)

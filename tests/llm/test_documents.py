@@ -186,6 +186,8 @@ def test_pieces_equal_the_library(docs, rows):
     for r in got:
         want = sp.encode(r.text or "")
         assert list(r.ids) == want and r.decoded == sp.decode(want)
+    both = pieces.round_trip(docs, pieces.piece_model()).select("text", "ids", "decoded").collect()
+    assert sorted(both, key=repr) == sorted(got, key=repr)
     for r in pieces.digests(docs, pieces.piece_model()).join(docs.select("doc_id", "text"), "doc_id").collect():
         want = sp.encode(r.text or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(sp.decode(want).encode()).hexdigest())
