@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from caselink.llm.minhash_dedup import near_duplicates
 from caselink.llm.mixing import mixed
-from caselink.llm.pieces import decode, encode, piece_model
+from caselink.llm.pieces import piece_model, round_trip
 from caselink.llm.pii import redact
 from caselink.llm.toxicity import score_toxicity
 from caselink.session import durable
@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the digest of the text they decode to, of every document of the mix."""
-    both = decode(encode(docs.select("doc_id", "lang", "source", "text"), piece_model()), piece_model())
+    both = round_trip(docs.select("doc_id", "lang", "source", "text"), piece_model())
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
