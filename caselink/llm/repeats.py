@@ -7,12 +7,13 @@ segment) are never cut out or moved. In a partition, each arriving batch of segm
 the existing levels for matches of the full length and becomes a level itself, and levels of about equal size merge, so
 a partition keeps a logarithmic number of them.
 
-All that is asked of two suffixes is whether their first ``length`` bytes are equal, so the arrays are sorted by a 64-bit
-fingerprint of these bytes, not letter by letter: any total order makes the merge scan find the same matches.
+Suffixes are sorted and compared by their bytes, to a depth of ``length``; a match is a common prefix of that length.
+Of equal suffixes one stays in the family, so levels have none in common and the scan of a new array against a level also
+gives the places where the two merge. Hashes only deal segments; they decide nothing.
 
 Equal texts are one from the start (all their windows repeat), and a segment that a task has seen before is not sent
 again: both are covered. A passage that a third of all texts share so reaches a partition once a task, not once a text.
-Texts are told apart by their 64-bit hash.
+Texts are told apart by 128 bits of their SHA-256.
 
 Edge cases: null texts are empty; texts shorter than ``length`` lose nothing; repeated rows are copies of one another
 and lose everything; a null id is kept; an empty table gives an empty result; other columns of the input are not read.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from caselink.llm.text import STEP, TABLE, chunks, mix, utf8
 from caselink.session import durable, ship
 
-LENGTH, GRAM = 200, 48
+LENGTH, GRAM, BATCH = 200, 48, 4000
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -64,18 +65,19 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _anchors(length: int):
-    schema = pa.schema([("least", pa.int64()), ("k", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("twice", pa.bool_())])
+    schema = pa.schema([("least", pa.int64()), ("k", pa.binary()), ("w0", pa.int32()), ("w1", pa.int32()), ("twice", pa.bool_())])
     wide = length - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0)
+            names = keys.to_pylist()
             data, offsets = utf8(batch.column(1))
             for i, j, part, off in chunks(data, offsets):
                 if len(part) < length:
                     continue
-                fresh = np.array([not (k in seen or seen.add(k)) for k in keys[i:j].tolist()])
+                fresh = np.array([not (k in seen or seen.add(k)) for k in names[i:j]])
                 if len(seen) > 500_000:
                     seen.clear()
                 grams = window_hashes(part, GRAM)
@@ -97,18 +99,24 @@ def _anchors(length: int):
                     open_runs = open_runs[(lo[open_runs] + step < hi[open_runs]) & (times[open_runs] < 2)]
                     times[open_runs] += grams[picked[lo[open_runs] + step]] == value[cut[open_runs]]
                     step += 1
-                yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), pa.array(keys[i + d]), pa.array((at[cut] - off[d]).astype(np.int32)), pa.array((at[end] - off[d]).astype(np.int32)), pa.array(times > 1)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), keys.take(pa.array(i + d)).cast(pa.binary()), pa.array((at[cut] - off[d]).astype(np.int32)), pa.array((at[end] - off[d]).astype(np.int32)), pa.array(times > 1)], schema=schema)
 
     return run
 
 
+def halves(keys: pa.Array) -> np.ndarray:
+    """16-byte keys as rows of two numbers."""
+    data, offsets = utf8(keys)
+    return data[offsets[0] : offsets[-1]].view(np.int64).reshape(-1, 2)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (least, k, w0): those whose hash is at two places at least, or twice in its segment; each once."""
     held: pa.RecordBatch | None = None
 
     def told(table: pa.RecordBatch) -> pa.RecordBatch:
-        least, k, w0 = (table.column(i).to_numpy() for i in range(3))
-        new = np.r_[True, (least[1:] != least[:-1]) | (k[1:] != k[:-1]) | (w0[1:] != w0[:-1])]
+        least, k, w0 = table.column(0).to_numpy(), halves(table.column(1)), table.column(2).to_numpy()
+        new = np.r_[True, (least[1:] != least[:-1]) | (k[1:] != k[:-1]).any(axis=1) | (w0[1:] != w0[:-1])]
         rows = np.flatnonzero(new)
         h = least[rows]
         same = np.r_[False, h[1:] == h[:-1]]
@@ -133,7 +141,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held)
 
 
-PARTS = pa.schema([("least", pa.int64()), ("k", pa.int64()), ("w0", pa.int32()), ("w1", pa.int32()), ("part", pa.binary())])
+PARTS = pa.schema([("least", pa.int64()), ("k", pa.binary()), ("w0", pa.int32()), ("w1", pa.int32()), ("part", pa.binary())])
 
 
 def _segments(length: int):
@@ -172,32 +180,138 @@ def _segments(length: int):
     return run
 
 
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place as one big-endian number, without a copy."""
+    return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+
+
+def equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes of two unequal numbers are equal."""
+    differ, out = a ^ b, np.zeros(len(a), np.int32)
+    for bits in (32, 16, 8):
+        high = differ < (np.uint64(1) << np.uint64(64 - bits))
+        out[high] += bits // 8
+        differ = np.where(high, differ << np.uint64(bits), differ)
+    return out
+
+
+def suffix_array(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``at`` in the order of their first ``length`` bytes, and what each has in common with the one before.
+
+    Suffixes are sorted by eight bytes, then those still tied by the next eight; a tied run is only sorted where it splits.
+    Common prefixes are exact up to ``length``.
+    """
+    words = words_of(text)
+    first = words[at].astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    at, first = at[order], first[order]
+    common = np.full(len(at), length, np.int32)
+    common[:1] = 0
+    split = np.flatnonzero(first[1:] != first[:-1]) + 1
+    common[split] = equal_bytes(first[split], first[split - 1])
+    tied = np.flatnonzero(common == length)
+    for depth in [*range(8, length - 8, 8), length - 8]:
+        if not len(tied):
+            break
+        heads = tied[np.r_[True, tied[1:] != tied[:-1] + 1]] - 1
+        run = np.sort(np.concatenate([tied, heads]))
+        is_head = np.r_[True, run[1:] != run[:-1] + 1]
+        is_head[np.searchsorted(run, heads)] = True
+        value, number = words[at[run] + depth].astype(np.uint64), np.cumsum(is_head)
+        changed = np.flatnonzero(~is_head & np.r_[False, value[1:] != value[:-1]])
+        if not len(changed):
+            continue
+        mixed = np.zeros(number[-1] + 1, bool)
+        mixed[number[changed]] = True
+        some = np.flatnonzero(mixed[number])
+        order = some[np.lexsort((value[some], number[some]))]
+        at[run[some]], value[some] = at[run[order]], value[order]
+        split = np.flatnonzero(~is_head & np.r_[False, value[1:] != value[:-1]])
+        common[run[split]] = depth + equal_bytes(value[split], value[split - 1])
+        tied = tied[common[tied] == length]
+    return at, common
+
+
+class Level:
+    """A suffix array over its own bytes: places in order, the first eight bytes of each, and the suffixes' numbers."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, names: np.ndarray) -> None:
+        self.text, self.at, self.names = text, at, names
+        self.first = words_of(text)[at].astype(np.uint64)
+
+    def scan(self, other: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of another level's suffixes, in order: its place among these, and whether the one there matches it."""
+        mine, theirs = words_of(self.text), words_of(other.text)
+        low, high = np.searchsorted(self.first, other.first), np.searchsorted(self.first, other.first, "right")
+        open_ = np.flatnonzero(high > low)
+        for depth in [*range(8, length - 8, 8), length - 8]:
+            if not len(open_):
+                break
+            value = theirs[other.at[open_] + depth].astype(np.uint64)
+            a, b = low[open_], high[open_]
+            found = mine[self.at[a] + depth].astype(np.uint64)
+            # a range of one is compared, a wider one is searched from both sides
+            a, b = a + (found < value), np.where(found > value, a, b)
+            for side in ("left", "right"):
+                wide = np.flatnonzero((found < value) & (b > a)) if side == "left" else np.flatnonzero(b - a > 1)
+                lo, hi = a[wide], b[wide].copy()
+                while True:
+                    going = np.flatnonzero(lo < hi)
+                    if not len(going):
+                        break
+                    middle = (lo[going] + hi[going]) // 2
+                    got = mine[self.at[middle] + depth].astype(np.uint64)
+                    up = got < value[wide[going]] if side == "left" else got <= value[wide[going]]
+                    lo[going] = np.where(up, middle + 1, lo[going])
+                    hi[going] = np.where(up, hi[going], middle)
+                if side == "left":
+                    a[wide] = lo
+                else:
+                    b[wide] = lo
+            rest = np.flatnonzero(b > a)
+            same = mine[self.at[a[rest]] + depth].astype(np.uint64) == value[rest]
+            b[rest[~same]] = a[rest[~same]]
+            low[open_], high[open_] = a, b
+            open_ = open_[b > a]
+        return low, high > low
+
+    def merged(self, other: Level, length: int) -> Level:
+        """Both as one; they have no suffix in common."""
+        place, _ = self.scan(other, length)
+        out = Level.__new__(Level)
+        out.text = np.concatenate([self.text, other.text])
+        out.at = np.insert(self.at, place, other.at + len(self.text))
+        out.names, out.first = np.insert(self.names, place, other.names), np.insert(self.first, place, other.first)
+        return out
+
+
 class SuffixFamily:
-    """Suffix arrays in levels of growing size: (fingerprints in order, suffix numbers)."""
+    """Suffix arrays in levels of growing size, over different suffixes: of equal ones the first stands for all."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length, self.levels, self.size = length, [], 0
         self.matched: list[np.ndarray] = []
 
-    def add(self, prints: np.ndarray) -> None:
-        """Index a batch of suffixes and note every one that matches another, in the batch or in a level."""
-        order = np.argsort(prints, kind="stable")
-        new, names = prints[order], order + self.size
-        self.size += len(prints)
-        same = np.flatnonzero(new[1:] == new[:-1])
-        self.matched += [names[same], names[same + 1]]
-        for old, old_names in self.levels:
-            at = np.minimum(np.searchsorted(old, new), len(old) - 1)
-            hit = np.flatnonzero(old[at] == new)
-            # of equal suffixes in a level, the others were noted when the level was built
-            self.matched += [names[hit], old_names[at[hit]]]
-        self.levels.append((new, names))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels[-2:]
-            both, ids = np.concatenate([a, b]), np.concatenate([x, y])
-            order = np.argsort(both, kind="stable")
-            self.levels[-2:] = [(both[order], ids[order])]
+    def add(self, text: np.ndarray, at: np.ndarray) -> None:
+        """Index the suffixes ``at`` (ascending) of a batch and note each that matches another, in it or in a level."""
+        text = np.concatenate([text, np.zeros(8, np.uint8)])
+        places, common = suffix_array(text, at, self.length)
+        names = np.searchsorted(at, places) + self.size
+        self.size += len(at)
+        same = common == self.length
+        self.matched += [names[same], names[:-1][same[1:]]]
+        new = Level(text, places[~same], names[~same])
+        for level in self.levels:
+            place, hit = level.scan(new, self.length)
+            self.matched += [new.names[hit], level.names[place[hit]]]
+            if hit.any():
+                new.at, new.names, new.first = new.at[~hit], new.names[~hit], new.first[~hit]
+        if not len(new.at):
+            return
+        self.levels.append(new)
+        while len(self.levels) > 1 and len(self.levels[-2].at) <= 2 * len(self.levels[-1].at):
+            last = self.levels.pop()
+            self.levels[-1] = self.levels[-1].merged(last, self.length)
 
     def marks(self) -> np.ndarray:
         out = np.zeros(self.size, bool)
@@ -207,33 +321,36 @@ class SuffixFamily:
 
 
 def _family(length: int):
-    schema = pa.schema([("k", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([("k", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, owners, starts = SuffixFamily(), [], []
+        family, owners, rows, starts, held = SuffixFamily(length), [], [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4000):
-                part = batch.slice(lo, 4000)
-                k, w0 = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                w0 = part.column(1).to_numpy()
                 data, off = utf8(part.column(2))
                 data, off = data[off[0] : off[-1]], off - off[0]
-                prints = window_hashes(data, length)
-                row = np.repeat(np.arange(len(k)), np.diff(off))[: len(prints)]
-                at = np.flatnonzero(np.arange(len(prints)) + length <= off[row + 1])
-                family.add(prints[at])
-                owners.append(k[row[at]])
+                row = np.repeat(np.arange(len(w0)), np.diff(off))
+                at = np.flatnonzero(np.arange(len(data)) + length <= off[row + 1])
+                family.add(data, at)
+                owners.append(part.column(0))
+                rows.append((row[at] + held).astype(np.int32))
                 starts.append((w0[row[at]] + at - off[row[at]]).astype(np.int32))
+                held += len(w0)
         if not owners:
             return
         marks = family.marks()
-        k, s = np.concatenate(owners)[marks], np.concatenate(starts)[marks]
-        if not len(k):
+        r, s = np.concatenate(rows)[marks], np.concatenate(starts)[marks]
+        if not len(r):
             return
-        cut = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + 1)])
-        end = np.r_[cut[1:], len(k)] - 1
+        cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])
+        end = np.r_[cut[1:], len(r)] - 1
+        keys = pa.chunked_array(owners)
         for i in range(0, len(cut), 50_000):
             c, e = cut[i : i + 50_000], end[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k[c]), pa.array(s[c]), pa.array(s[e] + np.int32(length))], schema=schema)
+            k = keys.take(pa.array(r[c])).combine_chunks().cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([k, pa.array(s[c]), pa.array(s[e] + np.int32(length))], schema=schema)
 
     return run
 
@@ -256,7 +373,7 @@ def _cutter(keep_text: bool):
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((batch.column(0)[row].as_py(), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * keep_text))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * keep_text]
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * keep_text]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
@@ -266,20 +383,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept text."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k", F.xxhash64("text")).withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.col("k")))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     every = durable(own.select("doc_id", "k", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "repeats-texts")
     classes = every.groupBy("k").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
-    places = own.select("k", "text").mapInArrow(_anchors(length), "least long, k long, w0 int, w1 int, twice boolean")
-    shared = places.repartition("least").sortWithinPartitions("least", "k", "w0").mapInArrow(_shared, "least long, k long, w0 int, w1 int")
+    places = own.select("k", "text").mapInArrow(_anchors(length), "least long, k binary, w0 int, w1 int, twice boolean")
+    shared = places.repartition("least").sortWithinPartitions("least", "k", "w0").mapInArrow(_shared, "least long, k binary, w0 int, w1 int")
     by_text = shared.groupBy("k").agg(F.collect_list(F.struct("least", "w0", "w1")).alias("places")).join(classes.hint("merge"), "k")
     cut = own.select("k", "row", "text").join(by_text.select("k", "row", "places").hint("merge"), ["k", "row"]).select("k", "places", F.col("text").cast("binary").alias("text"))
-    parts = durable(cut.mapInArrow(_segments(length), "least long, k long, w0 int, w1 int, part binary"), "repeats-parts")
-    spans = (parts.where("part is not null").repartition("least").select("k", "w0", "part").mapInArrow(_family(length), "k long, start int, stop int")
+    parts = durable(cut.mapInArrow(_segments(length), "least long, k binary, w0 int, w1 int, part binary"), "repeats-parts")
+    spans = (parts.where("part is not null").repartition("least").select("k", "w0", "part").mapInArrow(_family(length), "k binary, start int, stop int")
              .union(parts.where("part is null").select("k", "w0", (F.col("w1") + length).alias("stop"))))
     single = classes.where("copies = 1").select("k", "row")
     lists = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).join(single.hint("merge"), "k")
     texts = own.select("k", "row", "text").join(lists.hint("merge"), ["k", "row"]).select("k", "spans", F.col("text").cast("binary").alias("text"))
-    found = durable(texts.mapInArrow(_cutter(keep_text), "k long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text), "repeats-found")
+    found = durable(texts.mapInArrow(_cutter(keep_text), "k binary, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text), "repeats-found")
     out = every.join(classes.select("k", "copies").hint("merge"), "k").join(found.hint("merge"), "k", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.sha2(F.lit(""), 256)

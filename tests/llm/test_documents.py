@@ -269,15 +269,26 @@ def test_kept_text_of_repeats(docs):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got) and len(got) == 3
 
 
-def test_suffix_family_finds_what_a_set_does():
-    r, family, every = np.random.default_rng(2), repeats.SuffixFamily(), []
-    for _ in range(30):
-        batch = r.integers(0, 3000, 100).astype(np.uint64)
-        family.add(batch)
-        every.append(batch)
-    x = np.concatenate(every)
-    values, counts = np.unique(x, return_counts=True)
-    assert (family.marks() == np.isin(x, values[counts > 1])).all() and len(family.levels) <= 8
+@pytest.mark.parametrize("letters, length", [(2, 16), (3, 21), (30, 48)])
+def test_suffix_arrays_against_sorted_bytes(letters, length):
+    """Order and common prefixes of an array, the marks of a family and its levels, by comparing bytes one by one."""
+    r, family, every = np.random.default_rng(letters), repeats.SuffixFamily(length), []
+    known = r.integers(0, letters, 400).astype(np.uint8)
+    for _ in range(25):
+        parts = [r.integers(0, letters, 60).astype(np.uint8), known[(i := r.integers(0, 300)) : i + 70], r.integers(0, letters, 30).astype(np.uint8)]
+        text = np.concatenate(parts)
+        at = np.arange(len(text) - length + 1)
+        wins = [text[i : i + length].tobytes() for i in at]
+        order, common = repeats.suffix_array(np.r_[text, np.zeros(8, np.uint8)], at, length)
+        assert [wins[i] for i in order] == sorted(wins)
+        for x, y, c in zip(order, order[1:], common[1:], strict=False):
+            assert c == next((i for i in range(length) if wins[x][i] != wins[y][i]), length)
+        family.add(text, at)
+        every += wins
+    times = collections.Counter(every)
+    assert family.marks().tolist() == [times[w] > 1 for w in every]
+    held = [[level.text[i : i + length].tobytes() for i in level.at] for level in family.levels]
+    assert len(held) <= 7 and all(h == sorted(h) for h in held) and sorted(sum(held, [])) == sorted(times)
 
 
 def test_toxicity_finds_planted_words(spark):
