@@ -12,7 +12,8 @@ Of equal suffixes one stays in the family, so levels have none in common and the
 gives the places where the two merge. Hashes only deal segments; they decide nothing.
 
 Equal texts are one from the start (all their windows repeat), and a segment that a task has seen before is not sent
-again: both are covered. A passage that a third of all texts share so reaches a partition once a task, not once a text.
+again: both are covered. A passage that a third of all texts share so reaches a partition once a task, not once a text. Where it ends, segments hold bytes of each text's own and differ: a hash of more
+than ``hot`` different segments is not kept together, but each of their windows is dealt by its own hash.
 Texts are told apart by 128 bits of their SHA-256.
 
 Edge cases: null texts are empty; texts shorter than ``length`` lose nothing; repeated rows are copies of one another
@@ -33,6 +34,10 @@ from caselink.llm.text import STEP, TABLE, chunks, mix, utf8
 from caselink.session import durable, ship
 
 LENGTH, GRAM, BATCH = 200, 48, 4000
+#: Different segments of one hash that are kept together; of more, every window is dealt by its own hash.
+HOT = 50_000
+#: Places of one hash that are held at once while they are counted.
+LONG_RUN = 1_000_000
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -65,7 +70,7 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _anchors(length: int):
-    schema = pa.schema([("least", pa.int64()), ("k", pa.binary()), ("w0", pa.int32()), ("w1", pa.int32()), ("twice", pa.bool_())])
+    schema = pa.schema([("least", pa.int64()), ("k", pa.binary()), ("w0", pa.int32()), ("w1", pa.int32()), ("twice", pa.bool_()), ("print", pa.int64())])
     wide = length - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,11 @@ def _anchors(length: int):
                     open_runs = open_runs[(lo[open_runs] + step < hi[open_runs]) & (times[open_runs] < 2)]
                     times[open_runs] += grams[picked[lo[open_runs] + step]] == value[cut[open_runs]]
                     step += 1
-                yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), keys.take(pa.array(i + d)).cast(pa.binary()), pa.array((at[cut] - off[d]).astype(np.int32)), pa.array((at[end] - off[d]).astype(np.int32)), pa.array(times > 1)], schema=schema)
+                total = np.r_[np.uint64(0), np.cumsum(grams)]
+                prints = (total[at[end] + wide] - total[at[cut]]).view(np.int64)
+                places = [pa.array((x - off[d]).astype(np.int32)) for x in (at[cut], at[end])]
+                owner = keys.take(pa.array(i + d)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(value[cut].view(np.int64)), owner, *places, pa.array(times > 1), pa.array(prints)], schema=schema)
 
     return run
 
@@ -110,42 +119,73 @@ def halves(keys: pa.Array) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].view(np.int64).reshape(-1, 2)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (least, k, w0): those whose hash is at two places at least, or twice in its segment; each once."""
-    held: pa.RecordBatch | None = None
+def _shared(hot: int):
+    """Of rows sorted by (least, k, w0): those whose hash is at two places at least, or twice in its segment; each once.
 
-    def told(table: pa.RecordBatch) -> pa.RecordBatch:
-        least, k, w0 = table.column(0).to_numpy(), halves(table.column(1)), table.column(2).to_numpy()
+    ``hot`` marks hashes of more than so many different segments (told apart by the sum of their grams' hashes).
+    """
+
+    def told(table: pa.RecordBatch, many_parts: bool) -> pa.RecordBatch:
+        least, k, w0, prints = table.column(0).to_numpy(), halves(table.column(1)), table.column(2).to_numpy(), table.column(5).to_numpy()
         new = np.r_[True, (least[1:] != least[:-1]) | (k[1:] != k[:-1]).any(axis=1) | (w0[1:] != w0[:-1])]
         rows = np.flatnonzero(new)
         h = least[rows]
         same = np.r_[False, h[1:] == h[:-1]]
         many = same | np.r_[same[1:], False]
-        return table.take(pa.array(rows[many | table.column(4).to_numpy(zero_copy_only=False)[rows]])).select(["least", "k", "w0", "w1"])
+        if many_parts:
+            many |= h == h[0]
+        rows = rows[many | table.column(4).to_numpy(zero_copy_only=False)[rows]]
+        h, sums = least[rows], prints[rows]
+        run = np.cumsum(np.r_[True, h[1:] != h[:-1]])[: len(h)] - 1
+        order = np.lexsort((sums, run))
+        fresh = np.r_[True, (run[order][1:] != run[order][:-1]) | (sums[order][1:] != sums[order][:-1])][: len(h)]
+        is_hot = (np.bincount(run[order][fresh]) > hot)[run] if len(h) else np.zeros(0, bool)
+        if many_parts and len(h):
+            is_hot[h == h[0]] = True
+        kept = table.take(pa.array(rows)).select(["least", "k", "w0", "w1"])
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(is_hot)], names=["least", "k", "w0", "w1", "hot"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many_parts, most = None, False, max(LONG_RUN, hot)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            h = batch.column(0).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1])
+            if cut == 0 and len(h) > most:  # a longer run is told in parts, all of them hot; two rows carry it on
+                many_parts = True
+                yield told(batch.slice(0, len(h) - 2), True)
+                held = batch.slice(len(h) - 2)
+                continue
+            if cut:
+                yield told(batch.slice(0, cut), many_parts)
+                many_parts = False
+            held = batch.slice(cut)
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h = batch.column(0).to_numpy()
-        cut = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1])
-        if cut == 0 and len(h) > 1_000_000:  # a run beyond a million places is shared in any case; two rows carry it on
-            yield told(batch.slice(0, len(h) - 2))
-            held = batch.slice(len(h) - 2)
-            continue
-        if cut:
-            yield told(batch.slice(0, cut))
-        held = batch.slice(cut)
-    if held is not None:
-        yield told(held)
+            yield told(held, many_parts)
+
+    return run
 
 
 PARTS = pa.schema([("least", pa.int64()), ("k", pa.binary()), ("w0", pa.int32()), ("w1", pa.int32()), ("part", pa.binary())])
 
 
 def _segments(length: int):
-    """From (k, places, text): segments to compare; those a task has seen before come without bytes, as covered."""
+    """From (k, places, text): segments to compare; those a task has seen before come without bytes, as covered.
+
+    A segment of a hot hash comes as its windows, each under its own hash, so that its equals still meet it.
+    """
+
+    def dealt(places, text):
+        for p in places:
+            if not p["hot"]:
+                yield p["least"], p["w0"], p["w1"]
+                continue
+            prints = window_hashes(np.frombuffer(text[p["w0"] : p["w1"] + length], np.uint8), length).view(np.int64).tolist()
+            for i, value in enumerate(prints):
+                yield value, p["w0"] + i, p["w0"] + i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple | None] = {}
@@ -157,10 +197,10 @@ def _segments(length: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 k, places, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_buffer().to_pybytes()
-                for p in places:
-                    part = text[p["w0"] : p["w1"] + length]
+                for least, w0, w1 in dealt(places, text):
+                    part = text[w0 : w1 + length]
                     key = hashlib.blake2b(part, digest_size=16).digest()
-                    place = (p["least"], k, p["w0"], p["w1"])
+                    place = (least, k, w0, w1)
                     if key not in seen:
                         seen[key] = place
                         out.append((*place, part))
@@ -379,16 +419,16 @@ def _cutter(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept text."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     every = durable(own.select("doc_id", "k", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "repeats-texts")
     classes = every.groupBy("k").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
-    places = own.select("k", "text").mapInArrow(_anchors(length), "least long, k binary, w0 int, w1 int, twice boolean")
-    shared = places.repartition("least").sortWithinPartitions("least", "k", "w0").mapInArrow(_shared, "least long, k binary, w0 int, w1 int")
-    by_text = shared.groupBy("k").agg(F.collect_list(F.struct("least", "w0", "w1")).alias("places")).join(classes.hint("merge"), "k")
+    places = own.select("k", "text").mapInArrow(_anchors(length), "least long, k binary, w0 int, w1 int, twice boolean, print long")
+    shared = places.repartition("least").sortWithinPartitions("least", "k", "w0").mapInArrow(_shared(hot), "least long, k binary, w0 int, w1 int, hot boolean")
+    by_text = shared.groupBy("k").agg(F.collect_set(F.struct("least", "w0", "w1", "hot")).alias("places")).join(classes.hint("merge"), "k")
     cut = own.select("k", "row", "text").join(by_text.select("k", "row", "places").hint("merge"), ["k", "row"]).select("k", "places", F.col("text").cast("binary").alias("text"))
     parts = durable(cut.mapInArrow(_segments(length), "least long, k binary, w0 int, w1 int, part binary"), "repeats-parts")
     spans = (parts.where("part is not null").repartition("least").select("k", "w0", "part").mapInArrow(_family(length), "k binary, start int, stop int")

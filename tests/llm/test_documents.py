@@ -260,8 +260,23 @@ def brute_repeats(texts, n):
 
 def test_repeats(docs, rows):
     want = sorted(zip([-1 if r[0] is None else r[0] for r in rows], brute_repeats([(r[1] or "").encode() for r in rows], 200), strict=True))
-    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in repeats.remove_repeats(docs).collect())
-    assert got == want
+    for hot in (repeats.HOT, 3):  # as a whole, and with most hashes' windows dealt one by one
+        found = repeats.remove_repeats(docs, hot=hot).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found)
+        assert got == want
+
+
+def test_a_long_run_of_one_hash_is_told_in_parts(monkeypatch):
+    """Rows of one hash in many batches, places repeated at the seams: each place once, all hot; a lone hash is dropped."""
+    import pyarrow as pa
+
+    places = [(5, i.to_bytes(16, "big"), 0, 9, False, i) for i in range(40) for _ in range(3)] + [(6, b"x" * 16, 0, 9, False, 1)]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+    cols = [pa.array(c, t) for c, t in zip(zip(*places, strict=True), types, strict=True)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["least", "k", "w0", "w1", "twice", "print"])
+    monkeypatch.setattr(repeats, "LONG_RUN", 20)
+    told = [r for out in repeats._shared(10)(iter([batch.slice(i, 10) for i in range(0, len(places), 10)])) for r in out.to_pylist()]
+    assert {(r["least"], r["k"]) for r in told} == {p[:2] for p in places[:-1]} and all(r["hot"] for r in told)
 
 
 def test_kept_text_of_repeats(docs):
