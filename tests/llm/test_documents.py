@@ -52,7 +52,7 @@ def lowered(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def brute_components(rows):
+def brute_components(rows, num=85):
     sets = {}
     for i, t, *_ in rows:
         w = WORD.findall(lowered(t))
@@ -68,7 +68,7 @@ def brute_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -86,6 +86,27 @@ def test_near_duplicates(docs, rows, small):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_at_the_threshold_of_the_pipeline(spark):
+    """Pairs from 0.79 to 0.87: those from 0.80 link in the pipeline's stage, those from 0.85 in the query."""
+    rows = []
+    for g in range(12):
+        base = prose(50 + g, 300).split()
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for k in (4, 5, 6, 7):
+            words = list(base)
+            for x in range(k):
+                words[20 + 40 * x] = f"g{g}k{k}x{x}"
+            if g % 4 == k - 4:
+                rows.append((1000 + 10 * g + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {}
+    for num in (80, 85):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs, num=num).collect()}
+        assert got == brute_components(rows, num)
+        linked[num] = sum(i != c for i, (_, c) in got.items())
+    assert linked == {80: 9, 85: 3}
+
+
 def test_odd_sketches_estimate_similarity():
     x = np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64)
     flips = lambda a, b: sum(bin(i ^ j).count("1") for i, j in zip(*(minhash_dedup.odd_sketch(minhash_dedup.samples(s, 120)) for s in (a, b)), strict=True))
