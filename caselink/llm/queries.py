@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from caselink.llm.alignment import op12_cross_tokenizer_alignment
 from caselink.llm.embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from caselink.llm.minhash_dedup import OP1_SQL, op1_minhash_near_dedup
 from caselink.llm.mixing import OP4_SQL, op4_mixing_water_filling
@@ -22,5 +23,6 @@ QUERIES = {f.__name__: f for f in (
     op8_suffix_array_repeats,
     op9_kd_tree_top_k,
     op10_toxicity_kneser_ney,
+    op12_cross_tokenizer_alignment,
 )}
 ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_mixing_water_filling": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
