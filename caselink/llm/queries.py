@@ -11,6 +11,7 @@ from caselink.llm.token_counts import op7_prefix_token_counts
 from caselink.llm.topk_search import OP9_SQL, op9_kd_tree_top_k
 from caselink.llm.toxicity import op10_toxicity_kneser_ney
 from caselink.llm.warc import op6_warc_normaliser
+from caselink.llm.whitening import op13_embedding_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup,
@@ -24,5 +25,6 @@ QUERIES = {f.__name__: f for f in (
     op9_kd_tree_top_k,
     op10_toxicity_kneser_ney,
     op12_cross_tokenizer_alignment,
+    op13_embedding_whitening,
 )}
 ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_mixing_water_filling": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
