@@ -2,6 +2,7 @@
 
 from caselink.llm.alignment import op12_cross_tokenizer_alignment
 from caselink.llm.embedding_dedup import OP3_SQL, op3_embedding_near_dedup
+from caselink.llm.graph_search import OP11_SQL, op11_robust_pruned_graph
 from caselink.llm.minhash_dedup import OP1_SQL, op1_minhash_near_dedup
 from caselink.llm.mixing import OP4_SQL, op4_mixing_water_filling
 from caselink.llm.pieces import op5_sentencepiece_merge_rounds
@@ -24,7 +25,14 @@ QUERIES = {f.__name__: f for f in (
     op8_suffix_array_repeats,
     op9_kd_tree_top_k,
     op10_toxicity_kneser_ney,
+    op11_robust_pruned_graph,
     op12_cross_tokenizer_alignment,
     op13_embedding_whitening,
 )}
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_mixing_water_filling": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
+    "op4_mixing_water_filling": OP4_SQL,
+    "op9_kd_tree_top_k": OP9_SQL,
+    "op11_robust_pruned_graph": OP11_SQL,
+}
