@@ -9,6 +9,7 @@ from caselink.plans.q_urls import PARTS, SCORE
 from caselink.plans.tables import table
 from caselink.session import new_path
 from caselink.streaming import jobs
+from caselink.streaming.versions import read_version
 
 
 def _stream(spark, d, name):
@@ -35,7 +36,7 @@ def s3_stream_sync(spark, d):
     target = new_path(spark, "s3")
     docs = _stream(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.md5("text").alias("digest"))
     jobs.stream_sync(docs, target).awaitTermination()
-    return spark.read.parquet(f"{target}/current")
+    return read_version(spark, target)
 
 
 QUERIES = {k: f for k, f in globals().items() if k[0] == "s" and k[1].isdigit()}
