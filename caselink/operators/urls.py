@@ -258,13 +258,18 @@ def domain_risk(df: DataFrame) -> DataFrame:
     return p.select(*df.columns, "host", "depth", "core_entropy", "randomness", F.col("brand.inside").alias("impersonated_brand"), F.col("brand.near").alias("typosquat_of"), risk.alias("risk_points"))
 
 
+def cloud_provider(host: Column) -> Column:
+    """The cloud provider whose suffix the host ends with; null for others."""
+    chain = F
+    for name, suffixes in W.CLOUD_PROVIDERS.items():
+        chain = chain.when(reduce(lambda a, b: a | b, (host.endswith(x) for x in suffixes)), name)
+    return chain.otherwise(None)
+
+
 def cloud_context(df: DataFrame) -> DataFrame:
     """Cloud provider of the host and how suspicious its use is, by wording, brands and what domain_risk finds."""
     p, url = domain_risk(df), F.lower("url")
-    chain = F
-    for name, suffixes in W.CLOUD_PROVIDERS.items():
-        chain = chain.when(reduce(lambda a, b: a | b, ((F.col("host") == x) | F.col("host").endswith("." + x) for x in suffixes)), name)
-    provider = chain.otherwise(None)
+    provider = cloud_provider(F.col("host"))
     signals = [hits(url, W.CLOUD_LOGIN_WORDS) > 0, hits(url, W.CLOUD_MONEY_WORDS) > 0, hits(url, W.CLOUD_BRAND_WORDS) > 0, F.col("impersonated_brand") != "",
                F.col("typosquat_of") != "", F.col("depth") >= 3]
     n = reduce(lambda a, b: a + b, (s.cast("int") for s in signals))
@@ -274,18 +279,6 @@ def cloud_context(df: DataFrame) -> DataFrame:
                        F.when(none | (F.col("n") == 0), 0).otherwise(F.least(F.lit(35), 12 + 8 * (F.col("n") - 1))).alias("points"))
 
 
-def brand_findings(df: DataFrame) -> DataFrame:
-    """Long table of brand findings: the token, a look-alike after leet folding, or a prefix or suffix on the name."""
-    p = url_parts(df).select(*df.columns, "host", "registered_domain", F.explode(F.array_distinct(F.split("host", r"[.\-]"))).alias("label"))
-    folded = F.regexp_replace(F.translate("label", "013457", "oleast"), r"(.)\1+", "$1")
-    official = F.col("registered_domain").isin(*(x for v in W.OFFICIAL_DOMAINS.values() for x in v))
-    brands = [b for b in W.OFFICIAL_DOMAINS if b not in W.NOT_IMPERSONATED]
-    kind = lambda b: (F.when(F.col("label") == b, F.struct(F.lit(b).alias("brand"), F.lit("token").alias("finding"), F.lit(0.5).alias("weight")))
-                      .when(F.levenshtein(folded, F.lit(b), 1) >= 0, F.struct(F.lit(b).alias("brand"), F.lit("lookalike").alias("finding"), F.lit(0.7).alias("weight")))
-                      .when((F.length("label") > len(b)) & (F.col("label").startswith(b) | F.col("label").endswith(b)), F.struct(F.lit(b).alias("brand"), F.lit("affix").alias("finding"), F.lit(0.4).alias("weight"))))
-    return p.where(~official).select(*df.columns, F.explode(F.array_compact(F.array(*(kind(b) for b in brands)))).alias("f")).select(*df.columns, "f.brand", "f.finding", "f.weight")
-
-
 def threat_score(df: DataFrame) -> DataFrame:
     """From (url, ml, rule, age_days, detections, official): intelligence, trust and composite scores, and a level."""
     age = F.when(F.col("age_days") < 30, 1.0).when(F.col("age_days") < 180, 0.6).when(F.col("age_days") < 365, 0.3).when(F.col("age_days").isNotNull(), 0.0)

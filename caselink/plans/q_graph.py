@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselink.operators import graph as op
+from caselink.operators import case_graph as cg, graph as op
 from caselink.plans.q_timeline import EV, _events
 from caselink.plans.tables import OCC, occurrences, table
 from caselink.session import durable
@@ -18,6 +18,52 @@ def i1_graph_edges(spark, d):
     return op.graph_edges(occurrences(spark, d))
 
 
+def _case_tables(spark, d):
+    """Customers as cases, orders as items; devices, events, brands, flagged suppliers and shared parts from the columns."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id"), "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
+    lines = table(spark, d, "lineitem")
+    items = o.select("case_id", "item_id", F.when(F.col("o_orderpriority").startswith("1"), "Phone A").when(F.col("o_orderpriority").startswith("2"), " ").alias("device"))
+    key = F.col("item_id")
+    source = F.when(F.col("o_orderpriority") == "5-LOW", cg.FALLBACK).when(key % 2 == 0, "labelled").otherwise("metadata")
+    events = o.where(key % 4 != 3).select("case_id", "item_id", F.col("o_orderdate").cast("timestamp").alias("ts"), source.alias("ts_source"), (F.col("o_orderstatus") == "F").alias("inferred"),
+                                          F.when(key % 3 == 0, "high").when(key % 3 == 1, "medium").otherwise("low").alias("confidence"))
+    verdicts = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("value"), (F.col("s_suppkey") % 50 == 0).alias("flagged"))
+    brands = (lines.where("l_quantity >= 49").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+              .join(o.select("case_id", F.col("item_id").alias("l_orderkey")), "l_orderkey").select("case_id", F.col("l_orderkey").alias("item_id"), F.col("p_brand").alias("brand")).distinct())
+    side = lambda c: o.select("case_id", "o_orderstatus", F.col("item_id").alias(c), F.col("o_totalprice").alias(f"p{c}"))
+    pairs = side("a").join(side("b"), ["case_id", "o_orderstatus"]).where("a < b").select("case_id", "a", "b", (F.least("pa", "pb") / F.greatest("pa", "pb")).cast("double").alias("confidence"))
+    rare = (lines.where("l_quantity = 50 and l_discount >= 0.09").join(o.select("case_id", F.col("item_id").alias("l_orderkey")), "l_orderkey")
+            .groupBy("case_id", F.col("l_partkey").alias("part")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("items")))
+    other = rare.select(F.col("case_id").alias("other_case"), "part", F.col("items").alias("other_items"))
+    matches = rare.join(other, "part").where("case_id <> other_case").select("case_id", "other_case", F.lit("bank_accounts").alias("entity_type"), F.col("part").cast("string").alias("value"), "items", "other_items", (0.4 + F.col("part") % 5 / 10).alias("confidence"))
+    return {"items": items, "occ": occurrences(spark, d), "verdicts": verdicts, "brands": brands, "events": events, "pairs": pairs, "matches": matches, "hours": 720.0, "least": 0.9}
+
+
+def _case_graph(spark, d):
+    tables = _case_tables(spark, d)
+    return durable(cg.finished_edges(cg.case_edges(**tables), tables["events"]), "case-graph")
+
+
+def i1_case_graph_edges(spark, d):
+    return cg.case_edges(**_case_tables(spark, d)).groupBy("case_id", "edge_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.sum("confidence"), 4).alias("confidence"), F.sum(F.size("items")).alias("items"))
+
+
+def i1_case_graph_nodes(spark, d):
+    return cg.case_nodes(_case_graph(spark, d))
+
+
+def i3_case_graph_finished(spark, d):
+    return _case_graph(spark, d).withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
+
+
+def i9_case_graph_backbone(spark, d):
+    return cg.flagged_edges(_case_graph(spark, d)).groupBy("case_id", "edge_type").agg(F.count("*").alias("edges"), F.count_if("backbone").alias("kept"))
+
+
+def i11_case_graph_summary(spark, d):
+    return cg.case_graph_summary(cg.flagged_edges(_case_graph(spark, d))).withColumn("key_connectors", F.array_join("key_connectors", ","))
+
+
 def i2_temporal_edges(spark, d):
     return op.temporal_edges(_events(spark, d))
 
@@ -86,7 +132,41 @@ e AS (
   SELECT DISTINCT 'case:' || case_id AS u, 'item:' || item_id AS v, 0.5::DOUBLE AS w FROM occ
   UNION ALL SELECT DISTINCT 'item:' || item_id, CASE entity_type WHEN 'domains' THEN 'domain' ELSE 'bank_account' END || ':' || value, 0.9::DOUBLE * 0.8::DOUBLE FROM occ),
 simple AS (SELECT least(u, v) AS u, greatest(u, v) AS v, greatest(0.001::DOUBLE, max(w)) AS weight, 1 / greatest(0.001::DOUBLE, max(w)) AS distance FROM e GROUP BY ALL)"""
+CASE_GRAPH = f"""{OCC}, o AS (SELECT o_custkey AS case_id, o_orderkey AS item_id, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice FROM orders),
+dev AS (SELECT case_id, item_id, 'phone a' AS device FROM o WHERE starts_with(o_orderpriority, '1')),
+ev AS (SELECT case_id, item_id, o_orderdate::TIMESTAMP AS ts, CASE WHEN o_orderpriority = '5-LOW' THEN 'upload_time_fallback' WHEN item_id % 2 = 0 THEN 'labelled' ELSE 'metadata' END AS ts_source, o_orderstatus = 'F' AS inferred,
+  CASE item_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END AS confidence FROM o WHERE item_id % 4 <> 3),
+br AS (SELECT DISTINCT case_id, item_id, p_brand AS brand FROM lineitem JOIN part ON p_partkey = l_partkey JOIN o ON item_id = l_orderkey WHERE l_quantity >= 49),
+pr AS (SELECT a.case_id, a.item_id AS a, b.item_id AS b, round(least(a.o_totalprice, b.o_totalprice)::DOUBLE / greatest(a.o_totalprice, b.o_totalprice)::DOUBLE, 4) AS c, least(a.o_totalprice, b.o_totalprice)::DOUBLE / greatest(a.o_totalprice, b.o_totalprice)::DOUBLE AS raw
+  FROM o a JOIN o b ON a.case_id = b.case_id AND a.o_orderstatus = b.o_orderstatus AND a.item_id < b.item_id),
+rare AS (SELECT case_id, l_partkey AS part, list_sort(list(DISTINCT l_orderkey)) AS items FROM lineitem JOIN o ON item_id = l_orderkey WHERE l_quantity = 50 AND l_discount >= 0.09 GROUP BY ALL),
+mt AS (SELECT r.case_id, s.case_id AS other_case, r.part, r.items, s.items AS other_items, 0.4 + (r.part % 5) / 10 AS c FROM rare r JOIN rare s ON r.part = s.part AND r.case_id <> s.case_id),
+near AS (SELECT a.case_id, a.item_id AS a, b.item_id AS b, least(a.ts, b.ts) AS ts, CASE WHEN a.ts_source = b.ts_source THEN a.ts_source ELSE 'mixed_content_timestamps' END AS ts_source, a.inferred OR b.inferred AS inferred,
+  round(1 - abs(epoch(a.ts) - epoch(b.ts)) / 2592000, 4) AS w FROM ev a JOIN ev b ON a.case_id = b.case_id AND a.item_id < b.item_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 2592000 WHERE a.ts_source <> 'upload_time_fallback' AND b.ts_source <> 'upload_time_fallback'),
+said AS (SELECT DISTINCT case_id, item_id, CASE entity_type WHEN 'bank_accounts' THEN 'bank_account:' ELSE 'domain:' END || lower(value) AS node, value FROM occ),
+raw AS (
+  SELECT case_id, 'case:' || case_id AS s, 'evidence:' || item_id AS t, 'contains' AS edge_type, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS confidence, [item_id] AS items, NULL::TIMESTAMP AS ts, NULL AS ts_source, NULL AS inferred, 0 AS turn FROM o
+  UNION ALL SELECT case_id, 'evidence:' || item_id, node, 'shared_entity', 1, 1, [item_id], NULL, NULL, NULL, 1 FROM said
+  UNION ALL SELECT case_id, node, 'evidence:' || item_id, 'threat_relationship', 2, 1, [item_id], NULL, NULL, NULL, 2 FROM said WHERE value IN (SELECT 's' || s_suppkey || '.example' FROM supplier WHERE s_suppkey % 50 = 0)
+  UNION ALL SELECT case_id, 'evidence:' || item_id, 'brand:' || lower(brand), 'shared_entity', 1, 1, [item_id], NULL, NULL, NULL, 3 FROM br
+  UNION ALL SELECT case_id, 'evidence:' || item_id, 'device:' || device, 'metadata_relationship', 1, 1, [item_id], NULL, NULL, NULL, 4 FROM dev
+  UNION ALL SELECT a.case_id, 'evidence:' || a.item_id, 'evidence:' || b.item_id, 'metadata_relationship', 1.5, 1, [a.item_id, b.item_id], NULL, NULL, NULL, 5 FROM dev a JOIN dev b ON a.case_id = b.case_id AND a.item_id < b.item_id
+  UNION ALL SELECT case_id, 'evidence:' || item_id, 'timeline_event:' || case_id || ':' || item_id, 'timeline_event', 1, confidence, [item_id], ts, ts_source, inferred, 6 FROM ev
+  UNION ALL SELECT case_id, 'case:' || case_id, 'case:' || other_case, 'cross_case_relationship', 1, max(c), list_sort(list_distinct(flatten(list(items || other_items)))), NULL, NULL, NULL, 7 FROM mt GROUP BY case_id, other_case
+  UNION ALL SELECT case_id, 'case:' || other_case, 'evidence:' || x, 'contains', 1, c, [x], NULL, NULL, NULL, 7 FROM (SELECT *, unnest(other_items) AS x FROM mt)
+  UNION ALL SELECT case_id, 'evidence:' || x, 'bank_account:' || part, 'cross_case_entity_match', 1, c, list_sort(list_distinct(items || other_items)), NULL, NULL, NULL, 7 FROM (SELECT *, unnest(other_items) AS x FROM mt)
+  UNION ALL SELECT case_id, 'evidence:' || a, 'evidence:' || b, 'temporal_relationship', w, w, [a, b], ts, ts_source, inferred, 8 FROM near
+  UNION ALL SELECT case_id, 'evidence:' || a, 'evidence:' || b, 'behavioral_relationship', c, c, [a, b], NULL, NULL, NULL, 9 FROM pr WHERE raw >= 0.9),
+one AS (SELECT case_id, least(s, t) AS u, greatest(s, t) AS v, edge_type, weight, confidence, list_sort(list_distinct(items)) AS items, ts, ts_source, inferred FROM raw
+  QUALIFY row_number() OVER (PARTITION BY case_id, least(s, t), greatest(s, t), edge_type ORDER BY confidence DESC, turn, list_sort(list_distinct(items)), weight, ts) = 1),
+fill AS (SELECT case_id, u, v, edge_type, arg_min(x, x.item_id) AS e FROM (SELECT one.case_id, u, v, edge_type, {{'item_id': ev.item_id, 'ts': ev.ts, 'ts_source': ev.ts_source, 'inferred': ev.inferred}} AS x FROM (SELECT *, unnest(items) AS i FROM one WHERE ts IS NULL) one JOIN ev ON ev.item_id = i) GROUP BY ALL),
+done AS (SELECT one.case_id, one.u, one.v, one.edge_type, weight, confidence, items, coalesce(ts, e.ts) AS ts, coalesce(ts_source, e.ts_source, 'unresolved') AS ts_source, coalesce(inferred, e.inferred, false) AS inferred
+  FROM one LEFT JOIN fill ON fill.case_id = one.case_id AND fill.u = one.u AND fill.v = one.v AND fill.edge_type = one.edge_type)"""
+
 ORACLES = {
+    "i1_case_graph_edges": f"WITH {CASE_GRAPH} SELECT case_id, edge_type, count(*) AS n, round(sum(weight), 4) AS weight, round(sum(confidence), 4) AS confidence, sum(len(items))::BIGINT AS items FROM raw GROUP BY ALL",
+    "i1_case_graph_nodes": f"WITH {CASE_GRAPH} SELECT case_id, n AS node_id, string_split(n, ':')[1] AS node_type, count(*) AS edges FROM (SELECT case_id, unnest([u, v]) AS n FROM done) GROUP BY ALL",
+    "i3_case_graph_finished": f"WITH {CASE_GRAPH} SELECT * REPLACE (array_to_string(items, ',') AS items) FROM done",
     "i1_graph_nodes": f"""
 WITH {OCC} SELECT 'case:' || case_id AS node_id, 'case' AS node_type, count(*) AS n FROM occ GROUP BY case_id UNION ALL SELECT 'item:' || item_id, 'evidence', count(*) FROM occ GROUP BY item_id
 UNION ALL SELECT CASE entity_type WHEN 'domains' THEN 'domain' ELSE 'bank_account' END || ':' || value, CASE entity_type WHEN 'domains' THEN 'domain' ELSE 'bank_account' END, count(*) FROM occ GROUP BY entity_type, value""",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caselink.functions import brands as B
 from caselink.functions import web as W
-from caselink.operators import urls as op
+from caselink.operators import brands, urls as op
 from caselink.plans.tables import table
 
 
@@ -67,8 +68,24 @@ def d18_cloud_context(spark, d):
     return op.cloud_context(_urls(spark, d).withColumn("url", F.regexp_replace("url", r"example\.org", "github.io")))
 
 
+#: Hosts of the given pages with brands, imitations of brands, and cloud hosts in them; the same text in both dialects.
+SPOOFED = """replace(replace(replace(replace(url, 'example.net', 'example.com'), 'example.org', 'example.com'), 'example.com',
+  CASE page_id % 12 WHEN 0 THEN 'paypal' WHEN 1 THEN 'paypa1' WHEN 2 THEN 'secure-netflix' WHEN 3 THEN 'micros0ft-login' WHEN 4 THEN 'gogole' WHEN 5 THEN 'example'
+    WHEN 6 THEN 'faceboook' WHEN 7 THEN 'khalti' WHEN 8 THEN 'rnicrosoft' WHEN 9 THEN 'amazon-prime' WHEN 10 THEN 'log.insta-help' ELSE 'nabil' END
+  || CASE page_id % 5 WHEN 0 THEN '.github.io' WHEN 1 THEN '.netlify.app' WHEN 2 THEN '.com.np' ELSE '.com' END), '/en/', '/login/whatsapp/')"""
+
+
+def _spoofed(spark, d):
+    return _urls(spark, d).withColumn("url", F.expr(SPOOFED))
+
+
 def d19_brand_findings(spark, d):
-    return op.brand_findings(_urls(spark, d).withColumn("url", F.regexp_replace("url", r"//m\.", "//esew4.")))
+    return brands.brand_findings(_spoofed(spark, d))
+
+
+def d19_brand_risk(spark, d):
+    more = {"domain_age_days": F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 400), "ssl_valid": F.col("page_id") % 4 > 0, "whois_private": F.col("page_id") % 7 == 0, "suspicious_keyword_count": F.col("page_id") % 4}
+    return brands.brand_risk(_spoofed(spark, d).withColumns(more)).select("page_id", "url", "official_brand", F.array_join(F.array_sort("brands"), ",").alias("brands"), "brand_score", "brand_level")
 
 
 def _intel(spark, d):
@@ -187,10 +204,53 @@ r2 AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (core_entropy -
 risk AS (SELECT page_id, url, host, depth, core_entropy, randomness, CASE WHEN starts_with(brand, 'in:') THEN brand[4:] ELSE '' END AS impersonated_brand, CASE WHEN starts_with(brand, 'by:') THEN brand[4:] ELSE '' END AS typosquat_of,
   (CASE WHEN depth >= 3 THEN 10 ELSE 0 END + CASE WHEN randomness >= 0.6 AND length(core) >= 8 THEN 15 ELSE 0 END + CASE WHEN ending IN {_in(W.DOMAIN_RISKY_TLDS)} THEN 15 ELSE 0 END
    + CASE WHEN regexp_matches(host, '[^\\x00-\\x7f]') THEN 20 ELSE 0 END + CASE WHEN brand <> '' THEN 30 ELSE 0 END)::INTEGER AS risk_points FROM r2)"""
-CLOUD = f"""c AS (SELECT page_id, url, CASE {' '.join(f"WHEN {' OR '.join(f'(host = {chr(39)}{x}{chr(39)} OR ends_with(host, {chr(39)}.{x}{chr(39)}))' for x in xs)} THEN '{k}'" for k, xs in W.CLOUD_PROVIDERS.items())} END AS provider,
+CLOUD = f"""c AS (SELECT page_id, url, CASE {' '.join(f"WHEN {' OR '.join(f"ends_with(host, '{x}')" for x in xs)} THEN '{k}'" for k, xs in W.CLOUD_PROVIDERS.items())} END AS provider,
   {_any('lower(url)', W.CLOUD_LOGIN_WORDS)}::INTEGER + {_any('lower(url)', W.CLOUD_MONEY_WORDS)}::INTEGER + {_any('lower(url)', W.CLOUD_BRAND_WORDS)}::INTEGER + (impersonated_brand <> '')::INTEGER + (typosquat_of <> '')::INTEGER + (depth >= 3)::INTEGER AS n FROM risk)"""
 REASONS = ["CASE WHEN is_ip_address = 1 THEN 'uses a raw IP address' END", "CASE WHEN is_https = 0 THEN 'is not encrypted' END", "CASE WHEN suspicious_keyword_count > 0 THEN 'holds ' || suspicious_keyword_count || ' suspicious words' END",
            "CASE WHEN subdomain_count >= 2 THEN 'has ' || subdomain_count || ' subdomain levels' END", "CASE WHEN is_suspicious_tld = 1 THEN 'has a risky ending' END", "CASE WHEN url_length > 75 THEN 'is ' || url_length || ' characters long' END"]
+_tokens = ", ".join(f"('{b}', {i}, '{w}', {k})" for i, (b, ws) in enumerate(B.BRAND_TOKENS.items()) for k, w in enumerate(ws))
+_homes = ", ".join(f"('{d}', '{b}')" for b, ds in B.BRAND_DOMAINS.items() for d in ds)
+_ends = "CASE " + " ".join(f"WHEN registered_domain = '{e}' OR ends_with(registered_domain, '.{e}') THEN '{b}'" for e, b in B.BRAND_ENDINGS.items()) + " END"
+_providers = "CASE " + " ".join(f"WHEN {' OR '.join(f"ends_with(host, '{x}')" for x in xs)} THEN '{k}'" for k, xs in W.CLOUD_PROVIDERS.items()) + " END"
+_read = "lower(label)"
+for _a, _b in B.READ_PAIRS:
+    _read = f"replace({_read}, '{_a}', '{_b}')"
+_read = f"translate({_read}, '{B.READ_SINGLE[0] + B.READ_SINGLE[2]}', '{B.READ_SINGLE[1] + B.READ_SINGLE[3]}')"
+_w = B.BRAND_WEIGHTS
+# The given hosts are ASCII: the SQL has no homoglyphs. Tests hold these by hand.
+BRANDS_SQL = PARTS.replace("FROM pages", f"FROM (SELECT page_id, {SPOOFED} AS url FROM pages)") + f""", t(brand, turn, word, pos) AS (VALUES {_tokens}), home(domain, brand) AS (VALUES {_homes}),
+v0 AS (SELECT q.page_id, q.url, host, lower(path) AS path, lower(query) AS query, q.subdomain, coalesce(home.brand, {_ends}) AS owner, {_providers} AS cloud,
+  flatten(list_transform([q.domain] || list_filter(string_split(q.subdomain, '.'), lambda x: x <> '' AND x <> 'www'), lambda x: [x] || string_split(x, '-'))) AS every FROM q LEFT JOIN home ON home.domain = q.registered_domain),
+v AS (SELECT *, list_filter(every, lambda x, i: length(x) >= 3 AND list_position(every, x) = i) AS labels FROM v0),
+named AS (SELECT page_id, brand, min(turn) AS turn, bool_or(contains(host, word)) AS deep FROM v JOIN t ON length(word) >= 4 AND contains(host || chr(10) || path || chr(10) || query, word) GROUP BY ALL),
+conflict AS (SELECT v.page_id, n.brand, n.turn, n.deep FROM v JOIN named n USING (page_id) WHERE owner IS NULL OR n.brand <> owner),
+mode AS (SELECT v.*, CASE WHEN owner IS NOT NULL THEN 'home' WHEN cloud IS NOT NULL AND page_id IN (SELECT page_id FROM conflict) THEN 'cloud' ELSE 'plain' END AS mode FROM v),
+lab AS (SELECT page_id, unnest(labels) AS label, generate_subscripts(labels, 1) AS place FROM v),
+form AS (SELECT *, {_read} AS r FROM (SELECT DISTINCT label FROM lab)),
+form2 AS (SELECT *, array_to_string(list_filter(string_split(r, ''), lambda c, i: i = 1 OR c <> string_split(r, '')[i - 1]), '') AS once FROM form),
+dist AS (SELECT label, brand, turn, pos, damerau_levenshtein(label, word) AS raw, least(CASE WHEN r <> label THEN damerau_levenshtein(r, word) ELSE 9 END, CASE WHEN once <> label THEN damerau_levenshtein(once, word) ELSE 9 END) AS turned
+  FROM form2 JOIN t ON length(word) >= 5 WHERE NOT EXISTS (FROM t AS own WHERE own.brand = t.brand AND own.word = form2.label)),
+near AS (SELECT label, brand, turn, least(raw, turned) AS distance FROM dist WHERE raw BETWEEN 1 AND 2 OR turned <= 2 QUALIFY row_number() OVER (PARTITION BY label, brand ORDER BY pos) = 1),
+typo AS (SELECT m.page_id, near.brand, near.turn, near.label, distance, place FROM mode m JOIN lab USING (page_id) JOIN near USING (label) WHERE mode <> 'home'),
+spoken AS (SELECT page_id, brand, bool_or(deep) AS deep, min(first) AS first FROM (SELECT n.page_id, n.brand, n.deep, n.turn AS first FROM named n JOIN mode USING (page_id) WHERE mode <> 'home' UNION ALL SELECT page_id, brand, false, 1000 + 1000 * place + turn FROM typo) GROUP BY ALL),
+affix AS (SELECT s.page_id, s.brand, arg_min(word, pos) AS word FROM spoken s JOIN mode m USING (page_id) JOIN t ON t.brand = s.brand
+  WHERE mode = 'plain' AND contains(array_to_string(labels, '-'), word) AND len(list_filter([{', '.join(f"'{a}'" for a in B.AFFIXES)}], lambda a: a <> word AND contains(array_to_string(labels, '-'), a))) > 0 GROUP BY ALL),
+base AS (
+  SELECT page_id, 'brand_conflict' AS finding, brand, NULL AS label, CASE WHEN deep THEN 'high' ELSE 'medium' END AS severity, CASE WHEN deep THEN {_w['brand_conflict'] + _w['brand_token']} ELSE {_w['brand_conflict']} END AS score FROM conflict JOIN mode USING (page_id) WHERE mode <> 'plain'
+  UNION ALL SELECT page_id, 'typosquatting', brand, label, CASE WHEN distance = 1 THEN 'critical' ELSE 'high' END, {_w['typosquatting']} FROM typo
+  UNION ALL SELECT s.page_id, CASE WHEN d THEN 'official_domain_mismatch' ELSE 'brand_token_reference' END, brand, NULL, CASE WHEN d THEN 'high' ELSE 'info' END, CASE WHEN d THEN {_w['official_domain_mismatch']} ELSE {_w['brand_token']} END
+    FROM (SELECT *, deep OR page_id IN (SELECT page_id FROM typo) AS d FROM spoken) s JOIN mode USING (page_id) WHERE mode = 'plain'
+  UNION ALL SELECT page_id, 'misleading_affix', brand, word, 'high', {_w['misleading_affix']} FROM affix),
+found AS (FROM base UNION ALL SELECT m.page_id, 'cloud_hosted_impersonation', (SELECT arg_min(brand, first) FROM spoken s WHERE s.page_id = m.page_id), cloud, 'high', {_w['cloud_hosted_impersonation']}
+  FROM mode m WHERE mode <> 'home' AND cloud IS NOT NULL AND len(list_filter([{', '.join(f"'{a}'" for a in B.CREDENTIAL_WORDS)}], lambda w: contains(subdomain || ' ' || path || ' ' || query, w))) > 0
+    AND m.page_id IN (SELECT page_id FROM base WHERE finding IN ('official_domain_mismatch', 'typosquatting', 'brand_conflict')))"""
+D19_SQL = f"WITH {BRANDS_SQL} SELECT page_id, url, finding, brand, label, severity, score::DOUBLE AS score FROM found JOIN v USING (page_id)"
+D19_RISK_SQL = f"""WITH {BRANDS_SQL}, s AS (SELECT page_id, sum(score) AS base, bool_or(severity IN ('high', 'critical')) AS severe FROM found GROUP BY ALL),
+z AS (SELECT v.page_id, v.url, v.owner AS official_brand, round(least(1.0, coalesce(base, 0) + CASE WHEN severe THEN CASE WHEN page_id % 3 > 0 AND page_id % 400 < 180 THEN 0.1 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 0.05 ELSE 0 END
+  + CASE WHEN page_id % 7 = 0 THEN 0.05 ELSE 0 END + CASE WHEN page_id % 4 >= 2 THEN 0.1 ELSE 0 END ELSE 0 END)::DOUBLE, 4) AS brand_score FROM v LEFT JOIN s USING (page_id))
+SELECT page_id, url, official_brand, coalesce((SELECT string_agg(brand, ',' ORDER BY brand) FROM (SELECT brand FROM spoken WHERE spoken.page_id = z.page_id UNION SELECT brand FROM conflict JOIN mode USING (page_id) WHERE conflict.page_id = z.page_id AND mode = 'home' UNION SELECT official_brand WHERE official_brand IS NOT NULL)), '') AS brands,
+  brand_score, CASE WHEN brand_score >= 0.6 THEN 'high' WHEN brand_score >= 0.3 THEN 'medium' WHEN brand_score > 0 THEN 'low' ELSE 'none' END AS brand_level FROM z"""
+
 ORACLES = {
     "d6_features_entropy": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["entropy"].items()) + " FROM q",
     "d9_features_brand": f"WITH {PARTS}, {BRANDED} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["brand"].items()) + """, brand AS brand_detected, official AS official_domain_match, closest AS closest_brand,
@@ -201,6 +261,8 @@ ORACLES = {
     "d17_domain_risk": f"WITH {PARTS}, {RISK} SELECT * FROM risk",
     "d18_cloud_context": f"WITH {PARTS.replace('FROM pages)', 'FROM (SELECT page_id, replace(url, ' + chr(39) + 'example.org' + chr(39) + ', ' + chr(39) + 'github.io' + chr(39) + ') AS url FROM pages))')}, {RISK}, {CLOUD}" + """
 SELECT page_id, url, provider, CASE WHEN provider IS NULL THEN 0 ELSE n END::INTEGER AS signals, CASE WHEN provider IS NULL OR n = 0 THEN 0 ELSE least(35, 12 + 8 * (n - 1)) END::INTEGER AS points FROM c""",
+    "d19_brand_findings": D19_SQL,
+    "d19_brand_risk": D19_RISK_SQL,
     "d24_explain": FEATURES + f" SELECT url, array_to_string(list_filter([{', '.join(REASONS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM f",
     "d2_url_parts": f"WITH {PARTS} SELECT page_id, scheme, host, port, path, query, fragment, suffix, domain, registered_domain, subdomain, extension FROM q",
     **{f"d{i}_features_{n}": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES[n].items()) + " FROM q" for i, n in ((4, "length"), (5, "character"), (7, "structural"), (8, "lexical"), (10, "security"), (11, "tld"))},
