@@ -13,31 +13,53 @@ def safe(a, b):
     return F.when(b != 0, a / b).otherwise(0.0)
 
 
-def binary_metrics(df: DataFrame, bins: int = 10) -> DataFrame:
-    """From (label, pred, proba): one row of counts and rates, log loss (clipped at 1e-7) and Brier score."""
+def _counted(df: DataFrame, by: tuple[str, ...], bins: int) -> DataFrame:
     p = F.least(F.greatest(F.col("proba"), F.lit(1e-7)), F.lit(1 - 1e-7))
     t, f = F.col("label") == 1, F.col("label") == 0
-    s = df.agg(F.count_if(t & (F.col("pred") == 1)).alias("tp"), F.count_if(f & (F.col("pred") == 1)).alias("fp"), F.count_if(f & (F.col("pred") == 0)).alias("tn"), F.count_if(t & (F.col("pred") == 0)).alias("fn"),
-               F.avg(-F.when(t, F.log(p)).otherwise(F.log(1 - p))).alias("ll"), F.avg((F.col("proba") - F.col("label")) ** 2).alias("br"))
+    place = F.least(F.floor(F.col("proba") * bins), F.lit(bins - 1))
+    inside = [F.abs(F.sum(F.when(place == i, F.col("proba") - F.col("label")))) for i in range(bins)]
+    return df.groupBy(*by).agg(
+        F.count_if(t & (F.col("pred") == 1)).alias("tp"), F.count_if(f & (F.col("pred") == 1)).alias("fp"), F.count_if(f & (F.col("pred") == 0)).alias("tn"), F.count_if(t & (F.col("pred") == 0)).alias("fn"),
+        F.avg(-F.when(t, F.log(p)).otherwise(F.log(1 - p))).alias("ll"), F.avg((F.col("proba") - F.col("label")) ** 2).alias("br"),
+        (sum((F.coalesce(x, F.lit(0.0)) for x in inside[1:]), F.coalesce(inside[0], F.lit(0.0))) / F.count("proba")).alias("ce"))
+
+
+def grouped_metrics(df: DataFrame, by: tuple[str, ...] = (), bins: int = 10) -> DataFrame:
+    """From (label, pred, proba), a row for each group ``by``: counts and rates, ROC-AUC (0.5 without both classes), average
+    precision (0 without positives), log loss (clipped at 1e-7), Brier score and expected calibration error. One pass over
+    the rows and one over their different scores serve all groups."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
-    out = s.withColumns({"accuracy": safe(tp + tn, tp + fp + tn + fn), "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "fpr": safe(fp, fp + tn), "fnr": safe(fn, fn + tp)})
+    out = _counted(df, by, bins).withColumns({"accuracy": safe(tp + tn, tp + fp + tn + fn), "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "fpr": safe(fp, fp + tn), "fnr": safe(fn, fn + tp)})
     out = out.withColumns({"f1": safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), "mcc": safe(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))})
-    return out.select("tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "mcc", "fpr", "fnr")), F.round("ll", 6).alias("log_loss"), F.round("br", 6).alias("brier"))
+    r = running(by_score(df, by), by)
+    areas = r.groupBy(*by).agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") / 2).alias("u"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    roc, pr = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(0.5), F.when(F.col("p") > 0, F.col("a") / F.col("p")).otherwise(0.0)
+    areas = areas.select(*by, roc.alias("roc_auc"), pr.alias("pr_auc"))
+    out = out.join(areas, list(by)) if by else out.join(areas)
+    return out.select(*by, "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in RATES), F.round("ll", 6).alias("log_loss"), F.round("br", 6).alias("brier"), F.round("ce", 6).alias("ece"))
+
 
+RATES = ("accuracy", "precision", "recall", "f1", "mcc", "fpr", "fnr", "roc_auc", "pr_auc")
 
-def by_score(df: DataFrame) -> DataFrame:
+
+def binary_metrics(df: DataFrame, bins: int = 10) -> DataFrame:
+    """``grouped_metrics`` of all rows: one row."""
+    return grouped_metrics(df, (), bins)
+
+
+def by_score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(proba, pos, neg) per distinct score."""
-    return df.groupBy("proba").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
+    return df.groupBy(*by, "proba").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
 
 
-def running(scores: DataFrame) -> DataFrame:
+def running(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Positives and negatives at or above each score: over 1,024 score ranges first, then inside each."""
     cut = scores.withColumn("_cell", F.floor(F.col("proba") * 1024))
-    cells = cut.groupBy("_cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_cell", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("n0"))
-    inside = Window.partitionBy("_cell").orderBy(F.col("proba").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.join(cells, "_cell").select("proba", "pos", "neg", (F.col("p0") + F.sum("pos").over(inside)).alias("tp"), (F.col("n0") + F.sum("neg").over(inside)).alias("fp"))
+    cells = cut.groupBy(*by, "_cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above = Window.partitionBy(*by).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "_cell", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("n0"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(F.col("proba").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.join(cells, [*by, "_cell"]).select(*by, "proba", "pos", "neg", (F.col("p0") + F.sum("pos").over(inside)).alias("tp"), (F.col("n0") + F.sum("neg").over(inside)).alias("fp"))
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -83,34 +105,6 @@ def fit_temperature(df: DataFrame, lo: float = 0.1, hi: float = 5.0, steps: int
     return sums.select(F.array_min("g").alias("m")).select("m.temperature", "m.loss")
 
 
-def fit_calibrators(df: DataFrame):
-    """Platt (logistic on the score) and isotonic models of (label, proba)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = VectorAssembler(inputCols=["proba"], outputCol="features").transform(df.select(F.col("label").cast("double").alias("label"), "proba"))
-    return LogisticRegression(maxIter=50).fit(rows), IsotonicRegression(featuresCol="features").fit(rows)
-
-
-def auto_recalibrate(df: DataFrame, least_gain: float = 0.002) -> DataFrame:
-    """The method of least (ECE, Brier), taken only if it improves the ECE by ``least_gain``. Scored on the rows it is
-    fitted on, so isotonic looks best; give it validation rows of its own to choose between methods."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    platt, iso = fit_calibrators(df)
-    rows = VectorAssembler(inputCols=["proba"], outputCol="features").transform(df.select(F.col("label").cast("double").alias("label"), "proba"))
-    both = {"identity": df, "platt": platt.transform(rows).select("label", vector_to_array("probability")[1].alias("proba")), "isotonic": iso.transform(rows).select("label", F.col("prediction").alias("proba"))}
-    scored = None
-    for name, x in both.items():
-        one = calibration_error(x).join(x.agg(F.round(F.avg((F.col("proba") - F.col("label")) ** 2), 6).alias("brier"))).withColumn("method", F.lit(name))
-        scored = one if scored is None else scored.unionByName(one)
-    base = F.max(F.when(F.col("method") == "identity", F.col("ece"))).over(Window.partitionBy())
-    best = F.row_number().over(Window.orderBy("ece", "brier", "method")) == 1
-    return scored.select("method", "ece", "mce", "brier", (best & ((base - F.col("ece") >= least_gain) | (F.col("method") == "identity"))).alias("chosen"))
-
-
 def error_analysis(df: DataFrame, k: int = 20, id_col: str = "doc_id") -> DataFrame:
     """The k most confident mistakes."""
     wrong = df.where("label <> pred").withColumn("kind", F.when(F.col("pred") == 1, "false_positive").otherwise("false_negative")).withColumn("confidence", F.round(F.abs(F.col("proba") - 0.5) * 2, 6))
@@ -144,6 +138,45 @@ def train_compare(train: DataFrame, validation: DataFrame, features: list[str],
     return out
 
 
+def cross_validate(df: DataFrame, features: list[str], k: int = 5, names: tuple[str, ...] = ("logistic", "tree"), at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(folds, summary): metrics of each model on each of the stratified folds it wasn't fitted on, and their mean and
+    population deviation by model.
+
+    The features are packed and the folds dealt once and written; the fits of all models and folds run ``at_once`` at a
+    time over that table, and one grouped pass measures all of them.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from caselink.operators.curate import stratified_kfold
+    from caselink.session import durable
+
+    dealt = durable(stratified_kfold(df, k), "folds")
+    packed = VectorAssembler(inputCols=features, outputCol="features").transform(dealt).select("label", "fold", "features")
+
+    def fitted(task: tuple[str, int]) -> DataFrame:
+        name, i = task
+        got = candidate_models((name,))[name].fit(packed.where(F.col("fold") != i)).transform(packed.where(F.col("fold") == i))
+        proba = vector_to_array("probability")[1] if "probability" in got.columns else F.col("prediction")
+        return got.select(F.lit(name).alias("model"), "fold", "label", F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
+
+    tasks = [(n, i) for n in names for i in range(k)]
+    with ThreadPool(at_once) as pool:
+        scored = pool.map(fitted, tasks)
+    every = scored[0]
+    for more in scored[1:]:
+        every = every.unionByName(more)
+    folds = grouped_metrics(durable(every, "fold-scores"), ("model", "fold"))
+    return folds, fold_summary(folds)
+
+
+def fold_summary(folds: DataFrame, by: str = "model", columns: tuple[str, ...] = ("accuracy", "precision", "recall", "f1", "mcc", "roc_auc", "pr_auc")) -> DataFrame:
+    """Mean and population deviation of each metric over the folds."""
+    return folds.groupBy(by).agg(F.count("*").alias("folds"), *(x for c in columns for x in (F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 6).alias(f"{c}_std"))))
+
+
 def tune(train: DataFrame, features: list[str], depths: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
     """Grid search of a tree's depth by F1 on a held-out quarter."""
     from pyspark.ml.classification import DecisionTreeClassifier

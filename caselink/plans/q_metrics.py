@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselink.operators import metrics as op
+from caselink.operators import calibrate as cal, metrics as op
+from caselink.operators.curate import stratified_kfold
 from caselink.plans.tables import table
 
 
@@ -52,7 +53,44 @@ def f9_calibration_error(spark, d):
 
 
 def f10_auto_recalibrate(spark, d):
-    return op.auto_recalibrate(_scores(spark, d))
+    return cal.auto_recalibrate(_scores(spark, d))
+
+
+def f10_recalibrate_on_other_rows(spark, d):
+    s = _scores(spark, d)
+    return cal.auto_recalibrate(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), ("identity", "temperature", "isotonic"))
+
+
+def f8_isotonic_intervals(spark, d):
+    out = cal.isotonic_intervals(_scores(spark, d))
+    return out.select(*(F.round(F.when(F.abs(c) < 2, F.col(c)), 6).alias(c) for c in ("lo", "hi", "y_lo", "y_hi")))
+
+
+def f8_isotonic_applied(spark, d):
+    s = _scores(spark, d)
+    return cal.fit_calibrator(s.where("doc_id % 2 = 0"), "isotonic").apply(s.select("doc_id", "label", "proba"))
+
+
+def f8_temperature_applied(spark, d):
+    s = _scores(spark, d)
+    return cal.fit_calibrator(s.where("doc_id % 2 = 0"), "temperature").apply(s.select("doc_id", "label", "proba"))
+
+
+def f8_platt_applied(spark, d):
+    s = _scores(spark, d)
+    return cal.fit_calibrator(s, "platt").apply(s.select("doc_id", "label", "proba"))
+
+
+def f2_fold_metrics(spark, d):
+    """Metrics of the md5 score on each stratified fold, and over the folds."""
+    s = _scores(spark, d).withColumn("url", F.col("doc_id").cast("string"))
+    folds = op.grouped_metrics(stratified_kfold(s, 4), ("fold",))
+    return folds.drop("tp", "fp", "tn", "fn")
+
+
+def f2_cross_validate(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_discount", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("url"))
+    return op.cross_validate(rows, ["l_quantity", "l_discount"], 3, ("tree",))[1]
 
 
 def f11_error_analysis(spark, d):
@@ -101,13 +139,37 @@ QUERIES = {k: f for k, f in globals().items() if k[0] in "fl" and k[1].isdigit()
 
 S = "s AS (SELECT doc_id, quality AS label, round(('0x' || md5(doc_id::VARCHAR)[1:3])::INTEGER::DOUBLE / 4095 * 0.7::DOUBLE + quality * 0.3::DOUBLE, 3) AS proba FROM labels), m AS (SELECT *, (proba >= 0.5)::INTEGER AS pred FROM s)"
 RUN = S + ", g AS (SELECT proba, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM m GROUP BY proba), r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g WINDOW w AS (ORDER BY proba DESC ROWS UNBOUNDED PRECEDING))"
+METRICS = """mg AS (SELECT *, {by} AS g FROM {m}), cg AS (SELECT g, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER (label = 1 AND pred = 0) AS fn,
+  avg(-CASE WHEN label = 1 THEN ln(greatest(least(proba, 1 - 1e-7), 1e-7)) ELSE ln(1 - greatest(least(proba, 1 - 1e-7), 1e-7)) END) AS ll, avg((proba - label) * (proba - label)) AS br FROM mg GROUP BY g),
+eg AS (SELECT g, sum(gap) / sum(n) AS ce FROM (SELECT g, abs(sum(proba - label)) AS gap, count(*) AS n FROM mg GROUP BY g, least(floor(proba * 10), 9)) GROUP BY g),
+sg AS (SELECT g, proba, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM mg GROUP BY g, proba), rg AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM sg WINDOW w AS (PARTITION BY g ORDER BY proba DESC ROWS UNBOUNDED PRECEDING)),
+ag AS (SELECT g, sum(neg * (tp - pos) + neg * pos / 2) / (sum(pos) * sum(neg)) AS roc, sum(pos * tp / (tp + fp)) / sum(pos) AS pr FROM rg GROUP BY g),
+rated AS (SELECT g, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
+  round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(fp / (fp + tn), 6) AS fpr, round(fn / (fn + tp), 6) AS fnr, round(roc, 6) AS roc_auc, round(pr, 6) AS pr_auc,
+  round(ll, 6) AS log_loss, round(br, 6) AS brier, round(ce, 6) AS ece FROM cg JOIN eg USING (g) JOIN ag USING (g))"""
+# isotonic regression by its max-min formula: the highest of the lowest means of the ranges that hold a score
+ISO = """i0 AS (SELECT proba AS x, sum(label)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM m WHERE {where} GROUP BY proba), i1 AS (SELECT row_number() OVER (ORDER BY x) AS i, x, pos, n FROM i0),
+i2 AS (SELECT i, x, pos, n, sum(pos) OVER w AS s, sum(n) OVER w AS w FROM i1 WINDOW w AS (ORDER BY i)),
+i3 AS (SELECT j.i AS j, k.i AS k, min((k.s - j.s + j.pos) / (k.w - j.w + j.n)) OVER (PARTITION BY j.i ORDER BY k.i DESC ROWS UNBOUNDED PRECEDING) AS low FROM i2 j JOIN i2 k ON k.i >= j.i),
+i4 AS (SELECT x, round(max(low), 12) AS y FROM i3 JOIN i2 ON j <= i2.i AND k = i2.i GROUP BY x), i5 AS (SELECT y, min(x) AS first, max(x) AS last FROM i4 GROUP BY y),
+i6 AS (SELECT *, lag(last) OVER (ORDER BY y) AS before, lag(y) OVER (ORDER BY y) AS y0, lead(y) OVER (ORDER BY y) AS after FROM i5),
+iv AS (SELECT coalesce(before, '-infinity'::DOUBLE) AS lo, first AS hi, coalesce(y0, y) AS y_lo, y AS y_hi FROM i6 UNION ALL SELECT first, last, y, y FROM i6 WHERE first < last UNION ALL SELECT last, 'infinity'::DOUBLE, y, y FROM i6 WHERE after IS NULL)"""
+LOOK = "round(CASE WHEN y_lo = y_hi THEN y_lo ELSE y_lo + (y_hi - y_lo) * (proba - lo) / (hi - lo) END, 6)"
+TEMP = """tg AS (SELECT round(0.1 + 4.9 * i / 199, 6) AS t, 0.1::DOUBLE + 4.9::DOUBLE * i / 199 AS raw FROM range(200) r(i)), ts AS (SELECT label, ln(greatest(least(proba, 1 - 1e-7), 1e-7) / (1 - greatest(least(proba, 1 - 1e-7), 1e-7))) AS z FROM m WHERE {where}),
+tb AS (SELECT t FROM (SELECT t, round(avg(ln(1 + exp(CASE WHEN label = 1 THEN -z ELSE z END / raw))), 9) AS loss FROM tg, ts GROUP BY t) ORDER BY loss, t LIMIT 1)"""
+HEAT = "round(1 / (1 + exp(-ln(greatest(least(proba, 1 - 1e-7), 1e-7) / (1 - greatest(least(proba, 1 - 1e-7), 1e-7))) / t)), 6)"
 GOLD = "(SELECT DISTINCT l_orderkey AS item_id, l_returnflag AS entity_type, l_suppkey AS value FROM lineitem WHERE {})"
 ORACLES = {
-    "f4_binary_metrics": f"""
-WITH {S}, c AS (SELECT count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER (label = 1 AND pred = 0) AS fn,
-  avg(-CASE WHEN label = 1 THEN ln(greatest(least(proba, 1 - 1e-7), 1e-7)) ELSE ln(1 - greatest(least(proba, 1 - 1e-7), 1e-7)) END) AS ll, avg((proba - label) * (proba - label)) AS br FROM m)
-SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
-  round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(fp / (fp + tn), 6) AS fpr, round(fn / (fn + tp), 6) AS fnr, round(ll, 6) AS log_loss, round(br, 6) AS brier FROM c""",
+    "f4_binary_metrics": f"WITH {S}, {METRICS.format(by='1', m='m')} SELECT * EXCLUDE (g) FROM rated",
+    "f2_fold_metrics": f"WITH {S}, k AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id::VARCHAR)) % 4)::INTEGER AS fold FROM m), {METRICS.format(by='fold', m='k')} SELECT * EXCLUDE (g, tp, fp, tn, fn), g AS fold FROM rated",
+    "f8_isotonic_intervals": f"WITH {S}, {ISO.format(where='true')} SELECT round(CASE WHEN abs(lo) < 2 THEN lo END, 6) AS lo, round(CASE WHEN abs(hi) < 2 THEN hi END, 6) AS hi, round(y_lo, 6) AS y_lo, round(y_hi, 6) AS y_hi FROM iv",
+    "f8_isotonic_applied": f"WITH {S}, {ISO.format(where='doc_id % 2 = 0')} SELECT doc_id, label, {LOOK} AS proba FROM m JOIN iv ON proba >= lo AND proba < hi",
+    "f8_temperature_applied": f"WITH {S}, {TEMP.format(where='doc_id % 2 = 0')} SELECT doc_id, label, {HEAT} AS proba FROM m, tb",
+    "f10_recalibrate_on_other_rows": f"""WITH {S}, {ISO.format(where='doc_id % 2 = 0')}, {TEMP.format(where='doc_id % 2 = 0')}, z AS (SELECT 'identity' AS method, label, round(proba, 6) AS proba FROM m WHERE doc_id % 2 = 1
+  UNION ALL SELECT 'temperature', label, {HEAT} FROM m, tb WHERE doc_id % 2 = 1 UNION ALL SELECT 'isotonic', label, {LOOK} FROM m JOIN iv ON proba >= lo AND proba < hi WHERE doc_id % 2 = 1),
+b AS (SELECT method, count(*) AS n, round(abs(avg(proba) - avg(label)), 6) AS gap FROM z GROUP BY method, least(floor(proba * 10), 9)), e AS (SELECT method, round(sum(n * gap) / sum(n), 6) AS ece, max(gap) AS mce FROM b GROUP BY method),
+w AS (SELECT *, (SELECT round(avg((proba - label) * (proba - label)), 6) FROM z WHERE z.method = e.method) AS brier FROM e), best AS (SELECT * FROM w ORDER BY ece, brier, method LIMIT 1)
+SELECT w.*, CASE WHEN (SELECT ece FROM w WHERE method = 'identity') - best.ece >= 0.002 THEN w.method = best.method ELSE w.method = 'identity' END AS chosen FROM w, best""",
     "f5_roc_auc": f"WITH {RUN} SELECT round(sum(neg * (tp - pos) + neg * pos / 2) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM r",
     "f6_pr_auc": f"WITH {RUN} SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS pr_auc FROM r",
     "f7_curve_points": f"WITH {RUN} SELECT proba, round(tp / (SELECT sum(pos) FROM g), 6) AS tpr, round(fp / (SELECT sum(neg) FROM g), 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM r",
