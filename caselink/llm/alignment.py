@@ -21,9 +21,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,47 +58,71 @@ class ByteEncoder:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def slices(a: list[int], b: list[int], a_size, b_size) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists that spell the same bytes: both are cut where an end is in both dictionaries."""
-    a_at = {end: i for i, end in enumerate(accumulate(map(a_size.__getitem__, a)), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(map(b_size.__getitem__, b)), 1)}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        p, q = a_at[end], b_at[end]
-        out.append((a[i:p], b[j:q]))
-        i, j = p, q
-    return out
+def _spans(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one after the other."""
+    first = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(first - starts, sizes)
 
 
-def links(group: tuple[list[int], list[int]]) -> Iterator[tuple[int, int]]:
-    """(link, times) of a group; a link is A's id and B's id in one number."""
-    a, b = group
-    if len(a) == 1 and len(b) == 1:
-        yield a[0] << 32 | b[0], 1
-        return
-    right = Counter(b)
-    for x, m in Counter(a).items():
-        for y, n in right.items():
-            yield x << 32 | y, m * n
+def slices(a: list[int], b: list[int], a_size: dict[int, int], b_size: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the groups of two id lists that spell the same bytes end, in A, in B and in bytes: both are cut where an end
+    is in both dictionaries."""
+    a_at = dict(zip(accumulate(map(a_size.__getitem__, a)), range(1, len(a) + 1), strict=True))
+    b_at = dict(zip(accumulate(map(b_size.__getitem__, b)), range(1, len(b) + 1), strict=True))
+    ends = sorted(a_at.keys() & b_at.keys())
+    array = lambda x: np.fromiter(x, np.int64, len(ends))
+    return array(map(a_at.__getitem__, ends)), array(map(b_at.__getitem__, ends)), array(ends)
+
+
+WIDE = 4096
+
+
+def links(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, link, times) of all groups, by group: every pair of one id of A and one of B. A link is both ids in one
+    number. In groups of more than ``WIDE`` pairs equal links are counted at once, in others they stand for themselves."""
+    m, n = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+    many = np.flatnonzero(m * n > WIDE)
+    sizes = m * n
+    sizes[many] = 0
+    group = np.repeat(np.arange(len(m)), sizes)
+    place = _spans(sizes, np.zeros(len(m), np.int64))
+    link = a[(a_end - m)[group] + place // n[group]] << 32 | b[(b_end - n)[group] + place % n[group]]
+    times = np.ones(len(link), np.int64)
+    for g in many.tolist():
+        x, i = np.unique(a[a_end[g] - m[g] : a_end[g]], return_counts=True)
+        y, j = np.unique(b[b_end[g] - n[g] : b_end[g]], return_counts=True)
+        group = np.r_[group, np.full(len(x) * len(y), g)]
+        link, times = np.r_[link, (x[:, None] << 32 | y).ravel()], np.r_[times, np.outer(i, j).ravel()]
+    if len(many):
+        order = np.argsort(group, kind="stable")
+        group, link, times = group[order], link[order], times[order]
+    return group, link, times
 
 
 class Stretches(dict):
-    """stretch of text: its number. What it aligns to is kept by number."""
+    """stretch of text: its number. What stretches align to is kept by number."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 300_000) -> None:
+    def __init__(self, a_path: str, b_path: str, most: int = 400_000) -> None:
         self.a, self.b, self.most = ByteEncoder(a_path), model_of(b_path), most
         self.b_size = [1 if t == BYTE else len(p.replace(MARK, " ").encode()) for p, t in zip(self.b.pieces, self.b.types, strict=True)]
-        self.stretch = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-        self.free = set(" " + self.b.cuts)  # B ends a token before each of these
-        rest = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", c) and c not in self.free)
-        self.unsure = re.compile(f"[{re.escape(rest)}]") if rest else None
+        free = set(" " + self.b.cuts)  # B ends a token before each of these
+        self.unsure = {c for c in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", c)} - free
+        self.rare = re.compile(f"[{re.escape(''.join(sorted(self.unsure)))}]") if self.unsure else None
+        # A starts a word where a letter is followed by one of these marks, and no piece of B holds the two
+        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+        joined = {p[i + 1] for p in self.b.ids for i in range(len(p) - 1) if re.match(f"[{letters}]", p[i])}
+        marks = re.escape("".join(c for c in ",.!?;:%$&#*|" if c not in joined))
+        cut = f"[{BLANK}]*[^{BLANK}{marks}]++(?<=[{letters}])(?=[{marks}])|" if marks else ""
+        self.stretch = re.compile(f"{cut}[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.text, self.spelt = [], [], [], [], [], []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.counts = np.zeros((4, 0), np.int64)  # of A's ids, B's ids, groups and links
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.link, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text: list[str] = []
+        self.spelt: list[bool] = []
 
     def cut(self, text: str | None) -> list[str]:
         """The stretches of a space and ``text``; none where it can't be spelt."""
@@ -107,51 +130,81 @@ class Stretches(dict):
             return []
         text = " " + text
         parts = self.stretch.findall(text)
-        if self.unsure is not None and self.unsure.search(text):
+        if self.rare is not None and self.rare.search(text):
             out = [parts[0]]
             for p in parts[1:]:
-                if p[0] in self.free:
-                    out.append(p)
-                else:
+                if p[0] in self.unsure:
                     out[-1] += p
+                else:
+                    out.append(p)
             return out
         return parts
 
-    def encode_b(self, parts: list[str]) -> list[list[int]]:
+    def encode_b(self, parts: list[str]) -> tuple[list[int], np.ndarray]:
+        """Ids of all parts one after the other, and how many each has."""
         words = [self.b.word.findall(p.replace(" ", MARK)) for p in parts]
-        own = list({w for ws in words for w in ws})
+        flat = list(chain.from_iterable(words))
+        own = list(dict.fromkeys(flat))
         ids = dict(zip(own, self.b.segment(own), strict=True))
-        return [[i for w in ws for i in ids[w]] for ws in words]
+        found = list(map(ids.__getitem__, flat))
+        sizes = np.add.reduceat(np.fromiter(map(len, found), np.int64, len(found)), np.cumsum([0, *map(len, words)])[:-1])
+        return list(chain.from_iterable(found)), sizes
 
     def learn(self, wanted: set[str]) -> None:
         new = [s for s in wanted if s not in self]
         if len(self) + len(new) > self.most:
             self._reset()
             new = list(wanted)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for s, a, b in zip(part, self.a.encode(part), self.encode_b(part), strict=True):
-                raw = s.encode("utf-8", "surrogatepass")
-                groups = slices(a, b, self.a.size, self.b_size)
-                held = Counter()
-                for g in groups:
-                    for link, n in links(g):
-                        held[link] += n
-                self[s] = len(self.n_a)
-                self.n_a.append(len(a))
-                self.n_b.append(len(b))
-                self.n_groups.append(len(groups))
-                self.n_links.append(sum(held.values()))
-                self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-                self.spelt.append(b"".join(map(self.a.bytes.__getitem__, a)) == raw == self.b.surface(b))
-                self.pairs.append(np.fromiter(held.keys(), np.int64, len(held)))
-                self.times.append(np.fromiter(held.values(), np.int64, len(held)))
-
-
-def _spans(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each range, one after the other."""
-    first = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) - np.repeat(first - starts, sizes)
+        for k in range(0, len(new), 50_000):
+            self._add(new[k : k + 50_000])
+
+    def _add(self, part: list[str]) -> None:
+        """Encode stretches that aren't known yet, and align all of them at once: each one's end is an end of both sides."""
+        each = self.a.encode(part)
+        a, n_a = list(chain.from_iterable(each)), np.fromiter(map(len, each), np.int64, len(each))
+        b, n_b = self.encode_b(part)
+        raw = [s.encode("utf-8", "surrogatepass") for s in part]
+        whole = b"".join(raw)
+        if b"".join(map(self.a.bytes.__getitem__, a)) == whole == self.b.surface(b):
+            spelt = [True] * len(part)
+        else:  # some are spelt otherwise: they don't count, and take part with no ids
+            to_a, to_b = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
+            spelt = [b"".join(map(self.a.bytes.__getitem__, a[i:j])) == r == self.b.surface(b[p:q]) for r, i, j, p, q in zip(raw, [0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+            a = [x for ok, i, j in zip(spelt, [0, *to_a], to_a, strict=False) if ok for x in a[i:j]]
+            b = [x for ok, i, j in zip(spelt, [0, *to_b], to_b, strict=False) if ok for x in b[i:j]]
+            n_a, n_b = n_a * spelt, n_b * spelt
+            raw = [r if ok else b"" for r, ok in zip(raw, spelt, strict=True)]
+        a_end, b_end, ends = slices(a, b, self.a.size, self.b_size)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        group, link, times = links(a, b, a_end, b_end)
+        last = np.searchsorted(ends, np.cumsum([len(r) for r in raw]), "right")  # groups up to each stretch's end
+        until = np.searchsorted(group, last)
+        size = np.diff(until, prepend=0)
+        held = np.diff(np.r_[0, np.cumsum(times)][until], prepend=0)
+        names = self._names(a, b, a_end, b_end)
+        to = last.tolist()
+        self.text += [";".join(names[i:j]) for i, j in zip([0, *to], to, strict=False)]
+        self.spelt += spelt
+        self.counts = np.concatenate([self.counts, [n_a, n_b, np.diff(last, prepend=0), held]], axis=1)
+        self.start, self.size = np.r_[self.start, until - size + len(self.link)], np.r_[self.size, size]
+        self.link, self.times = np.r_[self.link, link], np.r_[self.times, times]
+        self.update(zip(part, range(len(self), len(self) + len(part)), strict=True))
+
+    @staticmethod
+    def _names(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> list[str]:
+        """The text of each group."""
+        m, n = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+        out = np.empty(len(m), object)
+        plain = (m == 1) & (n == 1)
+        pair, back = np.unique(a[a_end[plain] - 1] << 32 | b[b_end[plain] - 1], return_inverse=True)
+        names = np.empty(len(pair), object)
+        names[:] = [f"{x >> 32}|{x & LOW}" for x in pair.tolist()]
+        out[plain] = names[back]
+        left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        rest = np.flatnonzero(~plain)
+        p, i, q, j = (x[rest].tolist() for x in (a_end - m, a_end, b_end - n, b_end))
+        out[rest] = [f"{','.join(left[w:x])}|{','.join(right[y:z])}" for w, x, y, z in zip(p, i, q, j, strict=True)]
+        return out.tolist()
 
 
 def _chunks(column: pa.Array, known: Stretches, size: int) -> Iterator[tuple[int, list[list[str]]]]:
@@ -185,14 +238,14 @@ def _held(a_path: str, b_path: str, size: int):
                 known.learn(set().union(*split))
                 n = len(split)
                 rows = [list(map(known.__getitem__, parts)) for parts in split]
-                rows = [r if all(map(known.spelt.__getitem__, r)) else [] for r in rows]
+                if not all(known.spelt):
+                    rows = [r if all(map(known.spelt.__getitem__, r)) else [] for r in rows]
                 sha = [hashlib.sha256(";".join(map(known.text.__getitem__, r)).encode()).hexdigest() if r else "" for r in rows]
                 sizes = np.array([len(r) for r in rows])
                 flat = np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum()))
                 of = np.repeat(np.arange(n), sizes)
                 used, which = np.unique(flat, return_inverse=True)
-                total = lambda values: np.bincount(of, np.array([values[u] for u in used.tolist()], np.float64)[which] if len(of) else None, n).astype(np.int64)  # noqa: E731, B023
-                counts = [total(v) if len(of) else np.zeros(n, np.int64) for v in (known.n_a, known.n_b, known.n_groups, known.n_links)]
+                counts = [np.bincount(of, known.counts[i][flat], n).astype(np.int64) for i in range(4)]
                 at, times, ends, table, docs = _tally(known, used, which, of, n)
                 cut = lambda x: [x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]  # noqa: E731, B023
                 here = task | turn
@@ -210,11 +263,10 @@ def _tally(known: Stretches, used: np.ndarray, which: np.ndarray, of: np.ndarray
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     own, often = np.unique(of * len(used) + which, return_counts=True)
     doc, unit = own // len(used), own % len(used)
-    sizes = np.array([len(known.pairs[u]) for u in used.tolist()])
-    starts = np.cumsum(sizes) - sizes
-    table, number = np.unique(np.concatenate([known.pairs[u] for u in used.tolist()]), return_inverse=True)
-    each = np.concatenate([known.times[u] for u in used.tolist()])
-    place = _spans(sizes[unit], starts[unit])
+    sizes, starts = known.size[used], known.start[used]
+    table, number = np.unique(known.link[_spans(sizes, starts)], return_inverse=True)
+    number, each = number.astype(np.int64), known.times[_spans(sizes, starts)]
+    place = _spans(sizes[unit], (np.cumsum(sizes) - sizes)[unit])
     key = np.repeat(doc, sizes[unit]) * len(table) + number[place]
     weight = np.repeat(often, sizes[unit]) * each[place]
     order = np.argsort(key, kind="stable")
