@@ -199,17 +199,49 @@ def entity_prf(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return s.withColumn("f1", F.round(safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6)).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
-def error_rates(pairs: DataFrame) -> DataFrame:
-    """From (id, expected, found): character and word error rates of each sample, after lower-casing and space folding.
+def entity_prf_summary(scores: DataFrame) -> DataFrame:
+    """One row over the types of ``entity_prf``: counts, precision, recall and F1 of all together, and the mean F1."""
+    own = safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    s = scores.agg(F.count("*").alias("types"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), F.coalesce(F.avg(own), F.lit(0.0)).alias("macro_f1"))
+    return s.select("types", "tp", "fp", "fn", F.round(safe(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(safe(F.col("tp"), F.col("tp") + F.col("fn")), 6).alias("recall"), F.round(own, 6).alias("micro_f1"), F.round("macro_f1", 6).alias("macro_f1"))
 
-    Words become single code points per pair, from U+10000 on, so the word distance is a character distance (built in, on the JVM).
-    """
-    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    rows = pairs.withColumns({"e": fold("expected"), "f": fold("found")}).withColumns({"ew": F.split("e", " "), "fw": F.split("f", " ")})
-    rows = rows.withColumn("words", F.array_union("ew", "fw"))
-    code = lambda c: F.array_join(F.transform(c, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("words", w) + 65535), 8, "0")), "UTF-32")), "")
-    rows = rows.withColumns({"char_errors": F.levenshtein("e", "f"), "word_errors": F.levenshtein(code("ew"), code("fw"))})
-    return rows.select("id", "char_errors", F.round(safe(F.col("char_errors"), F.length("e")), 6).alias("cer"), "word_errors", F.round(F.when(F.col("word_errors").isNotNull(), F.col("word_errors") / F.size("ew")), 6).alias("wer"))
+
+def error_rates(pairs: DataFrame) -> DataFrame:
+    """From (id, expected, found): errors and rates of characters and words of each sample, in composed form (NFC), lower
+    case, with single spaces. An empty reference counts by what was found instead: all of it is wrong. Nulls are empty."""
+    import unicodedata
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from caselink.functions.distance import edit_distance
+
+    def fold(text: str | None) -> str:
+        return " ".join(unicodedata.normalize("NFC", text or "").lower().split())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, e, f in zip(part["id"], part["expected"], part["found"], strict=True):
+                e, f = fold(e), fold(f)
+                ew, fw = e.split(), f.split()
+                rows.append((i, edit_distance(e, f), len(e), len(f), edit_distance(ew, fw), len(ew), len(fw)))
+            yield pd.DataFrame(rows, columns=["id", "char_errors", "chars", "_f", "word_errors", "words", "_w"])
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    rows = pairs.select("id", "expected", "found").mapInPandas(run, f"id {kind}, char_errors long, chars long, _f long, word_errors long, words long, _w long")
+    rate = lambda n, own, other: F.round(safe(F.col(n), F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(other))), 6)
+    return rows.select("id", "char_errors", "chars", rate("char_errors", "chars", "_f").alias("cer"), "word_errors", "words", rate("word_errors", "words", "_w").alias("wer"))
+
+
+def error_summary(rates: DataFrame) -> DataFrame:
+    """One row over all samples of ``error_rates``: rates and accuracies weighted by length, and least, largest, mean and
+    median of the samples' own rates."""
+    micro = lambda n, d: F.coalesce(safe(F.sum(n), F.sum(d)), F.lit(0.0))
+    spread = [x for c in ("cer", "wer") for x in (F.round(F.min(c), 4).alias(f"{c}_min"), F.round(F.max(c), 4).alias(f"{c}_max"), F.round(F.avg(c), 4).alias(f"{c}_mean"), F.round(F.median(c), 4).alias(f"{c}_median"))]
+    s = rates.agg(F.count("*").alias("samples"), micro("char_errors", "chars").alias("cer"), micro("word_errors", "words").alias("wer"), *spread)
+    accuracy = {f"{k}_accuracy": F.round(F.greatest(F.lit(0.0), 1 - F.col(c)), 4) for k, c in (("char", "cer"), ("word", "wer"))}
+    return s.withColumns(accuracy).withColumns({c: F.round(c, 4) for c in ("cer", "wer")})
 
 
 def preservation_rate(gold: DataFrame, texts: DataFrame) -> DataFrame:

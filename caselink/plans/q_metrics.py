@@ -110,6 +110,14 @@ def l1_entity_prf(spark, d):
     return op.entity_prf(_gold(spark, d, "l_linenumber <= 4"), _gold(spark, d, "l_linenumber >= 3"))
 
 
+def l1_entity_prf_summary(spark, d):
+    return op.entity_prf_summary(l1_entity_prf(spark, d))
+
+
+def l2_error_summary(spark, d):
+    return op.error_summary(l2_error_rates(spark, d))
+
+
 def l2_error_rates(spark, d):
     t = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("expected"))
     return op.error_rates(t.withColumn("found", F.regexp_replace("expected", "on", "no")))
@@ -177,6 +185,11 @@ SELECT w.*, CASE WHEN (SELECT ece FROM w WHERE method = 'identity') - best.ece >
     "f9_calibration_error": f"WITH {S}, b AS (SELECT count(*) AS n, round(abs(avg(proba) - avg(label)), 6) AS gap FROM m GROUP BY least(floor(proba * 10), 9)) SELECT round(sum(n * gap) / sum(n), 6) AS ece, max(gap) AS mce FROM b",
     "f11_error_analysis": f"WITH {S} SELECT doc_id, CASE WHEN pred = 1 THEN 'false_positive' ELSE 'false_negative' END AS kind, round(abs(proba - 0.5) * 2, 6) AS confidence FROM m WHERE label <> pred ORDER BY confidence DESC, doc_id LIMIT 20",
     "f12_rank_models": "WITH m AS (SELECT p_type AS model, round(avg(p_size) / 50, 2) AS f1, max(p_size) AS roc_auc, min(p_retailprice) AS recall, max(p_retailprice) AS precision FROM part GROUP BY p_type) SELECT *, (row_number() OVER (ORDER BY f1 DESC, roc_auc DESC, recall DESC, precision DESC, model))::INTEGER AS rank FROM m",
+    "l1_entity_prf_summary": f"""
+WITH e AS (WITH g AS {GOLD.format('l_linenumber <= 4')}, p AS {GOLD.format('l_linenumber >= 3')}, c AS (SELECT coalesce(g.entity_type, p.entity_type) AS entity_type, count(*) FILTER (g.value IS NOT NULL AND p.value IS NOT NULL) AS tp, count(*) FILTER (g.value IS NULL) AS fp, count(*) FILTER (p.value IS NULL) AS fn
+  FROM g FULL JOIN p ON g.item_id = p.item_id AND g.entity_type = p.entity_type AND g.value = p.value GROUP BY 1)
+SELECT entity_type, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c) SELECT count(*) AS types, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn)), 6) AS recall,
+  round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS macro_f1 FROM e""",
     "l1_entity_prf": f"""
 WITH g AS {GOLD.format('l_linenumber <= 4')}, p AS {GOLD.format('l_linenumber >= 3')}, c AS (SELECT coalesce(g.entity_type, p.entity_type) AS entity_type, count(*) FILTER (g.value IS NOT NULL AND p.value IS NOT NULL) AS tp, count(*) FILTER (g.value IS NULL) AS fp, count(*) FILTER (p.value IS NULL) AS fn
   FROM g FULL JOIN p ON g.item_id = p.item_id AND g.entity_type = p.entity_type AND g.value = p.value GROUP BY 1)
