@@ -58,6 +58,38 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
         "extension": F.regexp_extract(last, r"\.([A-Za-z0-9]+)$", 1), "params": F.filter(F.split("query", "&"), lambda s: s != ""), "tokens": F.filter(F.split(F.lower(url), "[^a-z0-9]+"), lambda s: s != "")})
 
 
+def public_suffixes(hosts: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
+    """(host, suffix) of each different host with a dot: the longest ending that a rule names. Rules are those of a public
+    suffix list, as ``read_suffix_rules`` gives them: ``co.uk``, ``*.ck`` for any label below, ``!www.ck`` for a name that
+    such a rule doesn't mean. An ending that no rule names is a suffix by its last label.
+
+    The endings of every host are exploded and meet the rules by equality.
+    """
+    h = hosts.select(F.lower(F.rtrim(F.col(host), F.lit("."))).alias("name"), F.col(host).alias("host")).where("name like '%.%'").distinct().withColumn("labels", F.split("name", r"\."))
+    n = F.col("n")
+    ends = h.select("host", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("n"))
+    below = F.when(n > 1, F.concat(F.lit("*."), F.array_join(F.slice("labels", F.size("labels") - n + 2, n - 1), "."))).otherwise("*")
+    ending = F.array_join(F.slice("labels", F.size("labels") - n + 1, n), ".")
+    keys = ends.select("host", "n", F.explode(F.array(ending, below, F.concat(F.lit("!"), ending))).alias("rule"))
+    hit = keys.join(rules.select("rule").distinct(), "rule").groupBy("host").agg(F.max(F.when(F.col("rule").startswith("!"), F.col("n") - 1)).alias("except"), F.max("n").alias("most"))
+    out = h.join(hit, "host", "left").withColumn("n", F.coalesce("except", "most", F.lit(1)))
+    return out.select("host", F.array_join(F.slice("labels", F.size("labels") - F.col("n") + 1, F.col("n")), ".").alias("suffix"))
+
+
+def with_public_suffix(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """What ``url_parts`` gives, its suffix, domain, registered_domain and subdomain by the rules. A host that is a suffix
+    itself, an IP address or a single label has no suffix and is its own domain."""
+    found = public_suffixes(parts.where("not is_ip"), rules).withColumnRenamed("suffix", "_suffix")
+    out = parts.drop("suffix", "domain", "registered_domain", "subdomain").join(found, "host", "left")
+    labels = F.split("host", r"\.")
+    n = F.size(labels) - F.size(F.split("_suffix", r"\."))
+    named = F.col("_suffix").isNotNull() & (n > 0)
+    return out.withColumns({
+        "suffix": F.when(named, F.col("_suffix")).otherwise(""), "domain": F.when(named, F.get(labels, n - 1)).otherwise(F.col("host")),
+        "registered_domain": F.when(named, F.concat_ws(".", F.get(labels, n - 1), "_suffix")).otherwise(F.col("host")),
+        "subdomain": F.when(named, F.array_join(F.slice(labels, F.lit(1), F.greatest(n - 1, F.lit(0))), ".")).otherwise("")}).drop("_suffix")
+
+
 def validate_urls(df: DataFrame, url: str = "url") -> DataFrame:
     """Names of what is wrong or notable with each URL."""
     u, host = F.col(url), F.lower(F.regexp_extract(F.col(url), AUTHORITY + r"([^/?#:]+)", 1))

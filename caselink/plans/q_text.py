@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselink.functions import constants as K
 from caselink.operators import curate as cu
+from caselink.functions.patterns import CLOSING
 from caselink.operators import entities as op
 from caselink.plans.q_urls import PARTS
 from caselink.plans.tables import table
@@ -141,8 +142,11 @@ _all = lambda pattern, group=0: f"regexp_extract_all(text, '{pattern.replace(chr
 _P = {k: v for g in op.PATTERNS.values() for k, v in g.items()}
 
 
+CLOSED = CLOSING.replace("'", "''")
+
+
 def _plain(kind, normal):
-    return f"SELECT source AS case_id, doc_id AS item_id, '{kind}' AS entity_type, v AS value, {normal} AS normalized FROM (SELECT source, doc_id, unnest({_all(_P[kind][0])}) AS v FROM documents)"
+    return f"SELECT source AS case_id, doc_id AS item_id, '{kind}' AS entity_type, v AS value, {normal} AS normalized FROM (SELECT source, doc_id, trim(rtrim(trim(raw), '{CLOSED}')) AS v FROM (SELECT source, doc_id, unnest({_all(_P[kind][0])}) AS raw FROM documents)) WHERE v <> ''"
 
 
 _kw = {k: "(" + " + ".join(f"len(regexp_extract_all(low, '{(chr(92) + 'b' + v + chr(92) + 'b') if v.isascii() else v}'))" for v in vs) + ")" for k, (_, vs) in K.KEYWORD_GROUPS.items()}

@@ -22,6 +22,15 @@ def d2_url_parts(spark, d):
     return op.url_parts(_urls(spark, d)).select("page_id", "scheme", "host", "port", "path", "query", "fragment", "suffix", "domain", "registered_domain", "subdomain", "extension")
 
 
+#: Rules of a suffix list for the given hosts: a plain one, a wildcard, an exception.
+SUFFIX_RULES = ("com", "net", "org", "example.com", "*.example.net", "!www.example.net", "spam-farm.example.org")
+
+
+def d2_public_suffix(spark, d):
+    rules = spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    return op.with_public_suffix(op.url_parts(_urls(spark, d)), rules).select("page_id", "host", "suffix", "domain", "registered_domain", "subdomain")
+
+
 def d3_validate_urls(spark, d):
     return op.validate_urls(_urls(spark, d)).select("page_id", F.array_join("findings", ",").alias("findings"))
 
@@ -264,6 +273,12 @@ SELECT page_id, url, provider, CASE WHEN provider IS NULL THEN 0 ELSE n END::INT
     "d19_brand_findings": D19_SQL,
     "d19_brand_risk": D19_RISK_SQL,
     "d24_explain": FEATURES + f" SELECT url, array_to_string(list_filter([{', '.join(REASONS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM f",
+    "d2_public_suffix": f"""WITH {PARTS}, rule(rule) AS (VALUES {', '.join(f"('{r}')" for r in SUFFIX_RULES)}), e AS (SELECT page_id, labels, unnest(range(1, len(labels) + 1)) AS n FROM q WHERE NOT is_ip AND len(labels) > 1),
+k AS (SELECT page_id, n, array_to_string(labels[len(labels) - n + 1:], '.') AS ending, CASE WHEN n > 1 THEN '*.' || array_to_string(labels[len(labels) - n + 2:], '.') ELSE '*' END AS below FROM e),
+h AS (SELECT page_id, max(CASE WHEN starts_with(rule, '!') THEN n - 1 END) AS ex, max(n) AS most FROM k JOIN rule ON rule IN (ending, below, '!' || ending) GROUP BY page_id),
+z AS (SELECT q.page_id, host, labels, len(labels) - coalesce(ex, most, 1) AS rest, NOT is_ip AND len(labels) > 1 AND len(labels) > coalesce(ex, most, 1) AS named FROM q LEFT JOIN h USING (page_id))
+SELECT page_id, host, CASE WHEN named THEN array_to_string(labels[rest + 1:], '.') ELSE '' END AS suffix, CASE WHEN named THEN labels[rest] ELSE host END AS domain, CASE WHEN named THEN array_to_string(labels[rest:], '.') ELSE host END AS registered_domain,
+  CASE WHEN named THEN array_to_string(labels[1:rest - 1], '.') ELSE '' END AS subdomain FROM z""",
     "d2_url_parts": f"WITH {PARTS} SELECT page_id, scheme, host, port, path, query, fragment, suffix, domain, registered_domain, subdomain, extension FROM q",
     **{f"d{i}_features_{n}": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES[n].items()) + " FROM q" for i, n in ((4, "length"), (5, "character"), (7, "structural"), (8, "lexical"), (10, "security"), (11, "tld"))},
     "d14_score_host": f"WITH {PARTS}, {SCORE} SELECT *, CASE WHEN risk_score >= 70 THEN 'malicious' WHEN risk_score >= 35 THEN 'suspicious' WHEN risk_score IS NOT NULL THEN 'benign' END AS verdict FROM s",

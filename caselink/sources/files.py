@@ -80,6 +80,12 @@ def read_feed(spark: SparkSession, kind: str, path: str, top: int = 300_000) ->
     raise ValueError(f"no feed of kind {kind}")
 
 
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a public suffix list: a rule a line up to the first blank, comments after two slashes."""
+    line = F.trim("value")
+    return spark.read.text(path).where((line != "") & ~line.startswith("//")).select(F.lower(F.regexp_extract(line, r"^(\S+)", 1)).alias("rule")).distinct()
+
+
 def write_splits(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(folder)
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,51 @@ def test_entities_of_a_receipt(spark):
     assert not any(t == "ports" for t, _ in got) and ("transaction_ids", "CVE-2024-3400") not in got
 
 
+def test_network_entities(spark):
+    text = ("see https://mail.Example.com:8443/x. and a.b@sub.corp.co.uk, my-site.dev or @my-site.com; nothing.here but v1.2, http://10.0.0.1/ "
+            "fe80::1 and 2001:DB8:0:0:0:0:0:1, not 1::2::3 nor 12:30:45, ::1 host-a:8080 at 11:15 AM 10.1.2.3:443, port 22 00-1A-2B-3C-4D-5E 00:1a-2b:3c:4d:5e www.x.np?")
+    got = {}
+    for r in entities.extract_entities(spark.createDataFrame([("c", 1, text)], "case_id string, item_id long, text string"), ("network",)).collect():
+        got.setdefault(r.entity_type, set()).add(r.normalized)
+    assert got["domains"] == {"mail.example.com", "sub.corp.co.uk", "my-site.dev", "www.x.np"}
+    assert got["ipv6"] == {"fe80::1", "2001:DB8:0:0:0:0:0:1", "::1"} and got["ipv4"] == {"10.0.0.1", "10.1.2.3"}
+    assert got["ports"] == {"8443", "8080", "443", "22"} and got["mac_addresses"] == {"00:1a:2b:3c:4d:5e"}
+    assert got["urls"] == {"https://mail.example.com:8443/x", "http://10.0.0.1/", "www.x.np"}
+
+
+def test_valid_ipv6_as_the_standard_library(spark):
+    import ipaddress
+
+    def ok(v):
+        try:
+            return bool(ipaddress.IPv6Address(v))
+        except ValueError:
+            return False
+
+    r = random.Random(3)
+    forms = [":".join(r.choice(["", "1", "ab", "FFFF", "12345", "0"]) for _ in range(r.randrange(1, 10))) for _ in range(1500)] + ["::", ":::", "1::", "::1", ":1::", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7::8"]
+    got = {x.v: x.k for x in spark.createDataFrame([(f,) for f in forms], "v string").select("v", entities.valid_ipv6(F.col("v")).alias("k")).collect()}
+    assert all(bool(got[f]) == ok(f) for f in forms), [f for f in forms if bool(got[f]) != ok(f)]
+
+
+def test_devanagari_cues(spark):
+    text = "रु 2,000 खाता: 0501-0198765432 ओटीपी 4821।"
+    got = {(r.entity_type, r.normalized) for r in entities.extract_entities(spark.createDataFrame([("c", 1, text)], "case_id string, item_id long, text string"), ("financial",)).collect()}
+    assert {("bank_accounts", "05010198765432"), ("otp", "4821")} <= got and any(t == "money" for t, _ in got)
+
+
+def test_public_suffix_rules(spark, tmp_path):
+    from caselink.operators import urls
+    from caselink.sources.files import read_suffix_rules
+
+    (tmp_path / "list.dat").write_text("// comment\ncom\nuk\nco.uk\n\n*.ck   // wild\n!www.ck\nnp\ncom.np\nblogspot.com\n")
+    rules = read_suffix_rules(spark, str(tmp_path / "list.dat"))
+    hosts = {"a.b.example.co.uk": ("co.uk", "example.co.uk", "a.b"), "x.y.ck": ("y.ck", "x.y.ck", ""), "a.x.y.ck": ("y.ck", "x.y.ck", "a"), "www.ck": ("ck", "www.ck", ""), "a.www.ck": ("ck", "www.ck", "a"), "me.blogspot.com": ("blogspot.com", "me.blogspot.com", ""),
+             "blogspot.com": ("", "blogspot.com", ""), "shop.unknown": ("unknown", "shop.unknown", ""), "localhost": ("", "localhost", ""), "10.0.0.1": ("", "10.0.0.1", ""), "esewa.com.np": ("com.np", "esewa.com.np", "")}
+    table = urls.url_parts(spark.createDataFrame([(f"http://{h}/p",) for h in hosts], "url string"))
+    assert {r.host: (r.suffix, r.registered_domain, r.subdomain) for r in urls.with_public_suffix(table, rules).collect()} == hosts
+
+
 def test_money_forms_are_one(spark):
     forms = ["Rs 2,000", "rs2000", "2000 NPR", "Rs. 2000.00", "2000 rupees"]
     assert {r.m for r in spark.createDataFrame([(f,) for f in forms], "v string").select(entities.normalize_money(F.col("v")).alias("m")).collect()} == {"NPR 2000"}
