@@ -32,6 +32,11 @@ def a3_read_labelled_urls(spark, d):
     return op.read_labelled_urls(spark, path)
 
 
+def a3_profile_columns(spark, d):
+    rows = _labelled(spark, d).select(F.lit("x").alias("note"), F.when(F.col("label") == 1, "Phishing").otherwise("benign").alias("kind"), F.col("url").alias("address"), F.when(F.col("label") == 1, "1").otherwise("-1").alias("sign"))
+    return op.profile_columns(rows).where(F.col("column") != "address")
+
+
 def a4_read_feed(spark, d):
     path = new_path(spark, "feed")
     table(spark, d, "pages").select("url").write.text(path)
@@ -58,6 +63,9 @@ ORACLES = {
     "a1_read_registers": "SELECT o_custkey::VARCHAR AS case_id, o_orderdate AS created_at, o_orderstatus AS title, o_orderkey::INTEGER AS evidence_count FROM orders",
     "a2_read_case_documents": "SELECT source AS case_id, doc_id::VARCHAR AS item_id, length(text)::INTEGER AS n_chars, CASE WHEN lang = 'en' THEN 0.5::DOUBLE END AS confidence FROM documents",
     "a3_read_labelled_urls": LAB,
+    "a3_profile_columns": f"""WITH l AS ({LAB}), n AS (SELECT count(*) AS n, count(DISTINCT lower(trim(url))) AS u, count(DISTINCT label) AS k FROM l) SELECT c.*, n FROM n, (
+  SELECT 'note' AS "column", 0.0::DOUBLE AS urls, 0.0::DOUBLE AS labels, 1::BIGINT AS different, 0.0::DOUBLE AS words, false AS numeric, false AS signed UNION ALL SELECT 'kind', 0, 1, 2, 1, false, false
+  UNION ALL SELECT 'sign', 0, 1, 2, 0, true, true) c""",
     "a4_read_feed": "SELECT url, 1 AS label FROM pages",
     "a8_write_splits": f"WITH lab AS ({LAB}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(url || ':42'), url) AS r, count(*) OVER (PARTITION BY label) AS n FROM lab) SELECT url, label, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,26 +44,101 @@ def read_case_documents(spark: SparkSession, path: str, one_per_file: bool = Tru
     return spark.read.schema(schema).option("multiLine", one_per_file).json(path).select("case_id", F.explode("evidence").alias("e")).select("case_id", F.col("e.evidence_id").alias("item_id"), F.col("e.raw_text").alias("text"), F.col("e.average_confidence").alias("confidence"))
 
 
+#: Names of URL and label columns, in the order they are tried.
+URL_NAMES = ("url", "urls", "website", "link", "links", "uri", "address", "site", "web_url", "webpage", "page_url", "phish_url", "domain")
+LABEL_NAMES = ("label", "labels", "is_phishing", "phishing", "class", "target", "result", "type", "status", "verdict", "category", "classification", "is_malicious", "malicious", "phish", "y")
 #: Words of a label column.
-LABELS = {"phishing": 1, "malicious": 1, "bad": 1, "spam": 1, "1": 1, "benign": 0, "legitimate": 0, "good": 0, "safe": 0, "0": 0, "-1": 0}
-
-
-def read_labelled_urls(spark: SparkSession, path: str, kind: str = "csv", sep: str = ",") -> DataFrame:
-    """(url, label) of a file of unknown layout: the column with the largest share of URL-like values (70% at least), and
-    the column whose values are label words. Shares are taken over all rows in one aggregation."""
-    raw = spark.read.option("header", True).option("sep", sep).csv(path) if kind == "csv" else spark.read.json(path)
-    raw = raw.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns))
-    like = lambda c: F.avg(F.col(f"`{c}`").rlike(r"(?i)^\s*(https?://|www\.|[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}(/|$))").cast("double"))
-    word = lambda c: F.avg(F.lower(F.trim(F.col(f"`{c}`"))).isin(*LABELS).cast("double"))
-    shares = raw.agg(*(like(c).alias(f"u{i}") for i, c in enumerate(raw.columns)), *(word(c).alias(f"l{i}") for i, c in enumerate(raw.columns))).first()
-    urls = sorted(((shares[f"u{i}"] or 0, -i) for i in range(len(raw.columns))), reverse=True)
-    labels = sorted(((shares[f"l{i}"] or 0, -i) for i in range(len(raw.columns))), reverse=True)
-    if not urls or urls[0][0] < 0.7:
+LABELS = {
+    "0": 0, "1": 1, "0.0": 0, "1.0": 1, "true": 1, "false": 0, "yes": 1, "no": 0, "phishing": 1, "phish": 1, "malicious": 1, "bad": 1, "fraud": 1, "suspicious": 1, "malware": 1,
+    "defacement": 1, "spam": 1, "scam": 1, "attack": 1, "unsafe": 1, "legitimate": 0, "legit": 0, "benign": 0, "good": 0, "normal": 0, "clean": 0, "safe": 0, "genuine": 0, "trusted": 0,
+}
+SIGNED = {"-1": 0, "-1.0": 0, "1": 1, "1.0": 1}
+#: Words in a file's name that say what all its URLs are.
+SAFE_NAMES = ("legit", "benign", "tranco", "alexa", "top-sites", "topsites", "whitelist", "majestic", "umbrella")
+BAD_NAMES = ("phish", "malicious", "fraud", "scam", "openphish", "blacklist")
+#: What a URL or a domain looks like; a user name is only one after a scheme.
+URL_LIKE = r"(?i)^(?:[a-z][a-z0-9+.-]*://(?:[^\s/@]+@)?)?[a-z0-9\x{00A1}-\x{FFFF}-]+(?:\.[a-z0-9\x{00A1}-\x{FFFF}-]+)+(?:[:/?#]\S*)?$"
+SEPARATORS = (",", "\t", ";", "|")
+
+
+def sniff_layout(spark: SparkSession, path: str, lines: int = 50) -> dict[str, str]:
+    """{"kind": json, jsonl, csv or lines; "sep"} from the first lines of the files: a JSON value, an object a line, lines
+    that all hold the same number of a separator (the one they hold most of), or a value a line."""
+    head = [r.value for r in spark.read.text(path).where("trim(value) <> ''").limit(lines).collect()]
+    if not head:
+        return {"kind": "lines", "sep": ""}
+    first = head[0].lstrip("\ufeff").strip()
+    if first.startswith("{") and first.endswith("}"):
+        return {"kind": "jsonl", "sep": ""}
+    if first[:1] in "[{":
+        return {"kind": "json", "sep": ""}
+    # a quoted field may hold separators: it counts as one character
+    bare = [re.sub(r'"[^"]*"', "q", x) for x in head]
+    even = [(bare[0].count(s), -i, s) for i, s in enumerate(SEPARATORS) if bare[0].count(s) and sum(x.count(s) == bare[0].count(s) for x in bare) >= 0.9 * len(bare)]
+    return {"kind": "csv", "sep": max(even)[2]} if even else {"kind": "lines", "sep": ""}
+
+
+def profile_columns(raw: DataFrame) -> DataFrame:
+    """A row for each column: rows with a value, shares of URL-like values and of label words, how many different values
+    (up to a few per cent), and whether all are numbers or all are -1 and 1. One aggregation over all rows."""
+    value = lambda c: F.lower(F.trim(F.col(f"`{c}`")))
+    share = lambda t: F.coalesce(F.avg(t.cast("double")), F.lit(0.0))
+    aggs = []
+    for c in raw.columns:
+        v = value(c)
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(F.col(f"`{c}`")).alias("n"), F.round(share((F.length(v) < 4096) & v.rlike(URL_LIKE)), 6).alias("urls"), F.round(share(v.isin(*LABELS, "-1", "-1.0")), 6).alias("labels"),
+                             F.approx_count_distinct(v).alias("different"), F.round(share(v.isin(*(w for w in LABELS if w.isalpha()))), 6).alias("words"), F.coalesce(F.bool_and(v.try_cast("double").isNotNull()), F.lit(False)).alias("numeric"),
+                             F.coalesce(F.bool_and(v.isin(*SIGNED)), F.lit(False)).alias("signed")))
+    return raw.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*") if raw.columns else raw.sparkSession.createDataFrame([], "column string, n long, urls double, labels double, different long, words double, numeric boolean, signed boolean")
+
+
+def column_roles(profile: DataFrame, least_urls: float = 0.7, least_labels: float = 0.5, most_labels: int = 10) -> tuple[str | None, str | None, bool]:
+    """(URL column, label column, whether labels are -1 and 1) from a profile, a row a column: known names come first,
+    then what the values look like. A column of numbers without a label's name is never a label."""
+    rows = {r.column: r for r in profile.collect()}  # as many as there are columns
+    named = {c.strip().lower(): c for c in rows}
+    url = next((named[n] for n in URL_NAMES if n in named and rows[named[n]].urls >= least_urls), None)
+    if url is None:
+        best = max((r for r in rows.values() if not r.numeric), key=lambda r: r.urls, default=None)
+        url = best.column if best is not None and best.urls > least_urls else None
+    fits = lambda r: r.n and r.labels >= least_labels and r.different <= most_labels
+    label = next((named[n] for n in LABEL_NAMES if n in named and named[n] != url and fits(rows[named[n]])), None)
+    if label is None:
+        label = next((c for c, r in rows.items() if c != url and r.n and not r.numeric and r.words == 1.0), None)
+    return url, label, bool(label) and rows[label].signed
+
+
+def read_labelled_urls(spark: SparkSession, path: str, kind: str | None = None, sep: str | None = None) -> DataFrame:
+    """(url, label) of files of unknown layout: csv with any common separator, a URL a line, JSON, or an object a line.
+
+    Layout and columns are told from the files (``sniff_layout``, ``profile_columns``, ``column_roles``) unless given.
+    Labels are mapped to 0 and 1, unknown ones dropped; without a label column the file's name decides, and where it
+    doesn't, that is an error.
+    """
+    found = sniff_layout(spark, path) if kind is None else {"kind": kind, "sep": sep or ","}
+    if found["kind"] == "csv":
+        raw = spark.read.option("header", True).option("sep", found["sep"]).csv(path)
+    elif found["kind"] == "lines":
+        raw = spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
+    else:
+        raw = spark.read.option("multiLine", found["kind"] == "json").json(path)
+        lists = [f for f in raw.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
+        if lists:  # a wrapper around the rows
+            raw = raw.select(F.explode(f"`{lists[0].name}`").alias("r")).select("r.*")
+    raw = raw.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) for f in raw.schema if f.dataType.typeName() not in ("array", "struct", "map")))
+    url, label, signed = column_roles(profile_columns(raw))
+    if url is None:
         raise ValueError("no column looks like URLs")
-    url = raw.columns[-urls[0][1]]
-    token = F.lower(F.trim(F.col(f"`{raw.columns[-labels[0][1]]}`"))) if labels[0][0] >= 0.5 else F.lit(None).cast("string")
-    mapped = F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), token)
-    return raw.select(F.trim(F.col(f"`{url}`")).alias("url"), mapped.alias("label"))
+    address = F.trim(F.col(f"`{url}`")).alias("url")
+    if label is None:
+        name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+        given = 0 if any(w in name for w in SAFE_NAMES) else 1 if any(w in name for w in BAD_NAMES) else None
+        if given is None:
+            raise ValueError("no label column, and the name doesn't say what the URLs are")
+        return raw.select(address, F.lit(given).alias("label"))
+    words = SIGNED if signed else LABELS
+    mapped = F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.lower(F.trim(F.col(f"`{label}`"))))
+    return raw.select(address, mapped.alias("label")).where("label is not null")
 
 
 def read_feed(spark: SparkSession, kind: str, path: str, top: int = 300_000) -> DataFrame:

@@ -132,6 +132,39 @@ def test_public_suffix_rules(spark, tmp_path):
     assert {r.host: (r.suffix, r.registered_domain, r.subdomain) for r in urls.with_public_suffix(table, rules).collect()} == hosts
 
 
+LAYOUTS = {
+    "a.csv": "id,Label,URL\n1,phishing,http://a.com/x\n2,benign,b.org\n3,odd,http://c.net\n4,good,http://d.com/?q=1\n",
+    "b.tsv": "site\tis_phishing\nhttp://a.com/x\t1\nb.org\t0\nhttp://d.com/?q=1\t0\n",
+    "c.txt": "web|Result\nhttp://a.com/x|1\nb.org|-1\nhttp://d.com/?q=1|-1\n",
+    "d.jsonl": '{"u": "http://a.com/x", "what": "Phishing", "flag": 0}\n{"u": "b.org", "what": "legitimate", "flag": 1}\n{"u": "http://d.com/?q=1", "what": "safe", "flag": 1}\n',
+    "e.json": '{"data": [{"url": "http://a.com/x", "y": 1.0},\n {"url": "b.org", "y": 0.0},\n {"url": "http://d.com/?q=1", "y": 0.0}]}\n',
+    "f.csv": 'note;type;link\n"a; b";bad;http://a.com/x\nc;normal;b.org\n"d";safe;http://d.com/?q=1\n',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_labelled_urls_of_any_layout(spark, tmp_path, name):
+    from caselink.sources.files import read_labelled_urls
+
+    (tmp_path / name).write_text(LAYOUTS[name])
+    assert {(r.url, r.label) for r in read_labelled_urls(spark, str(tmp_path / name)).collect()} == {("http://a.com/x", 1), ("b.org", 0), ("http://d.com/?q=1", 0)}
+
+
+def test_lists_by_their_names(spark, tmp_path):
+    from caselink.sources.files import read_labelled_urls, sniff_layout
+
+    for name, label in (("tranco-top.txt", 0), ("openphish.txt", 1)):
+        (tmp_path / name).write_text("http://a.com/x\n\nb.org\n")
+        assert {(r.url, r.label) for r in read_labelled_urls(spark, str(tmp_path / name)).collect()} == {("http://a.com/x", label), ("b.org", label)}
+    (tmp_path / "list.txt").write_text("http://a.com/x\nb.org\n")
+    (tmp_path / "mail.csv").write_text("a,b\nx@y.com,1\nz@y.com,0\n")
+    (tmp_path / "none.txt").write_text("")
+    for bad in ("list.txt", "mail.csv", "none.txt"):
+        with pytest.raises(ValueError):
+            read_labelled_urls(spark, str(tmp_path / bad))
+    assert sniff_layout(spark, str(tmp_path / "none.txt")) == {"kind": "lines", "sep": ""}
+
+
 def test_money_forms_are_one(spark):
     forms = ["Rs 2,000", "rs2000", "2000 NPR", "Rs. 2000.00", "2000 rupees"]
     assert {r.m for r in spark.createDataFrame([(f,) for f in forms], "v string").select(entities.normalize_money(F.col("v")).alias("m")).collect()} == {"NPR 2000"}
