@@ -47,3 +47,14 @@ PATTERNS: dict[str, dict[str, tuple[str, tuple[int, ...]]]] = {
         "facebook_usernames": (r"(?i)(?:https?://)?(?:www\.)?(?:facebook\.com|fb\.com)/(?!share|groups|pages|watch|events)([A-Za-z0-9.]{5,50})", (1,)), "instagram_usernames": (r"(?i)(?:https?://)?(?:www\.)?instagram\.com/([A-Za-z0-9_.]{2,30})", (1,)),
     },
 }
+
+#: How dates and times are written in documents, chats and file metadata.
+LABELLED_TIME = (r"(?im)^[ \t]*(?:date(?:\s*(?:&|and)\s*time)?|timestamp|time|date\s+of\s+[A-Za-z][A-Za-z0-9 _/&-]{0,30}|"
+                 r"[A-Za-z][A-Za-z0-9 _/&-]{0,30}\s+(?:date(?:\s*(?:&|and)\s*time)?|timestamp|time))[ \t]*(?::[ \t]*|\r?\n[ \t]*)([^\r\n]{1,100})")
+ISO_TIME = r"(?i)(?<![0-9])([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?:[ T]?)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*(am|pm)?\b"
+VISIBLE_DATES = (r"(?<![0-9])[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}(?![0-9])", r"(?<![0-9])[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}(?![0-9])",
+                 r"(?i)\b[0-9]{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\s+[0-9]{4}\b", r"(?i)\b[A-Za-z]{3,9}\s+[0-9]{1,2}(?:st|nd|rd|th)?,?\s+[0-9]{4}\b")
+VISIBLE_TIME = r"(?i)(?<![0-9])([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s*(?:am|pm)?)(?![0-9])"
+CHAT_FULL = r"(?i)(?<![0-9])[\[(]?\s*([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})\s*,?\s*([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*(am|pm)?\s*[\])]?\s*(?![0-9])"
+CHAT_PARTIAL = r"([0-9]{1,2})-([0-9]{1,2})\s*,\s*([0-9]{1,2}):([0-9]{2})(?::\w+)?"
+PDF_TIME = r"^D:([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})?([0-9]{2})?([0-9]{2})?(?:(Z)|([+-])([0-9]{2})'?([0-9]{2})'?)?"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caselink.functions import constants as K
 from caselink.operators import timeline as op
 from caselink.plans.q_correlate import pairs_of
+from caselink.operators.times import resolve_evidence_times
 from caselink.plans.tables import OCC, PAIRS, occurrences, table
 
 ORDER = {"signup": 1, "view": 2, "click": 3, "purchase": 4, "error": 5}
@@ -25,6 +26,17 @@ def h1_resolve_timestamps(spark, d):
     return op.resolve_timestamps(items)
 
 
+def h1_resolve_evidence_times(spark, d):
+    """Orders whose date is written in one of ten ways, with and without a year, and was uploaded 40 days later."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"), (F.col("o_orderkey") % 10).alias("k"))
+    say = lambda k, pattern, before="", after="": F.when(F.col("k") == k, F.concat(F.lit(before), F.date_format("t", pattern), F.lit(after)))
+    text = F.coalesce(say(0, "dd/MM/yyyy", "Invoice date: ", " at 9:05 pm"), say(1, "yyyy-MM-dd", "paid\nDate of payment\n"), say(2, "d MMMM yyyy", "Transaction date & time: ", ", 07:45"), say(6, "MM-dd", "hi\n", " , 10:20"), say(7, "dd/MM/yy", "[", ", 3:15 PM] hello"), F.lit("nothing"))
+    arrays = {"dates": F.array(F.coalesce(say(3, "MMM d yyyy"), say(4, "MM-dd"), F.lit(" "))), "times": F.when(F.col("k").isin(3, 5), F.array(F.lit("11:30 am"))).otherwise(F.array().cast("array<string>"))}
+    items = o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id"), text.alias("text"), *(c.alias(n) for n, c in arrays.items()),
+                     F.lit(None).cast("string").alias("exif"), say(8, "yyyyMMddHHmmss", "D:", "+05'45'").alias("pdf"), F.lit(None).cast("string").alias("office"), (F.col("t") + F.expr("INTERVAL 40 DAYS")).alias("upload_time"))
+    return resolve_evidence_times(items)
+
+
 def h2_build_timeline(spark, d):
     return op.build_timeline(_events(spark, d)).select("case_id", "item_id", "ts", "position")
 
@@ -69,6 +81,12 @@ EV = """ev AS (SELECT user_id AS case_id, event_id AS item_id, CASE WHEN value <
 RANK = "CASE stage WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END"
 _words = {s: "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in ws) + "], lambda x: x IS NOT NULL)" for s, ws in K.STAGE_KEYWORDS.items()}
 ORACLES = {
+    "h1_resolve_evidence_times": """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 10 AS k, o_orderdate::TIMESTAMP AS t, o_orderdate::TIMESTAMP + INTERVAL 40 DAYS AS u, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders)
+SELECT o_custkey AS case_id, o_orderkey AS item_id, CASE k WHEN 0 THEN d + INTERVAL '21 hours 5 minutes' WHEN 2 THEN d + INTERVAL '7 hours 45 minutes' WHEN 3 THEN d + INTERVAL '11 hours 30 minutes' WHEN 5 THEN date_trunc('day', u)::TIMESTAMP + INTERVAL '11 hours 30 minutes'
+    WHEN 6 THEN d + INTERVAL '10 hours 20 minutes' WHEN 7 THEN d + INTERVAL '15 hours 15 minutes' WHEN 8 THEN date_trunc('second', t)::TIMESTAMP - INTERVAL '5 hours 45 minutes' WHEN 9 THEN u ELSE d END AS ts,
+  ['content_labeled_date_time', 'content_labeled_date_only', 'content_labeled_date_time', 'content_date_time', 'content_date_only', 'content_time_only', 'content_chat_timestamp', 'content_chat_timestamp', 'metadata_pdf_created', 'upload_time_fallback'][k + 1] AS source,
+  ['high', 'medium', 'high', 'high', 'medium', 'medium', 'medium', 'high', 'medium', 'low'][k + 1] AS confidence, k IN (1, 4, 5, 6, 9) AS inferred FROM o""",
     "h1_resolve_timestamps": """
 SELECT o_custkey AS case_id, o_orderkey AS item_id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE + INTERVAL '9 hours 30 minutes' ELSE o_orderdate END AS ts,
   CASE o_orderstatus WHEN 'F' THEN 'labelled' WHEN 'P' THEN 'entity' ELSE 'upload' END AS source, CASE o_orderstatus WHEN 'F' THEN 0.95::DOUBLE WHEN 'P' THEN 0.85 ELSE 0.3 END AS confidence, o_orderstatus <> 'F' AS inferred FROM orders""",
