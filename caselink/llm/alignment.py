@@ -17,6 +17,7 @@ the input don't take part, whatever they are called.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -53,9 +54,13 @@ class ByteEncoder:
         letters = byte_letters()
         self.bytes = {i: bytes(letters[c] for c in t) for t, i in file["model"]["vocab"].items() if all(c in letters for c in t)}
         self.size = {i: len(b) for i, b in self.bytes.items()}
+        self.sizes = np.zeros(max(self.size) + 1, np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, parts: list[str], joined: int) -> list[int]:
+        """Ids of all parts, one after the other. Of the first ``joined``, hundreds go through the library as one text."""
+        texts = ["".join(parts[i : min(i + 256, joined)]) for i in range(0, joined, 256)] + parts[joined:]
+        return list(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)))
 
 
 def _spans(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -106,7 +111,8 @@ class Stretches(dict):
         self.a, self.b, self.most = ByteEncoder(a_path), model_of(b_path), most
         self.b_size = [1 if t == BYTE else len(p.replace(MARK, " ").encode()) for p, t in zip(self.b.pieces, self.b.types, strict=True)]
         free = set(" " + self.b.cuts)  # B ends a token before each of these
-        self.unsure = {c for c in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", c)} - free
+        self.blank = {c for c in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", c)}
+        self.unsure = self.blank - free
         self.rare = re.compile(f"[{re.escape(''.join(sorted(self.unsure)))}]") if self.unsure else None
         # A starts a word where a letter is followed by one of these marks, and no piece of B holds the two
         letters = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -160,10 +166,15 @@ class Stretches(dict):
 
     def _add(self, part: list[str]) -> None:
         """Encode stretches that aren't known yet, and align all of them at once: each one's end is an end of both sides."""
-        each = self.a.encode(part)
-        a, n_a = list(chain.from_iterable(each)), np.fromiter(map(len, each), np.int64, len(each))
+        # a word of A ends where white space follows another character: such stretches can stand one after the other
+        whole = [p[0] in self.blank and p[-1] not in self.blank for p in part]
+        part = [p for p, w in zip(part, whole, strict=True) if w] + [p for p, w in zip(part, whole, strict=True) if not w]
+        a = self.a.encode(part, sum(whole))
         b, n_b = self.encode_b(part)
         raw = [s.encode("utf-8", "surrogatepass") for s in part]
+        until = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        ends = np.cumsum(self.a.sizes[a])
+        n_a = np.diff(np.searchsorted(ends, until, "right"), prepend=0)
         whole = b"".join(raw)
         if b"".join(map(self.a.bytes.__getitem__, a)) == whole == self.b.surface(b):
             spelt = [True] * len(part)
@@ -233,6 +244,7 @@ def _held(a_path: str, b_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, turn = Stretches(a_path, b_path), 0
         task = TaskContext.get().partitionId() << 32
+        gc.disable()  # nothing here is circular, and there are millions of objects to look through
         for batch in batches:
             for lo, split in _chunks(batch.column(1), known, size):
                 known.learn(set().union(*split))
@@ -253,6 +265,7 @@ def _held(a_path: str, b_path: str, size: int):
                 cols = [[here] * (n + 1), [*batch.column(0).slice(lo, n).to_pylist(), None], *([*c.tolist(), 0] for c in counts), [*sha, ""],
                         [*cut(at), None], [*cut(times), None], [None] * n + [table.tobytes()], [None] * n + [docs.tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], names=[c for c, _ in FIELDS])
+        gc.enable()
 
     return run
 
