@@ -6,12 +6,16 @@ too across cases. Pairs only ever come from an equality join on the shared value
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselink.functions import constants as K
 from caselink.functions.scores import band, lookup
-from caselink.session import durable
+from caselink.session import durable, ship
 
 
 def normalised(occ: DataFrame, trim: bool = True) -> DataFrame:
@@ -123,38 +127,103 @@ def correlation_summary(pairs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("top.a").alias("top_a"), F.col("top.b").alias("top_b"), (-F.col("top.c")).alias("top_confidence"))
 
 
-def cross_case_links(occ: DataFrame, spec: DataFrame, block: int = 1000) -> DataFrame:
-    """Case pairs that share values: confidence from the unrounded sum; links without a relationship go.
+SLICE = 4_000_000
+
 
-    Values are numbers in the join, those of one item are left out first, and the cases of a frequent value are cut into
-    blocks of about ``block``, so that its pairs come from a task for two blocks. Only how many of its values a pair shares
-    and the sum of the (at most 3) most specific ones matter, in ten-thousandths: a plain sum where there are no more than
-    these, a ranking for the other pairs.
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (low, high, side, case, v, s, kind, weight) sorted by cell: the cell's pairs, with how many values count
+    and the weighed sum of the (at most ``FACTOR_CAP``) most specific ones of each kind.
+
+    All pairs of a cell's two blocks of cases are whole in it. They are expanded for a few cases of the first block at a
+    time, so that at most about ``SLICE`` rows are held beside the cell.
+    """
+    key, held = None, []
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cuts = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), True]) if batch.num_rows else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if (cols[0][lo], cols[1][lo]) != key:
+                if held:
+                    yield from _cell(*(np.concatenate(x) for x in zip(*held, strict=True)), key[0] == key[1])
+                key, held = (cols[0][lo], cols[1][lo]), []
+            held.append([c[lo:hi] for c in cols[2:]])
+    if held:
+        yield from _cell(*(np.concatenate(x) for x in zip(*held, strict=True)), key[0] == key[1])
+
+
+def _cell(side, case, v, s, kind, weight, inside: bool) -> Iterator[pa.RecordBatch]:
+    left, right = side == 0, (side == 0) if inside else side == 1
+    if not left.any() or not right.any():
+        return
+    order = np.lexsort((case[right], v[right]))
+    r_case, r_v = case[right][order], v[right][order]
+    order = np.argsort(case[left], kind="stable")
+    a, av, s, kind, weight = (x[left][order] for x in (case, v, s, kind, weight))
+    names, local = np.unique(r_case, return_inverse=True)
+    start, stop = np.searchsorted(r_v, av, "left"), np.searchsorted(r_v, av, "right")
+    if inside:  # of a block with itself only the later cases
+        start = np.array([i + np.searchsorted(r_case[i:j], x, "right") for i, j, x in zip(start.tolist(), stop.tolist(), a.tolist(), strict=True)], np.int64)
+    much = stop - start
+    ends = np.cumsum(much)
+    last = np.flatnonzero(np.r_[a[1:] != a[:-1], True]) + 1  # where a case's rows end
+    lo = 0
+    while lo < len(a):
+        before = ends[lo - 1] if lo else 0
+        hi = int(last[min(max(np.searchsorted(ends[last - 1], before + SLICE, "right"), np.searchsorted(last, lo, "right") + 1), len(last)) - 1])
+        n = much[lo:hi]
+        rows = np.repeat(np.arange(lo, hi), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[lo:hi], n)
+        pair = np.unique(a[lo:hi], return_inverse=True)
+        code = (pair[1][rows - lo].astype(np.int64) * len(names) + local[place]) << 20 | kind[rows].astype(np.int64) << 14 | (16383 - s[rows])
+        code.sort()  # by pair and kind, the most specific value first
+        group = code >> 14
+        fresh = np.r_[True, group[1:] != group[:-1]] if len(code) else np.zeros(0, bool)
+        rank = np.arange(len(code)) - np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0)) if len(code) else code
+        code = code[rank < K.FACTOR_CAP]
+        if len(code):
+            of = code >> 20
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            heavy = np.zeros(64, np.int64)
+            heavy[kind] = weight
+            part = (16383 - (code & 16383)) * heavy[code >> 14 & 63]
+            x, y = pair[0][of[first] // len(names)], names[of[first] % len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.diff(np.r_[first, len(code)])), pa.array(np.add.reduceat(part, first))], names=["a", "b", "matches", "raw"])
+        lo = hi
+
+
+def cross_case_links(occ: DataFrame, spec: DataFrame, block: int = 512) -> DataFrame:
+    """Case pairs that share values: confidence from the unrounded sum of, for each type, the (at most 3) most specific
+    shared values; links without a relationship go.
+
+    Cases are dealt into blocks of about ``block`` by hash, and a value's row goes once to each pair of its case's block
+    with a block that holds the value too. So a pair of cases is whole in the cell of its two blocks: no pair is shuffled,
+    none is aggregated twice, and a value that many cases share costs its rows times its blocks, not its pairs. Values of
+    one item are left out first.
     """
-    kinds = F.when(F.lit(False), 0)
-    for i, kind in enumerate(K.LINK_WEIGHTS):
-        kinds = kinds.when(F.col("entity_type") == kind, i)
-    weight = {i: w for i, w in enumerate(K.LINK_WEIGHTS.values())}
-    numbered = durable(spec.where("df > 1").select("entity_type", "value", F.round(F.col("specificity") * 10000).cast("long").alias("s"), kinds.alias("kind"),
-                                                   F.monotonically_increasing_id().alias("v")), "cross-values")
-    rows = occ.select("case_id", "entity_type", "value").distinct().join(numbered, ["entity_type", "value"]).select("case_id", "v", "s", "kind")
-    sized = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("v")) / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("case_id"), F.col("blocks")).cast("int"))
-    cells = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "v", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "case_id", "s", "kind")
-    left, right = cells.withColumnsRenamed({"case_id": "a", "mine": "x"}), cells.select("v", "low", "high", F.col("mine").alias("y"), F.col("case_id").alias("b"))
-    shared = left.join(right, ["v", "low", "high"]).where("a < b and (low = high or x <> y)").select("a", "b", "kind", "s")
-    sums = shared.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
-    sums = durable(sums, "cross-sums")
-    many = sums.where(F.col("n") > K.FACTOR_CAP).select("a", "b", "kind")
-    w = Window.partitionBy("a", "b", "kind").orderBy(F.col("s").desc())
-    top = (shared.join(many, ["a", "b", "kind"], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K.FACTOR_CAP)
-           .groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("s").alias("total")))
-    factors = sums.where(F.col("n") <= K.FACTOR_CAP).unionByName(top)
-    # tenths of weights are whole: the sum is exact in any order
-    part = F.col("total") * F.round(lookup("kind", weight) * 100).cast("long")
-    links = factors.groupBy("a", "b").agg((F.sum(part) / 1e6).alias("raw"), F.sum("n").alias("matches"))
-    return (links.select("a", "b", "matches", confidence(F.col("raw")).alias("confidence")).withColumn("strength", band(F.col("confidence"), K.STRENGTH_BANDS))
-            .where("strength <> 'NO_RELATIONSHIP'"))
+    spark = occ.sparkSession
+    ship(spark)
+    kinds, weights = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, (kind, w) in enumerate(K.LINK_WEIGHTS.items()):
+        kinds, weights = F.when(F.col("entity_type") == kind, i).otherwise(kinds), F.when(F.col("entity_type") == kind, round(w * 100)).otherwise(weights)
+    numbered = spec.where("df > 1").select("entity_type", "value", F.round(F.col("specificity") * 10000).cast("long").alias("s"), kinds.alias("kind"), weights.alias("weight"))
+    number = occ.schema["case_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    cases = None if number else durable(occ.select("case_id").distinct().orderBy("case_id").withColumn("n", F.monotonically_increasing_id()), "cross-cases")
+    rows = occ.select("case_id", "entity_type", "value").distinct()
+    rows = rows.withColumn("n", F.col("case_id").cast("long")) if number else rows.join(cases, "case_id")
+    # values are told by 64 bits and their type
+    rows = durable(rows.join(numbered, ["entity_type", "value"]).select("n", F.xxhash64("entity_type", "value").alias("v"), "s", "kind", "weight"), "cross-rows")
+    blocks = max(1, -(-rows.agg(F.approx_count_distinct("n")).first()[0] // block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int"))
+    held = rows.select("v", F.col("own").alias("other")).distinct()
+    cells = rows.join(held, "v").select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "n", "v", "s", "kind", "weight")
+    pairs = cells.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(_linked, "a long, b long, matches long, raw long")
+    links = pairs.select("a", "b", "matches", confidence(F.col("raw") / 1e6).alias("confidence")).withColumn("strength", band(F.col("confidence"), K.STRENGTH_BANDS)).where("strength <> 'NO_RELATIONSHIP'")
+    if number:
+        kind = occ.schema["case_id"].dataType
+        return links.withColumns({"a": F.col("a").cast(kind), "b": F.col("b").cast(kind)})
+    for c in ("a", "b"):
+        links = links.join(cases.select(F.col("n").alias(c), F.col("case_id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return links.select("a", "b", "matches", "confidence", "strength")
 
 
 def propagate_links(links: DataFrame) -> DataFrame:
