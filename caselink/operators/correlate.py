@@ -191,7 +191,7 @@ def _cell(side, case, v, s, kind, weight, inside: bool) -> Iterator[pa.RecordBat
         lo = hi
 
 
-def cross_case_links(occ: DataFrame, spec: DataFrame, block: int = 512) -> DataFrame:
+def cross_case_links(occ: DataFrame, spec: DataFrame, block: int = 2048) -> DataFrame:
     """Case pairs that share values: confidence from the unrounded sum of, for each type, the (at most 3) most specific
     shared values; links without a relationship go.
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselink.session import ship
+
 
 def cut_points(text: str, most: int, overlap: int) -> list[str]:
     """Chunks of at most ``most`` characters, cut at the last line feed or space of a window's second half."""
@@ -59,11 +63,64 @@ def sync_chunks(existing: DataFrame, desired: DataFrame) -> DataFrame:
     return both.select("chunk_id", F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "update").otherwise("keep").alias("action"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Nearest vectors of each query within its scope: (query_id, scope, v) against (vec_id, scope, v), by L2 distance;
-    score 1 / (1 + distance). Queries meet the vectors of their scope only."""
-    square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    met = vectors.join(queries.select("query_id", "scope", F.col("v").alias("q")), "scope").select("query_id", "vec_id", F.sqrt(square).alias("distance"))
+def _nearest(k: int):
+    """From rows (scope, dim, block, kind, id, v), sorted so that a block's vectors come before its queries: each query's k
+    nearest vectors of the block. Products pick who can be among them, plain differences decide."""
+
+    def answers(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray):
+        square, own = (rows * rows).sum(1), (queries * queries).sum(1)
+        rough = own[:, None] + square - 2 * (queries @ rows.T)
+        slack = 1e-9 * (own + square.max())
+        cut = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
+        out = []
+        for q, x, near, most in zip(asked.tolist(), queries, rough, cut, strict=True):
+            at = np.flatnonzero(near <= most)
+            exact = np.sqrt(((rows[at] - x) ** 2).sum(1))
+            out += [(q, int(ids[at[j]]), float(exact[j])) for j in np.lexsort((ids[at], exact))[:k]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            marks = list(zip(*columns, strict=True))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                *here, kind = marks[lo]
+                if here != key:
+                    key, held, block = here, [], None
+                ids, flat = batch.column(4).slice(lo, hi - lo).to_numpy(), batch.column(5).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+                rows = flat.reshape(hi - lo, here[1])
+                if kind == 0:
+                    held.append((ids, rows))
+                elif held:
+                    block = block or tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    for i in range(0, hi - lo, 256):
+                        yield answers(*block, ids[i : i + 256], rows[i : i + 256])
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+    """Nearest vectors of each query within its scope: (query_id, scope, v) against (vec_id, scope, v), by L2 distance, ties
+    to the smaller vec_id; score 1 / (1 + distance). Ids are whole numbers; null vectors and scopes take no part, nor do
+    vectors of another length than the query.
+
+    The vectors of a scope are dealt into blocks of about ``block``, and a query goes once to each block of its scope; a
+    block answers its queries by matrix products and returns k rows for each, so that no pair leaves a task.
+    """
+    ship(vectors.sparkSession)
+    usable = F.col("v").isNotNull() & F.col("scope").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
+    own = vectors.where(usable).select(F.col("vec_id").cast("long").alias("id"), "scope", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+    blocks = own.groupBy("scope", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # a scope and length is one of few: its number of blocks meets the rows by a join on it
+    base = own.join(blocks, ["scope", "dim"]).select("scope", "dim", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    asked = queries.where(usable).select(F.col("query_id").cast("long").alias("id"), "scope", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+    asked = asked.join(blocks, ["scope", "dim"]).select("scope", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    both = base.unionByName(asked).repartition("scope", "dim", "block").sortWithinPartitions("scope", "dim", "block", "kind")
+    met = both.mapInArrow(_nearest(k), "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"), F.round(1 / (1 + F.col("distance")), 6).alias("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselink.functions import web as W
@@ -365,8 +365,34 @@ def classify_ioc(value: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def encode_urls(df: DataFrame, max_len: int = 64, alphabet: str = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%") -> DataFrame:
-    """Character numbers of a URL, 1 on, 0 for padding, unknown ones one beyond the alphabet; cut and padded to max_len."""
-    chars = F.slice(F.filter(F.split(F.lower("url"), ""), lambda c: c != ""), 1, max_len)
-    ids = F.transform(chars, lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c)).otherwise(len(alphabet) + 1))
+#: Characters by number, from 2 on; 0 fills up and 1 is any other character.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-/:?=&#%+_~@!$'()*,;[]{}|\\^`<>\""
+
+
+def encode_urls(df: DataFrame, max_len: int = 256, alphabet: str = LETTERS) -> DataFrame:
+    """``df`` with ``char_ids``: character numbers of the URL without space around it, cut and filled up to ``max_len``."""
+    chars = F.slice(F.filter(F.split(F.trim("url"), ""), lambda c: c != ""), 1, max_len)
+    ids = F.transform(chars, lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c) + 1).otherwise(1))
     return df.withColumn("char_ids", F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(max_len) - F.size(ids), F.lit(0)))))
+
+
+def subwords(url: Column) -> Column:
+    """The parts of a URL between its separators, and the separators."""
+    return F.regexp_extract_all(url, F.lit(r"://|[/?&=#._@:-]|[^/?&=#._@:-]+"), F.lit(0))
+
+
+def subword_vocabulary(df: DataFrame, size: int = 30_000) -> DataFrame:
+    """(token, id, n): the ``size`` most frequent parts of all URLs, numbered from 2 on; 0 fills up and 1 is any other."""
+    n = df.select(F.explode(subwords(F.col("url"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    top = n.orderBy(F.col("n").desc(), "token").limit(size)
+    return top.withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) + 1).select("token", "id", "n")
+
+
+def encode_subwords(df: DataFrame, vocabulary: DataFrame, max_len: int = 256) -> DataFrame:
+    """``df`` with ``token_ids``: numbers of the URL's parts by the vocabulary, cut and filled up to ``max_len``. Different
+    URLs are encoded once; their parts meet the vocabulary by equality."""
+    own = df.select("url").distinct()
+    each = own.select("url", F.posexplode(F.slice(subwords(F.col("url")), 1, max_len)).alias("place", "token")).join(vocabulary.select("token", "id"), "token", "left")
+    ids = each.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("id", F.lit(1)).alias("id")))).alias("held")).select("url", F.transform("held", lambda x: x.id).alias("held"))
+    got = F.coalesce("held", F.array().cast("array<int>"))
+    return df.join(ids, "url", "left").select(*df.columns, F.concat(got, F.array_repeat(F.lit(0), F.greatest(F.lit(max_len) - F.size(got), F.lit(0)))).alias("token_ids"))

@@ -141,6 +141,15 @@ def c15_encode_urls(spark, d):
     return op.encode_urls(_urls(spark, d)).select("page_id", F.array_join(F.transform("char_ids", lambda x: x.cast("string")), ",").alias("char_ids"))
 
 
+def c15_subword_vocabulary(spark, d):
+    return op.subword_vocabulary(_urls(spark, d), 300)
+
+
+def c15_encode_subwords(spark, d):
+    u = _urls(spark, d)
+    return op.encode_subwords(u, op.subword_vocabulary(u, 300), 24).select("page_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",").alias("token_ids"))
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] in "dc" and k[1].isdigit()} | {f"d{i}_features_{n}": _family(n) for i, n in ((4, "length"), (5, "character"), (6, "entropy"), (7, "structural"), (8, "lexical"), (10, "security"), (11, "tld"))}
 
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -260,7 +269,16 @@ z AS (SELECT v.page_id, v.url, v.owner AS official_brand, round(least(1.0, coale
 SELECT page_id, url, official_brand, coalesce((SELECT string_agg(brand, ',' ORDER BY brand) FROM (SELECT brand FROM spoken WHERE spoken.page_id = z.page_id UNION SELECT brand FROM conflict JOIN mode USING (page_id) WHERE conflict.page_id = z.page_id AND mode = 'home' UNION SELECT official_brand WHERE official_brand IS NOT NULL)), '') AS brands,
   brand_score, CASE WHEN brand_score >= 0.6 THEN 'high' WHEN brand_score >= 0.3 THEN 'medium' WHEN brand_score > 0 THEN 'low' ELSE 'none' END AS brand_level FROM z"""
 
-ORACLES = {
+VOCAB = r"""tok AS (SELECT page_id, regexp_extract_all(url, '://|[/?&=#._@:-]|[^/?&=#._@:-]+') AS t FROM pages), cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tok) GROUP BY token),
+voc AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 1)::INTEGER AS id, n FROM cnt QUALIFY id <= 301)"""
+_letters = op.LETTERS.replace("'", "''")
+C15 = {
+    "c15_encode_urls": f"WITH c AS (SELECT page_id, string_split(trim(url), '')[1:256] AS c FROM pages) SELECT page_id, array_to_string(list_transform(list_resize(list_transform(c, lambda x: CASE WHEN instr('{_letters}', x) > 0 THEN instr('{_letters}', x) + 1 ELSE 1 END), 256, 0), lambda x: x::VARCHAR), ',') AS char_ids FROM c",
+    "c15_subword_vocabulary": f"WITH {VOCAB} SELECT * FROM voc",
+    "c15_encode_subwords": f"WITH {VOCAB}, e AS (SELECT page_id, unnest(t[1:24]) AS token, generate_subscripts(t[1:24], 1) AS place FROM tok) SELECT page_id, array_to_string(list_transform(list_resize(list(coalesce(id, 1) ORDER BY place), 24, 0), lambda x: x::VARCHAR), ',') AS token_ids FROM e LEFT JOIN voc USING (token) GROUP BY page_id",
+}
+
+ORACLES = C15 | {
     "d6_features_entropy": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["entropy"].items()) + " FROM q",
     "d9_features_brand": f"WITH {PARTS}, {BRANDED} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["brand"].items()) + """, brand AS brand_detected, official AS official_domain_match, closest AS closest_brand,
   CASE WHEN official THEN 'domain' ELSE coalesce(held[1], 'none') END AS brand_location, CASE WHEN brand IS NULL OR official THEN 0 ELSE alike END::DOUBLE AS brand_similarity FROM b2""",

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caselink.operators import correlate, curate, entities, graph, metrics, timeline, urls
+from caselink.operators import correlate, curate, entities, graph, metrics, retrieve, timeline, urls
 from caselink.operators.components import component_roots
 from caselink.operators.retrieve import cut_points
 from caselink.sources import files
@@ -165,6 +165,40 @@ def test_lists_by_their_names(spark, tmp_path):
     assert sniff_layout(spark, str(tmp_path / "none.txt")) == {"kind": "lines", "sep": ""}
 
 
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(i, i % 3 if i % 50 else None, r.integers(0, 4, 4).astype(float).tolist()) for i in range(400)] + [(900, 0, None), (901, 1, [1.0, None, 2.0, 3.0]), (902, 2, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, scope int, v array<double>").repartition(4)
+    queries = vectors.where("vec_id % 7 = 0 or vec_id > 899").withColumnRenamed("vec_id", "query_id")
+    want = {}
+    ok = [(i, s, np.array(v)) for i, s, v in rows if s is not None and v and None not in v]
+    for q, s, x in ok:
+        if q % 7 == 0 or q > 899:
+            near = sorted((round(float(np.sqrt(((x - v) ** 2).sum())), 6), i) for i, t, v in ok if t == s and len(v) == len(x))[:5]
+            want[q] = near
+    for block in (10_000, 30):
+        got = {}
+        for g in retrieve.knn(queries, vectors, 5, block).orderBy("rank").collect():
+            got.setdefault(g.query_id, []).append((g.distance, g.vec_id))
+        assert got == want
+    assert retrieve.knn(queries.limit(0), vectors).count() == 0 == retrieve.knn(queries, vectors.limit(0)).count()
+
+
+def test_subwords(spark):
+    from caselink.operators import urls
+
+    df = spark.createDataFrame([(1, "https://a.b/c?x=1&y=2"), (2, "https://a.b/c"), (3, None), (4, ""), (5, "é")], "n int, url string")
+    assert spark.createDataFrame([("http://a.b-c/d_e?f=g#h@i:j",)], "url string").select(urls.subwords(F.col("url")).alias("t")).first().t == ["http", "://", "a", ".", "b", "-", "c", "/", "d", "_", "e", "?", "f", "=", "g", "#", "h", "@", "i", ":", "j"]
+    vocabulary = urls.subword_vocabulary(df, 5)
+    assert {r.token: (r.id, r.n) for r in vocabulary.collect()} == {".": (2, 2), "/": (3, 2), "://": (4, 2), "=": (5, 2), "a": (6, 2)}
+    got = {r.n: r.token_ids for r in urls.encode_subwords(df, vocabulary, 8).collect()}
+    assert got == {1: [1, 4, 6, 2, 1, 3, 1, 1], 2: [1, 4, 6, 2, 1, 3, 1, 0], 3: [0] * 8, 4: [0] * 8, 5: [1] + [0] * 7}
+    chars = urls.encode_urls(spark.createDataFrame([(" aZ0é",)], "url string"), 6).first().char_ids
+    assert chars == [2, 53, 54, 1, 0, 0]
+
+
 def test_money_forms_are_one(spark):
     forms = ["Rs 2,000", "rs2000", "2000 NPR", "Rs. 2000.00", "2000 rupees"]
     assert {r.m for r in spark.createDataFrame([(f,) for f in forms], "v string").select(entities.normalize_money(F.col("v")).alias("m")).collect()} == {"NPR 2000"}
