@@ -12,6 +12,10 @@ OFFICIAL_DOMAINS = {
 NOT_IMPERSONATED = ("gmail", "google")
 #: Endings with a high abuse rate, link shorteners, wording.
 RISKY_TLDS = ("xyz", "top", "click", "link", "live", "vip", "online", "shop", "site", "icu", "cf", "tk", "ga", "gq", "ml", "buzz", "rest", "fit", "cam", "quest", "work", "surf", "monster", "cyou", "sbs", "lol", "bond")
+#: Endings that the threat score takes for risky.
+SUSPICIOUS_TLDS = ("xyz", "top", "club", "online", "site", "website", "space", "fun", "icu", "buzz", "cf", "gq", "ml", "ga", "tk", "work", "click", "link", "info", "biz", "pw", "cc", "loan",
+                   "racing", "win", "bid", "stream", "download", "review", "accountant", "cricket", "science", "party", "date", "faith", "trade", "men", "gdn", "kim", "wang", "rest", "surf", "bar",
+                   "cam", "monster", "hair", "sbs", "cfd", "quest", "boats", "beauty", "makeup", "onl")
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "cutt.ly", "is.gd", "rb.gy", "rebrand.ly", "shorturl.at", "ow.ly", "buff.ly", "tiny.cc", "bitly.com")
 LURE_WORDS = ("verify", "verification", "kyc", "login", "signin", "secure", "security", "update", "confirm", "unlock", "suspend", "reactivate", "recover", "wallet", "otp", "password", "account", "billing", "refund")
 REWARD_WORDS = ("cashback", "reward", "bonus", "prize", "lucky", "winner", "gift", "offer", "claim", "free", "lottery", "draw", "jackpot", "dashain", "tihar")

@@ -167,6 +167,40 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return events.select("job", "event_id", "stage", F.when(ends.isNotNull(), F.greatest(F.lit(0), F.floor((ends - F.unix_micros("ts")) / 1000))).alias("elapsed_ms"))
 
 
+#: What evidences payments and credentials, and how losing access is told.
+PAYMENT_TYPES = ("wallets", "esewa_ids", "khalti_ids", "imepay_ids", "bank_accounts", "card_numbers", "transaction_ids", "eth_wallets", "btc_wallets")
+CREDENTIAL_TYPES = ("otp",)
+CREDENTIAL_TEXT = ("otp", "password", "pin", "cvv", "login", "security code")
+LOCKOUT_TEXT = ("blocked me", "locked out", "cannot login", "can't login", "cannot access", "account deleted", "deleted my", "lost access")
+
+
+def case_rules(occ: DataFrame, texts: DataFrame, flagged: DataFrame, members: DataFrame, links: DataFrame, brands: DataFrame) -> DataFrame:
+    """(case_id, rule, items, first_item) of the ten case rules that fire; items are those a rule rests on, none where it
+    rests on other cases or other rules.
+
+    occ: case_id, item_id, entity_type. texts: case_id, item_id, text. flagged: case_id, n (bad indicators). members:
+    case_id, campaign, item_id. links: case_id, other_case. brands: case_id, item_id, brand, method. A payment identifier
+    and an amount, or a bad indicator and a web address, need only be in the same case. The last rule fires if any did.
+    """
+    says = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("text"), w))
+    of = lambda kinds: occ.where(F.col("entity_type").isin(*kinds)).select("case_id", "item_id")
+    only = lambda rows, cases: rows.join(cases.select("case_id").distinct(), "case_id", "left_semi")
+    sizes = members.groupBy("case_id", "campaign").agg(F.count_distinct("item_id").alias("size"))
+    largest = sizes.groupBy("case_id").agg(F.min(F.struct((-F.col("size")).alias("less"), "campaign")).alias("m")).where("m.less <= -2").select("case_id", F.col("m.campaign").alias("campaign"))
+    together = members.join(largest, ["case_id", "campaign"], "left_semi").select("case_id", "item_id")
+    named = brands.where(F.trim("brand") != "")
+    rules = {
+        "payment": only(of(PAYMENT_TYPES), of(("money",))), "publication": only(of(("urls", "domains")), flagged.where("n > 0")), "access": of(CREDENTIAL_TYPES).unionByName(texts.where(says(CREDENTIAL_TEXT)).select("case_id", "item_id")),
+        "damage": texts.where(says(LOCKOUT_TEXT)).select("case_id", "item_id"), "abetment": together, "accomplice": together, "cross_case": links.select("case_id", F.lit(None).cast(occ.schema["item_id"].dataType).alias("item_id")),
+        "trademark": named.select("case_id", "item_id"), "copyright": named.where(F.lower("method").contains("template")).select("case_id", "item_id")}
+    every = None
+    for rule, rows in rules.items():
+        part = rows.groupBy("case_id").agg(F.count_distinct("item_id").alias("items"), F.min("item_id").alias("first_item")).select("case_id", F.lit(rule).alias("rule"), "items", "first_item")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("case_id").agg(F.collect_list(F.struct("rule", "items", "first_item")).alias("r")).select(
+        "case_id", F.explode(F.concat("r", F.array(F.struct(F.lit("confiscation").alias("rule"), F.lit(0).cast("long").alias("items"), F.lit(None).cast(occ.schema["item_id"].dataType).alias("first_item"))))).alias("x")).select("case_id", "x.*")
+
+
 def rule_matches(facts: DataFrame) -> DataFrame:
     """Case-level rules over an item table with flags: one row a rule and case it fires in, with its items.
 

@@ -322,6 +322,78 @@ def threat_score(df: DataFrame) -> DataFrame:
     return df.select("url", F.round(intel, 4).alias("intel"), F.round(trust, 4).alias("trust"), score.alias("score")).withColumn("level", band(F.col("score"), {"safe": 20.0, "low": 40.0, "medium": 60.0, "high": 80.0, "critical": 101.0}))
 
 
+#: Weights of the intelligence signals and of the parts of the hybrid score; names that add trust or doubt.
+INTEL_WEIGHTS = {"domain_age": 0.10, "whois": 0.10, "virustotal": 0.15, "ssl": 0.08, "dns": 0.07, "tld_risk": 0.05, "brand_similarity": 0.10}
+HYBRID_WEIGHTS = {"ml": 0.35, "rule": 0.30, "intel": 0.20, "distrust": 0.15}
+TRUSTED_NETWORKS = ("google", "amazon", "microsoft", "cloudflare", "facebook", "fastly", "akamai")
+TRUSTED_REGISTRARS = ("godaddy", "namecheap", "gandi", "markmonitor", "network solutions", "google")
+PRIVATE_REGISTRARS = ("privacy", "redacted", "proxy", "whoisguard", "protected")
+PLAIN_TLDS = ("com", "org", "net", "edu", "gov", "mil", "int")
+HYBRID_LEVELS = {"Critical": 80, "High": 60, "Medium": 40, "Low": 20}
+#: What ``hybrid_threat_score`` looks at beside url, ml and rule, with the type of each; a column that isn't there is null.
+SIGNALS = {
+    "domain": "string", "tld": "string", "official": "boolean", "brand_detected": "string", "is_typosquatting": "int", "url_entropy": "double", "domain_entropy": "double", "is_suspicious_tld": "int",
+    "is_url_shortener": "int", "subdomain_count": "int", "age_days": "int", "whois_success": "boolean", "whois_registrar": "string", "whois_country": "string", "whois_dnssec": "string", "vt_success": "boolean",
+    "vt_positives": "int", "vt_total": "int", "ssl_success": "boolean", "ssl_has": "boolean", "ssl_status": "string", "ssl_expired": "boolean", "ssl_self_signed": "boolean", "ssl_days_left": "int", "ssl_hsts": "boolean",
+    "dns_success": "boolean", "dns_spf": "boolean", "dns_dmarc": "boolean", "dns_records": "int", "asn_org": "string",
+}
+
+
+def intel_scores(df: DataFrame, brands: tuple[str, ...], risky: tuple[str, ...]) -> dict[str, Column]:
+    """The risk, 0 to 1, of each intelligence signal; without an answer most are in the middle."""
+    c, yes = F.col, lambda n: F.coalesce(F.col(n), F.lit(False))
+    some = lambda n, words: reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(n, F.lit(""))), F.lit(w)) for w in words))
+    points = lambda tests: reduce(lambda a, b: a + b, (F.when(t, x).otherwise(0.0) for t, x in tests))
+    age = F.when(c("age_days").isNull(), 0.5).when(c("age_days") <= 7, 1.0).when(c("age_days") <= 30, 0.85).when(c("age_days") <= 90, 0.6).when(c("age_days") <= 180, 0.4).when(c("age_days") <= 365, 0.2).otherwise(0.0)
+    blank = lambda n: F.coalesce(c(n), F.lit("")) == ""
+    whois = points([(blank("whois_registrar"), 1.0), (blank("whois_country"), 0.6), (some(c("whois_dnssec"), ("unsigned",)), 0.3), (some(c("whois_registrar"), PRIVATE_REGISTRARS), 0.5)]) / 4
+    positives, total = F.coalesce(c("vt_positives"), F.lit(0)), F.coalesce(c("vt_total"), F.lit(1))
+    ratio = positives / total
+    vt = F.when(~yes("vt_success") | (total <= 0), 0.0).when(ratio >= 0.3, 1.0).when(ratio >= 0.15, 0.85).when(ratio >= 0.05, 0.6).when(positives >= 1, 0.35).otherwise(0.0)
+    days = F.when(c("ssl_days_left") < 0, 1.0).when(c("ssl_days_left") <= 7, 0.7).when(c("ssl_days_left") <= 30, 0.4).otherwise(0.0)
+    certificate = (points([(yes("ssl_expired"), 1.0), (yes("ssl_self_signed"), 0.9)]) + days) / 3
+    ssl = F.when(~yes("ssl_success") | (F.coalesce(c("ssl_status"), F.lit("")) == "UNKNOWN"), 0.5).when(~yes("ssl_has"), 1.0).otherwise(F.least(F.lit(1.0), certificate))
+    records = F.coalesce(c("dns_records"), F.lit(0))
+    dns = (points([(~yes("dns_spf"), 0.7), (~yes("dns_dmarc"), 0.6)]) + F.when(records == 0, 1.0).when(records <= 2, 0.5).otherwise(0.0)) / 3
+    name, url = F.lower(F.coalesce(c("domain"), F.lit(""))), F.lower("url")
+    own = lambda b: name.isin(f"{b}.com", f"{b}.net", f"{b}.org", f"www.{b}.com")
+    inside = reduce(lambda a, b: a + b, ((F.contains(name, F.lit(b)) & ~own(b)).cast("int") for b in brands))
+    beside = reduce(lambda a, b: a + b, ((F.contains(url, F.lit(b)) & ~F.contains(name, F.lit(b))).cast("int") for b in brands))
+    matched = F.when(inside > 0, inside).otherwise(beside)
+    brand = F.when(name == "", 0.0).when(matched >= 2, 1.0).when(matched == 1, 0.8).otherwise(0.0)
+    tld = F.regexp_replace(F.lower(F.coalesce(c("tld"), F.lit(""))), r"^\.+", "")
+    ending = F.when(tld == "", 0.3).when(tld.isin(*risky), 1.0).when(tld.isin(*PLAIN_TLDS), 0.0).when(F.length(tld) == 2, 0.2).otherwise(0.3)
+    return {"domain_age": age, "whois": F.when(~yes("whois_success"), 0.5).otherwise(F.least(F.lit(1.0), whois)), "virustotal": vt, "ssl": ssl, "dns": F.when(~yes("dns_success"), 0.5).otherwise(F.least(F.lit(1.0), dns)), "tld_risk": ending, "brand_similarity": brand}
+
+
+def trust_score(df: DataFrame) -> Column:
+    """What speaks for and against a domain, from 50, within 0 and 100."""
+    c, yes = F.col, lambda n: F.coalesce(F.col(n), F.lit(False))
+    some = lambda n, words: reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c(n), F.lit(""))), F.lit(w)) for w in words))
+    signed = (F.coalesce(c("whois_dnssec"), F.lit("")) != "") & ~some("whois_dnssec", ("unsigned",))
+    tests = [
+        (yes("official"), 30), (c("ssl_status") == "VALID", 15), (yes("dns_spf"), 10), (yes("dns_dmarc"), 10), (signed, 10), (yes("ssl_hsts"), 5), (c("age_days") > 1825, 15), (c("age_days").between(366, 1825), 10),
+        (some("asn_org", TRUSTED_NETWORKS), 5), (some("whois_registrar", TRUSTED_REGISTRARS), 5), (yes("vt_success") & (F.coalesce(c("vt_positives"), F.lit(0)) == 0), 10), (c("brand_detected").isNotNull() & ~yes("official"), -35),
+        (c("is_typosquatting") == 1, -30), ((F.coalesce(c("url_entropy"), F.lit(0.0)) > 4.5) | (F.coalesce(c("domain_entropy"), F.lit(0.0)) > 4.0), -15), (c("age_days") < 90, -25), (c("is_suspicious_tld") == 1, -15),
+        (c("is_url_shortener") == 1, -15), (c("subdomain_count") >= 3, -10)]
+    return F.greatest(F.lit(0), F.least(F.lit(100), reduce(lambda a, b: a + b, (F.when(t, x).otherwise(0) for t, x in tests)) + 50))
+
+
+def hybrid_threat_score(df: DataFrame, brands: tuple[str, ...] = tuple(W.OFFICIAL_DOMAINS), risky: tuple[str, ...] = W.SUSPICIOUS_TLDS) -> DataFrame:
+    """``df`` with intel, trust, risk_score (0 to 100, at most 20 on an official domain) and risk_level, from url, ml, rule
+    and what it has of ``SIGNALS``."""
+    full = df.withColumns({n: F.lit(None).cast(t) for n, t in SIGNALS.items() if n not in df.columns})
+    parts = intel_scores(full, brands, risky)
+    intel = reduce(lambda a, b: a + b, (v * INTEL_WEIGHTS[k] for k, v in parts.items())) / round(sum(INTEL_WEIGHTS.values()), 10)
+    out = full.withColumns({"intel": F.round(intel, 6), "trust": trust_score(full)})
+    w = HYBRID_WEIGHTS
+    whole = F.round((F.col("ml") * w["ml"] + F.col("rule") * w["rule"] + F.col("intel") * w["intel"] + (1 - F.col("trust") / 100) * w["distrust"]) * 100, 6)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(whole).cast("int")))
+    score = F.when(F.coalesce("official", F.lit(False)), F.least(score, F.lit(20))).otherwise(score)
+    level = reduce(lambda x, kv: x.when(score >= kv[1], kv[0]), HYBRID_LEVELS.items(), F).otherwise("Safe")
+    return out.withColumns({"risk_score": score, "risk_level": level}).select(*df.columns, "intel", "trust", "risk_score", "risk_level")
+
+
 def weighted_vote(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of the 0-100 signals that aren't null, the decision, and its distance from the boundary."""
     out = df.withColumn("vote", F.round(weighted_mean({k: (F.col(k), w) for k, w in weights.items()}), 4))
@@ -329,13 +401,24 @@ def weighted_vote(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def reputation(df: DataFrame) -> DataFrame:
-    """From (url, exact, risk_points, points): reputation 0-100 and level; unknown without any source."""
-    known = F.col("exact").isNotNull() | F.col("risk_points").isNotNull() | F.col("points").isNotNull()
+    """From (url, exact, risk_points, points) and, where it is there, ``adjustment``: reputation 0-100 and level; unknown
+    without any source. ``intel_adjustment`` gives the adjustment."""
+    adjustment = F.col("adjustment") if "adjustment" in df.columns else F.lit(None).cast("int")
+    known = F.col("exact").isNotNull() | F.col("risk_points").isNotNull() | F.col("points").isNotNull() | adjustment.isNotNull()
     z = lambda c: F.coalesce(c, F.lit(0))
-    score = F.greatest(F.lit(0), 100 - F.least(F.lit(70), 45 * z("exact")) - F.least(F.lit(60), z("risk_points")) - F.least(F.lit(35), z("points")))
+    score = 100 - F.least(F.lit(70), 45 * z("exact")) - F.least(F.lit(60), z("risk_points")) - F.least(F.lit(35), z("points")) + z(adjustment)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), score))
     return df.withColumn("reputation", F.when(known, score)).withColumn("level", F.when(~known, "unknown").when(F.col("reputation") >= 85, "trusted").when(F.col("reputation") >= 60, "neutral").when(F.col("reputation") >= 35, "suspicious").otherwise("hostile"))
 
 
+def intel_adjustment(intel: Column) -> Column:
+    """Points that network intelligence, written out as text, adds to a reputation: 5 for an age told in years or as old, 3
+    for SPF, 3 for DMARC, 4 for a valid certificate, 15 at most; null without intelligence."""
+    flat = F.lower(intel)
+    tests = [(flat.contains("age") & (flat.contains("year") | flat.contains("old")), 5), (flat.contains("spf"), 3), (flat.contains("dmarc"), 3), (flat.contains("valid") & flat.contains("ssl"), 4)]
+    return F.when(F.coalesce(intel, F.lit("")) != "", F.least(F.lit(15), reduce(lambda a, b: a + b, (F.when(t, x).otherwise(0) for t, x in tests))))
+
+
 def indicator_rows(df: DataFrame) -> DataFrame:
     """One row an indicator of a reputation row, with severity rank and confidence."""
     make = lambda t, name, rank, conf: F.when(t, F.struct(F.lit(name).alias("indicator"), F.lit(rank).alias("severity_rank"), F.lit(conf).alias("confidence")))

@@ -161,6 +161,16 @@ def j12_rule_matches(spark, d):
     return op.rule_matches(facts)
 
 
+def j12_case_rules(spark, d):
+    """Customers as cases, orders as items; entity types, texts, campaigns, links and brands from the columns."""
+    r = _lines(spark, d).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"case_id": F.col("o_custkey"), "item_id": F.col("l_orderkey")})
+    kind = F.when(F.col("l_partkey") % 40 == 0, "esewa_ids").when(F.col("l_partkey") % 40 == 1, "money").when(F.col("l_partkey") % 40 == 2, "urls").when(F.col("l_partkey") % 90 == 3, "otp").otherwise("names")
+    text = F.when(F.col("l_suppkey") % 70 == 0, "They BLOCKED me").when(F.col("l_suppkey") % 70 == 1, "give the Security Code").otherwise("hello")
+    return op.case_rules(r.select("case_id", "item_id", kind.alias("entity_type")), r.select("case_id", "item_id", text.alias("text")), r.where("l_discount = 0.1").groupBy("case_id").agg(F.count_if(F.col("l_quantity") > 48).alias("n")),
+                         r.where("l_tax = 0.08 and l_quantity > 40").select("case_id", F.col("l_returnflag").alias("campaign"), "item_id"), r.where("l_quantity = 7 and l_discount = 0").select("case_id", F.col("l_suppkey").alias("other_case")),
+                         r.where("l_quantity = 33").select("case_id", "item_id", F.when(F.col("l_linenumber") > 1, "eSewa").otherwise(" ").alias("brand"), F.when(F.col("l_linenumber") % 2 == 0, "Template match").otherwise("text").alias("method")))
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] in "abj" and k[1].isdigit()}
 
 LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -233,6 +243,15 @@ FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
     "j11_stage_durations": """
 SELECT user_id AS job, event_id, event_type AS stage, greatest(0, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) // 1000)
   * CASE WHEN lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN NULL ELSE 1 END AS elapsed_ms FROM events""",
+    "j12_case_rules": f"""
+WITH r AS (SELECT o_custkey AS case_id, l_orderkey AS item_id, * FROM {LINES}),
+o AS (SELECT case_id, item_id, CASE WHEN l_partkey % 40 = 0 THEN 'esewa_ids' WHEN l_partkey % 40 = 1 THEN 'money' WHEN l_partkey % 40 = 2 THEN 'urls' WHEN l_partkey % 90 = 3 THEN 'otp' END AS k, l_suppkey % 70 AS t FROM r),
+m AS (SELECT case_id, l_returnflag AS c, item_id FROM r WHERE l_tax = 0.08 AND l_quantity > 40), z0 AS (SELECT case_id, c, count(DISTINCT item_id) AS n FROM m GROUP BY case_id, c), z AS (SELECT * FROM z0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, c) = 1),
+b AS (SELECT case_id, item_id, l_linenumber AS l FROM r WHERE l_quantity = 33 AND l_linenumber > 1), g AS (SELECT m.case_id, m.item_id FROM m JOIN z ON z.case_id = m.case_id AND z.c = m.c WHERE n >= 2),
+h AS (SELECT 'payment' AS rule, case_id, item_id FROM o WHERE k = 'esewa_ids' AND case_id IN (SELECT case_id FROM o WHERE k = 'money') UNION ALL SELECT 'publication', case_id, item_id FROM o WHERE k = 'urls' AND case_id IN (SELECT case_id FROM r WHERE l_discount = 0.1 AND l_quantity > 48)
+  UNION ALL SELECT 'access', case_id, item_id FROM o WHERE k = 'otp' OR t = 1 UNION ALL SELECT 'damage', case_id, item_id FROM o WHERE t = 0 UNION ALL SELECT 'abetment', * FROM g UNION ALL SELECT 'accomplice', * FROM g
+  UNION ALL SELECT 'cross_case', case_id, NULL FROM r WHERE l_quantity = 7 AND l_discount = 0 UNION ALL SELECT 'trademark', case_id, item_id FROM b UNION ALL SELECT 'copyright', case_id, item_id FROM b WHERE l % 2 = 0)
+SELECT case_id, rule, count(DISTINCT item_id) AS items, min(item_id) AS first_item FROM h GROUP BY ALL UNION ALL SELECT DISTINCT case_id, 'confiscation', 0, NULL FROM h""",
     "j12_rule_matches": f"""
 WITH f AS (SELECT o_custkey AS case_id, l_orderkey AS item_id, unnest(list_filter([CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'payment_fraud' END, CASE WHEN l_discount > 0.09 AND l_tax > 0.05 THEN 'flagged_address' END,
   CASE WHEN l_quantity < 2 THEN 'credential_harvest' END, CASE WHEN l_tax < 0.01 THEN 'lockout_pressure' END, CASE WHEN l_linenumber > 6 THEN 'brand_misuse' END, CASE WHEN l_quantity > 45 AND l_tax < 0.01 THEN 'money_request' END], lambda x: x IS NOT NULL)) AS rule FROM {LINES})

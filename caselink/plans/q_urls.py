@@ -106,6 +106,26 @@ def d20_threat_score(spark, d):
     return op.threat_score(_intel(spark, d))
 
 
+#: Signals of the given pages, made of their numbers; the same text in both dialects.
+MADE = {
+    "ml": "(page_id % 101) / 100.0", "rule": "(page_id % 37) / 40.0", "domain": "CASE page_id % 9 WHEN 0 THEN 'esewa.com' WHEN 1 THEN 'my-esewa-khalti.com' WHEN 2 THEN 'khalti-x.org' ELSE 'plain.net' END",
+    "tld": "CASE page_id % 6 WHEN 0 THEN '.xyz' WHEN 1 THEN 'com' WHEN 2 THEN 'np' WHEN 3 THEN 'shop' WHEN 4 THEN '' END", "official": "page_id % 13 = 0", "brand_detected": "CASE WHEN page_id % 4 = 0 THEN 'esewa' END",
+    "is_typosquatting": "CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END", "url_entropy": "CAST(3 + (page_id % 20) / 10.0 AS DOUBLE)", "domain_entropy": "CAST((page_id % 45) / 10.0 AS DOUBLE)", "is_suspicious_tld": "CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END",
+    "is_url_shortener": "CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END", "subdomain_count": "CAST(page_id % 5 AS INT)", "age_days": "CASE WHEN page_id % 5 > 0 THEN CAST(page_id * 7 % 2500 - 3 AS INT) END", "whois_success": "page_id % 3 > 0",
+    "whois_registrar": "CASE page_id % 8 WHEN 0 THEN 'GoDaddy LLC' WHEN 1 THEN 'Privacy Proxy' WHEN 2 THEN '' WHEN 3 THEN 'Gandi WhoisGuard' END", "whois_country": "CASE WHEN page_id % 2 = 0 THEN 'NP' END",
+    "whois_dnssec": "CASE page_id % 4 WHEN 0 THEN 'Unsigned' WHEN 1 THEN 'signedDelegation' END", "vt_success": "page_id % 5 < 4", "vt_positives": "CAST(page_id % 30 AS INT)", "vt_total": "CASE WHEN page_id % 17 > 0 THEN 70 ELSE 0 END",
+    "ssl_success": "page_id % 6 > 0", "ssl_has": "CASE WHEN page_id % 10 > 0 THEN page_id % 10 < 9 END", "ssl_status": "CASE page_id % 5 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'VALID' WHEN 2 THEN 'INVALID' END", "ssl_expired": "page_id % 8 = 1",
+    "ssl_self_signed": "page_id % 12 = 1", "ssl_days_left": "CASE WHEN page_id % 4 > 0 THEN CAST(page_id % 60 - 10 AS INT) END", "ssl_hsts": "page_id % 3 = 1", "dns_success": "page_id % 7 > 0", "dns_spf": "page_id % 2 = 1", "dns_dmarc": "page_id % 3 = 2",
+    "dns_records": "CAST(page_id % 6 AS INT)", "asn_org": "CASE WHEN page_id % 9 = 4 THEN 'CLOUDFLARENET' END",
+}
+TOLD = "CASE page_id % 6 WHEN 0 THEN 'age: 7 years, SPF ok, DMARC ok, SSL valid' WHEN 1 THEN 'spf' WHEN 2 THEN 'page is old' WHEN 3 THEN '' WHEN 4 THEN 'valid ssl dmarc' END"
+
+
+def d20_hybrid_threat_score(spark, d):
+    rows = _urls(spark, d).select("page_id", "url", *(F.expr(x).alias(n) for n, x in MADE.items()))
+    return op.hybrid_threat_score(rows.withColumns({c: F.col(c).cast("double") for c in ("ml", "rule")})).select("page_id", "intel", "trust", "risk_score", "risk_level")
+
+
 def d21_weighted_vote(spark, d):
     p = _urls(spark, d)
     signals = p.select("page_id", (F.col("page_id") % 100).cast("double").alias("a"), F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 70).cast("double")).alias("b"), F.when(F.col("page_id") % 5 == 0, 90.0).alias("c"))
@@ -123,6 +143,12 @@ def d22_reputation(spark, d):
     return _reputation(spark, d)
 
 
+def d22_reputation_with_intel(spark, d):
+    base = op.match_blocklist(_urls(spark, d), _urls(spark, d).where(F.col("url").contains("utm_source"))).select("page_id", "url", F.when(F.col("page_id") % 4 > 0, F.col("exact")).alias("exact"))
+    points = base.withColumns({"risk_points": F.when(F.col("page_id") % 4 > 1, F.col("page_id") % 80), "points": F.when(F.col("page_id") % 4 > 1, F.col("page_id") % 50)})
+    return op.reputation(points.withColumn("adjustment", op.intel_adjustment(F.expr(TOLD)))).select("page_id", "adjustment", "reputation", "level")
+
+
 def d23_indicator_rows(spark, d):
     return op.indicator_rows(_reputation(spark, d))
 
@@ -278,7 +304,33 @@ C15 = {
     "c15_encode_subwords": f"WITH {VOCAB}, e AS (SELECT page_id, unnest(t[1:24]) AS token, generate_subscripts(t[1:24], 1) AS place FROM tok) SELECT page_id, array_to_string(list_transform(list_resize(list(coalesce(id, 1) ORDER BY place), 24, 0), lambda x: x::VARCHAR), ',') AS token_ids FROM e LEFT JOIN voc USING (token) GROUP BY page_id",
 }
 
-ORACLES = C15 | {
+_b = list(W.OFFICIAL_DOMAINS)
+_own = lambda b: f"domain IN ('{b}.com', '{b}.net', '{b}.org', 'www.{b}.com')"
+_any = lambda c, ws: "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for w in ws) + ")"
+HYBRID_SQL = f"""WITH r AS (SELECT page_id, url, {', '.join(f'{x} AS {n}' for n, x in MADE.items())} FROM pages),
+b AS (SELECT *, {' + '.join(f"(contains(domain, '{b}') AND NOT {_own(b)})::INT" for b in _b)} AS inside, {' + '.join(f"(contains(lower(url), '{b}') AND NOT contains(domain, '{b}'))::INT" for b in _b)} AS beside, ltrim(lower(coalesce(tld, '')), '.') AS e FROM r),
+i AS (SELECT *, CASE WHEN age_days IS NULL THEN 0.5 WHEN age_days <= 7 THEN 1 WHEN age_days <= 30 THEN 0.85 WHEN age_days <= 90 THEN 0.6 WHEN age_days <= 180 THEN 0.4 WHEN age_days <= 365 THEN 0.2 ELSE 0 END::DOUBLE AS s_age,
+  CASE WHEN NOT whois_success THEN 0.5 ELSE (CASE WHEN coalesce(whois_registrar, '') = '' THEN 1 ELSE 0 END + CASE WHEN whois_country IS NULL THEN 0.6 ELSE 0 END + CASE WHEN {_any('whois_dnssec', ('unsigned',))} THEN 0.3 ELSE 0 END + CASE WHEN {_any('whois_registrar', op.PRIVATE_REGISTRARS)} THEN 0.5 ELSE 0 END)::DOUBLE / 4 END AS s_whois,
+  CASE WHEN NOT vt_success OR vt_total <= 0 THEN 0 WHEN vt_positives / vt_total >= 0.3 THEN 1 WHEN vt_positives / vt_total >= 0.15 THEN 0.85 WHEN vt_positives / vt_total >= 0.05 THEN 0.6 WHEN vt_positives >= 1 THEN 0.35 ELSE 0 END::DOUBLE AS s_vt,
+  CASE WHEN NOT ssl_success OR coalesce(ssl_status, '') = 'UNKNOWN' THEN 0.5 WHEN NOT coalesce(ssl_has, false) THEN 1 ELSE least(1, (CASE WHEN ssl_expired THEN 1 ELSE 0 END + CASE WHEN ssl_self_signed THEN 0.9 ELSE 0 END + CASE WHEN ssl_days_left < 0 THEN 1 WHEN ssl_days_left <= 7 THEN 0.7 WHEN ssl_days_left <= 30 THEN 0.4 ELSE 0 END)::DOUBLE / 3) END AS s_ssl,
+  CASE WHEN NOT dns_success THEN 0.5 ELSE (CASE WHEN dns_spf THEN 0 ELSE 0.7 END + CASE WHEN dns_dmarc THEN 0 ELSE 0.6 END + CASE WHEN dns_records = 0 THEN 1 WHEN dns_records <= 2 THEN 0.5 ELSE 0 END)::DOUBLE / 3 END AS s_dns,
+  CASE WHEN e = '' THEN 0.3 WHEN e IN {_in(W.SUSPICIOUS_TLDS)} THEN 1 WHEN e IN {_in(op.PLAIN_TLDS)} THEN 0 WHEN length(e) = 2 THEN 0.2 ELSE 0.3 END::DOUBLE AS s_tld,
+  CASE WHEN (CASE WHEN inside > 0 THEN inside ELSE beside END) >= 2 THEN 1 WHEN inside + beside > 0 AND (CASE WHEN inside > 0 THEN inside ELSE beside END) = 1 THEN 0.8 ELSE 0 END::DOUBLE AS s_brand,
+  greatest(0, least(100, 50 + CASE WHEN official THEN 30 ELSE 0 END + CASE WHEN ssl_status = 'VALID' THEN 15 ELSE 0 END + CASE WHEN dns_spf THEN 10 ELSE 0 END + CASE WHEN dns_dmarc THEN 10 ELSE 0 END + CASE WHEN whois_dnssec IS NOT NULL AND NOT {_any('whois_dnssec', ('unsigned',))} THEN 10 ELSE 0 END
+    + CASE WHEN ssl_hsts THEN 5 ELSE 0 END + CASE WHEN age_days > 1825 THEN 15 WHEN age_days > 365 THEN 10 ELSE 0 END + CASE WHEN {_any('asn_org', op.TRUSTED_NETWORKS)} THEN 5 ELSE 0 END + CASE WHEN {_any('whois_registrar', op.TRUSTED_REGISTRARS)} THEN 5 ELSE 0 END + CASE WHEN vt_success AND vt_positives = 0 THEN 10 ELSE 0 END
+    - CASE WHEN brand_detected IS NOT NULL AND NOT official THEN 35 ELSE 0 END - CASE WHEN is_typosquatting = 1 THEN 30 ELSE 0 END - CASE WHEN url_entropy > 4.5 OR domain_entropy > 4.0 THEN 15 ELSE 0 END - CASE WHEN age_days < 90 THEN 25 ELSE 0 END - CASE WHEN is_suspicious_tld = 1 THEN 15 ELSE 0 END
+    - CASE WHEN is_url_shortener = 1 THEN 15 ELSE 0 END - CASE WHEN subdomain_count >= 3 THEN 10 ELSE 0 END)) AS trust FROM b),
+w AS (SELECT *, round((s_age * 0.1::DOUBLE + s_whois * 0.1::DOUBLE + s_vt * 0.15::DOUBLE + s_ssl * 0.08::DOUBLE + s_dns * 0.07::DOUBLE + s_tld * 0.05::DOUBLE + s_brand * 0.1::DOUBLE) / 0.65::DOUBLE, 6) AS intel FROM i),
+z AS (SELECT *, round_even(round((ml::DOUBLE * 0.35::DOUBLE + rule::DOUBLE * 0.3::DOUBLE + intel * 0.2::DOUBLE + (1 - trust / 100.0::DOUBLE) * 0.15::DOUBLE) * 100, 6), 0)::INTEGER AS raw FROM w),
+y AS (SELECT *, CASE WHEN official THEN least(raw, 20) ELSE raw END AS risk_score FROM z)
+SELECT page_id, intel, trust, risk_score, CASE WHEN risk_score >= 80 THEN 'Critical' WHEN risk_score >= 60 THEN 'High' WHEN risk_score >= 40 THEN 'Medium' WHEN risk_score >= 20 THEN 'Low' ELSE 'Safe' END AS risk_level FROM y"""
+REPUTE_SQL = f"""WITH t AS (SELECT page_id, lower({TOLD}) AS f FROM pages), f AS (SELECT url FROM pages WHERE contains(url, 'utm_source')),
+a AS (SELECT page_id, CASE WHEN coalesce(f, '') <> '' THEN least(15, CASE WHEN contains(f, 'age') AND (contains(f, 'year') OR contains(f, 'old')) THEN 5 ELSE 0 END + CASE WHEN contains(f, 'spf') THEN 3 ELSE 0 END + CASE WHEN contains(f, 'dmarc') THEN 3 ELSE 0 END + CASE WHEN contains(f, 'valid') AND contains(f, 'ssl') THEN 4 ELSE 0 END) END AS adjustment FROM t),
+x AS (SELECT p.page_id, adjustment, CASE WHEN p.page_id % 4 > 0 THEN (SELECT count(*) FROM f WHERE f.url = p.url) END AS exact, CASE WHEN p.page_id % 4 > 1 THEN p.page_id % 80 END AS risk, CASE WHEN p.page_id % 4 > 1 THEN p.page_id % 50 END AS cloud FROM pages p JOIN a USING (page_id)),
+y AS (SELECT page_id, adjustment, CASE WHEN exact IS NOT NULL OR risk IS NOT NULL OR cloud IS NOT NULL OR adjustment IS NOT NULL THEN greatest(0, least(100, 100 - least(70, 45 * coalesce(exact, 0)) - least(60, coalesce(risk, 0)) - least(35, coalesce(cloud, 0)) + coalesce(adjustment, 0))) END AS reputation FROM x)
+SELECT *, CASE WHEN reputation IS NULL THEN 'unknown' WHEN reputation >= 85 THEN 'trusted' WHEN reputation >= 60 THEN 'neutral' WHEN reputation >= 35 THEN 'suspicious' ELSE 'hostile' END AS level FROM y"""
+
+ORACLES = C15 | {"d20_hybrid_threat_score": HYBRID_SQL, "d22_reputation_with_intel": REPUTE_SQL} | {
     "d6_features_entropy": f"WITH {PARTS} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["entropy"].items()) + " FROM q",
     "d9_features_brand": f"WITH {PARTS}, {BRANDED} SELECT page_id, url, " + ", ".join(f"{v} AS {k}" for k, v in SQL_FAMILIES["brand"].items()) + """, brand AS brand_detected, official AS official_domain_match, closest AS closest_brand,
   CASE WHEN official THEN 'domain' ELSE coalesce(held[1], 'none') END AS brand_location, CASE WHEN brand IS NULL OR official THEN 0 ELSE alike END::DOUBLE AS brand_similarity FROM b2""",
