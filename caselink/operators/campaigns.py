@@ -33,6 +33,16 @@ def campaigns(members: DataFrame, pairs: DataFrame, occ: DataFrame, signature: i
             .select("case_id", "campaign_no", "size", "start_time", "end_time", "confidence", "links", F.array_join(F.col("s.v"), ",").alias("signature")))
 
 
+def campaign_statistics(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Per case of ``items`` (case_id, item_id), from ``campaigns``: their number, the largest one's size, items in and out
+    of campaigns, and the mean confidence (0 without campaigns)."""
+    held = found.groupBy("case_id").agg(F.count("*").alias("campaigns"), F.max("size").alias("largest"), F.sum("size").alias("clustered"), F.avg("confidence").alias("mean"))
+    n = items.groupBy("case_id").agg(F.count_distinct("item_id").alias("items"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return n.join(held, "case_id", "left").select("case_id", z("campaigns").alias("campaigns"), z("largest").alias("largest"), z("clustered").alias("clustered"), (F.col("items") - z("clustered")).alias("unclustered"),
+                                                  F.round(F.coalesce("mean", F.lit(0.0)), 4).alias("mean_confidence"))
+
+
 def campaign_membership(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Per member: how many members it is linked with, and the best confidence."""
     ends = pairs.select("case_id", F.col("a").alias("item_id"), F.col("b").alias("other"), "confidence").union(pairs.select("case_id", "b", "a", "confidence"))

@@ -166,6 +166,19 @@ def missing_constraints(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return want.join(held, ["query_id", "value"], "left_anti")
 
 
+def citation_scores(expected: DataFrame, cited: DataFrame) -> DataFrame:
+    """(query_id, precision, recall, f1) of the distinct items that an answer cites against those it should: precision is 0
+    without a citation, recall 1 where none was expected."""
+    keys = ["query_id", "item_id"]
+    both = expected.select(*keys).distinct().withColumn("e", F.lit(1)).join(cited.select(*keys).distinct().withColumn("c", F.lit(1)), keys, "full")
+    # a query that only one side has, with no item there, is still a query
+    ids = both.where("item_id is not null").groupBy("query_id").agg(F.count_if(F.col("e").isNotNull() & F.col("c").isNotNull()).alias("tp"), F.count("e").alias("want"), F.count("c").alias("got"))
+    every = expected.select("query_id").union(cited.select("query_id")).distinct().join(ids, "query_id", "left").na.fill(0, ["tp", "want", "got"])
+    p, r = F.when(F.col("got") > 0, F.col("tp") / F.col("got")).otherwise(0.0), F.when(F.col("want") > 0, F.col("tp") / F.col("want")).otherwise(1.0)
+    return every.select("query_id", p.alias("p"), r.alias("r")).select("query_id", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"),
+                                                                      F.round(F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0), 6).alias("f1"))
+
+
 def retrieval_metrics(expected: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """Macro recall and precision at k, and mean reciprocal rank, over the queries with an expectation."""
     top = found.where(F.col("rank") <= k)

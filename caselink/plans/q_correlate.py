@@ -91,6 +91,11 @@ def g11_campaigns(spark, d):
     return C.campaigns(members, pairs, occ)
 
 
+def j7_campaign_statistics(spark, d):
+    occ, pairs, members = _campaign_pairs(spark, d)
+    return C.campaign_statistics(C.campaigns(members, pairs, occ), occ)
+
+
 def g12_campaign_membership(spark, d):
     _, pairs, members = _campaign_pairs(spark, d)
     return C.campaign_membership(pairs, members)
@@ -120,7 +125,7 @@ def g15_baseline_unweighted_pairs(spark, d):
     return op.baseline_unweighted_pairs(occurrences(spark, d))
 
 
-QUERIES = {k: f for k, f in globals().items() if k[0] == "g" and k[1].isdigit()}
+QUERIES = {k: f for k, f in globals().items() if k[0] in "gj" and k[1].isdigit()}
 
 CROSS = SPEC + f""",
 links AS (
@@ -186,6 +191,13 @@ sig AS (
       GROUP BY m.case_id, m.component, entity_type, value HAVING count(DISTINCT m.item_id) >= 2)) WHERE r <= 5 GROUP BY case_id, component)
 SELECT n.case_id, campaign_no::INTEGER AS campaign_no, size, start_time, end_time, confidence, links, signature
 FROM numbered n JOIN inside USING (case_id, component) LEFT JOIN sig USING (case_id, component)""",
+    "j7_campaign_statistics": MEMBERS + """,
+inside AS (
+  SELECT p.case_id, m.component, round(avg(confidence), 4) AS confidence FROM pairs p
+  JOIN members m ON m.item_id = p.a AND m.case_id = p.case_id JOIN members k ON k.item_id = p.b AND k.case_id = p.case_id AND k.component = m.component GROUP BY p.case_id, m.component),
+held AS (SELECT case_id, count(*) AS campaigns, max(size) AS largest, sum(size)::BIGINT AS clustered, avg(confidence) AS mean FROM numbered JOIN inside USING (case_id, component) GROUP BY case_id),
+n AS (SELECT case_id, count(DISTINCT item_id) AS items FROM occ GROUP BY case_id)
+SELECT case_id, coalesce(campaigns, 0) AS campaigns, coalesce(largest, 0) AS largest, coalesce(clustered, 0) AS clustered, items - coalesce(clustered, 0) AS unclustered, round(coalesce(mean, 0), 4) AS mean_confidence FROM n LEFT JOIN held USING (case_id)""",
     "g12_campaign_membership": MEMBERS + """,
 ends AS (SELECT case_id, a AS item_id, b AS other, confidence FROM pairs UNION ALL SELECT case_id, b, a, confidence FROM pairs)
 SELECT m.case_id, m.item_id, m.component, count(e.other) AS linked_via, max(e.confidence) AS best

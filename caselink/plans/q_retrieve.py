@@ -69,6 +69,12 @@ def k7_missing_constraints(spark, d):
     return op.missing_constraints(rows.select(F.col("doc_id").alias("query_id"), "text"), rows.select((F.col("doc_id") - 1).alias("query_id"), "text"))
 
 
+def k8_citation_scores(spark, d):
+    """Orders as queries: the suppliers of their first lines are expected, those of full lines cited."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("item_id"), "l_linenumber", "l_quantity")
+    return op.citation_scores(lines.where("l_linenumber <= 3"), lines.where("l_quantity > 20"))
+
+
 def k8_retrieval_metrics(spark, d):
     found = op.knn(*(lambda r: (r.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), r))(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("scope"), F.col("embedding").cast("array<double>").alias("v"))))
     expected = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("item_id"))
@@ -107,5 +113,9 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, score DESC, ch
     "k7_missing_constraints": f"""
 WITH v AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{CONSTRAINT}'))) AS value FROM documents)
 SELECT DISTINCT doc_id AS query_id, value FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.doc_id - 1 = v.doc_id AND w.value = v.value)""",
+    "k8_citation_scores": """WITH e AS (SELECT DISTINCT l_orderkey AS q, l_suppkey AS i FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT DISTINCT l_orderkey AS q, l_suppkey AS i FROM lineitem WHERE l_quantity > 20),
+s AS (SELECT q, (SELECT count(*) FROM e WHERE e.q = o.q) AS want, (SELECT count(*) FROM c WHERE c.q = o.q) AS got, (SELECT count(*) FROM e JOIN c ON c.q = e.q AND c.i = e.i WHERE e.q = o.q) AS tp FROM (SELECT q FROM e UNION SELECT q FROM c) o),
+r AS (SELECT q, CASE WHEN got > 0 THEN tp / got ELSE 0 END AS p, CASE WHEN want > 0 THEN tp / want ELSE 1 END AS r FROM s)
+SELECT q AS query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""",
     "k8_retrieval_metrics": f"WITH {NEAR} SELECT count(*) AS queries, 1.0::DOUBLE AS recall, round(avg(1.0::DOUBLE / n), 6) AS precision, 1.0::DOUBLE AS mrr FROM (SELECT query_id, count(*) AS n FROM top GROUP BY query_id)",
 }

@@ -199,6 +199,12 @@ def test_subwords(spark):
     assert chars == [2, 53, 54, 1, 0, 0]
 
 
+def test_citation_scores(spark):
+    make = lambda rows: spark.createDataFrame(rows, "query_id int, item_id int")
+    got = {r.query_id: (r.precision, r.recall, r.f1) for r in retrieve.citation_scores(make([(1, 1), (1, 2), (1, 2), (2, 5), (3, None), (4, None)]), make([(1, 2), (1, 3), (1, 3), (4, 9), (5, 1)])).collect()}
+    assert got == {1: (0.5, 0.5, 0.5), 2: (0, 0, 0), 3: (0, 1, 0), 4: (0, 1, 0), 5: (0, 1, 0)}
+
+
 def test_money_forms_are_one(spark):
     forms = ["Rs 2,000", "rs2000", "2000 NPR", "Rs. 2000.00", "2000 rupees"]
     assert {r.m for r in spark.createDataFrame([(f,) for f in forms], "v string").select(entities.normalize_money(F.col("v")).alias("m")).collect()} == {"NPR 2000"}
