@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from caselink.operators.urls import score_host
-from caselink.session import shared_dir
+from caselink.session import shared_dir, ship
 from caselink.streaming.versions import merge_version
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,6 +53,7 @@ def stream_first_seen(files: DataFrame, ttl: int | None = None) -> DataFrame:
     come for ``ttl`` milliseconds of processing time is forgotten; without ``ttl``, none is. The session must use the
     RocksDB state store when the stream is started, as ``run_stream`` does.
     """
+    ship(files.sparkSession)
     timed = "ProcessingTime" if ttl else "None"
     return files.groupBy("hash").transformWithStateInPandas(FirstSeen(ttl), "file_id long, hash string, original long, duplicate boolean", "Append", timed)
 
@@ -72,16 +73,19 @@ def stream_sync(chunks: DataFrame, target: str, done: Callable[[int, DataFrame],
 
 
 def run_stream(stream: DataFrame, path: str, progress: str) -> None:
-    """Run a stream over what is there now, into Parquet at ``path``."""
+    """Run a stream over what is there now, into Parquet at ``path``. Batches without data are off meanwhile: a state that
+    expires by the clock would ask for one after another, and the run would never end."""
     spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(name, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
