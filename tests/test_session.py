@@ -32,3 +32,24 @@ def test_shared_folder():
             session.shared_dir(Session(master))
     mine = Session("local[4]")
     assert session.shared_dir(mine) == session.shared_dir(mine) and session.shared_dir(mine).startswith("file:///")
+
+
+def test_partitions_and_scans_follow_the_size_of_a_table(spark, tmp_path):
+    from caselink.session import spread
+
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    path = f"{tmp_path}/t.parquet"
+    spark.range(20000).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").iterdir() if f.suffix == ".parquet")
+    try:
+        spread(spark, path)
+        assert {k: spark.conf.get(k) for k in keys} == before  # small tables leave the session as it is
+        spread(spark, path, each=4000, scan=10000)
+        made = int(spark.conf.get(keys[0]))
+        assert size / 4000 <= made <= 1.1 * size / 4000 + 1 and [int(spark.conf.get(k).rstrip("b")) for k in keys[1:]] == [10000, 8000]
+        spread(spark, path, each=8000, scan=20000)
+        assert int(spark.conf.get(keys[0])) == made and [int(spark.conf.get(k).rstrip("b")) for k in keys[1:]] == [10000, 8000]  # never fewer, never larger
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
