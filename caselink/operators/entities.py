@@ -117,16 +117,26 @@ def extract_entities(df: DataFrame, groups: tuple[str, ...] = tuple(PATTERNS), i
     return rows.groupBy(*id_cols, "entity_type", "normalized").agg(F.min("value").alias("value"))
 
 
+def _keyword_n(low: Column, variants: tuple[str, ...]) -> Column:
+    """Whole-word counts of a group's spellings; a spelling is only counted in texts that hold its letters at all."""
+    return reduce(lambda a, b: a + b, (F.when(low.contains(v), F.regexp_count(low, F.lit(rf"\b{v}\b" if v.isascii() else v))).otherwise(0) for v in variants))
+
+
+def _low(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(F.col(id_col), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+
+
 def keyword_counts(df: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
     """(id, keyword, category, n): whole-word counts of each keyword group that a text has."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = [F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"), reduce(lambda a, b: a + b, (F.regexp_count(low, F.lit(rf"\b{v}\b" if v.isascii() else v)) for v in variants)).alias("n")) for k, (c, variants) in K.KEYWORD_GROUPS.items()]
-    return df.select(F.col(id_col), F.explode(F.filter(F.array(*found), lambda s: s["n"] > 0)).alias("s")).select(id_col, "s.*")
+    found = [F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"), _keyword_n(F.col("low"), variants).alias("n")) for k, (c, variants) in K.KEYWORD_GROUPS.items()]
+    return _low(df, id_col, text).select(F.col(id_col), F.explode(F.array(*found)).alias("s")).select(id_col, "s.*").where("n > 0")
 
 
 def keyword_signals(df: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
     """Counts by category of every text."""
-    counts = keyword_counts(df, id_col, text).groupBy(id_col).agg(*(F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(c) for c in ("urgency", "financial", "credential", "threat")))
+    kinds = ("urgency", "financial", "credential", "threat")
+    each = _low(df, id_col, text).select(id_col, *(reduce(lambda a, b: a + b, (_keyword_n(F.col("low"), v) for c, v in K.KEYWORD_GROUPS.values() if c == kind)).alias(kind) for kind in kinds))
+    counts = each.groupBy(id_col).agg(*(F.sum(kind).alias(kind) for kind in kinds))
     return df.select(id_col).join(counts, id_col, "left").na.fill(0)
 
 
