@@ -424,13 +424,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("k", F.unhex(F.substring(F.sha2("text", 256), 1, 32))).withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    every = durable(own.select("doc_id", "k", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "repeats-texts")
+    every = durable(own.select("doc_id", "k", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "repeats-texts", "zstd")
     classes = every.groupBy("k").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
     places = own.select("k", "text").mapInArrow(_anchors(length), "least long, k binary, w0 int, w1 int, twice boolean, print long")
     shared = places.repartition("least").sortWithinPartitions("least", "k", "w0").mapInArrow(_shared(hot), "least long, k binary, w0 int, w1 int, hot boolean")
     by_text = shared.groupBy("k").agg(F.collect_set(F.struct("least", "w0", "w1", "hot")).alias("places")).join(classes.hint("merge"), "k")
     cut = own.select("k", "row", "text").join(by_text.select("k", "row", "places").hint("merge"), ["k", "row"]).select("k", "places", F.col("text").cast("binary").alias("text"))
-    parts = durable(cut.mapInArrow(_segments(length), "least long, k binary, w0 int, w1 int, part binary"), "repeats-parts")
+    parts = durable(cut.mapInArrow(_segments(length), "least long, k binary, w0 int, w1 int, part binary"), "repeats-parts", "zstd")
     spans = (parts.where("part is not null").repartition("least").select("k", "w0", "part").mapInArrow(_family(length), "k binary, start int, stop int")
              .union(parts.where("part is null").select("k", "w0", (F.col("w1") + length).alias("stop"))))
     single = classes.where("copies = 1").select("k", "row")
