@@ -18,6 +18,15 @@ def test_numbers_follow_the_names(spark):
     assert sorted((of[r.u], of[r.v], r.weight) for r in edges.collect()) == sorted(rows)
 
 
+def test_the_forest_is_found_by_contraction(spark):
+    before = {k: tables(spark, k) for k in ("cc", "boruvka")}
+    chain = [(f"n{i:03}", f"n{i + 1:03}", (i + 1) / 200) for i in range(150)] + [("n000", "n150", 0.001), ("n007", "n009", 0.001)]
+    got = {tuple(r) for r in graph.backbone(spark.createDataFrame(chain, "u string, v string, weight double")).collect()}
+    assert got == {x[:2] for x in chain[:150]}
+    assert tables(spark, "cc") == before["cc"]  # components of all that was chosen aren't run anew in every round
+    assert len(tables(spark, "boruvka-live") - before["boruvka"]) <= 1  # a contracted graph replaces the one before it
+
+
 def test_labels_keep_one_table(spark):
     before = tables(spark, "labels")
     rows = [("a0", "a1", 1.0), ("a0", "a2", 1.0), ("a1", "a2", 1.0), ("a0", "x", 0.1), ("a1", "x", 0.2), ("a2", "x", 0.3), ("b0", "b1", 1.0), ("b0", "x", 0.6)]
