@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +52,11 @@ FEATURES = 3 + len(LEVELS) + 2
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _strings(word: str) -> Iterator[str]:
+def _strings(word: str) -> list[str]:
     w = f"^{word}$"
-    for i in range(1, len(w)):
-        yield w[0 if i < START else i - ORDER + 1 : i + 1]
+    n = len(w)
+    near = [w[:i] for i in range(2, min(n, START) + 1)]
+    return near + [w[i - ORDER : i] for i in range(START + 1, n + 1)] if n > START else near
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +146,10 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().cumsum()
 
 
-def _packets(words: Iterable[str]) -> dict[int, list[str]]:
-    """packet: its contexts, each followed by the letters after it, in the order of the words."""
+def _packets(strings: Iterable[str]) -> dict[int, list[str]]:
+    """packet: its contexts, each followed by the letters after it, in the order of the strings, which are different."""
     after, packets = defaultdict(str), defaultdict(list)
-    for g in dict.fromkeys(g for word in words for g in _strings(word)):
+    for g in strings:
         after[g[:-1]] += g[-1]
     for ctx, letters in after.items():
         packets[zlib.crc32(ctx.encode()) % PACKETS] += ctx, letters
@@ -196,7 +198,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (_chunk, _words): its packets, _n by _n."""
     for batch in batches:
         for chunk, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            packets = _packets(_spelled(words))
+            packets = _packets(dict.fromkeys(chain.from_iterable(map(_strings, _spelled(words)))))
             packs = [zlib.compress("\n".join(x).encode(), 1) for x in packets.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(packets), pa.int32()), pa.array([chunk] * len(packs), pa.int64()), pa.array(packs, pa.binary())],
                                              names=["_n", "_chunk", "_pack"])
@@ -240,12 +242,15 @@ def _chunk_features(docs: pa.Table, strings: pa.Table) -> pa.Table:
     """Documents of a chunk with their features, by the values of its strings."""
     sent = dict(zip(strings["_n"].to_pylist(), strings["_bag"].to_pylist(), strict=True))
     words = _spelled(sent.pop(-1)) if sent else []
-    value = {}
-    for n, parts in _packets(words).items():
-        keys = (ctx + ch for ctx, letters in zip(parts[::2], parts[1::2], strict=True) for ch in letters)
-        found = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent[n]), np.uint8).reshape(2, -1).T).view("<f2")
-        value.update(zip(keys, found.ravel().astype(float).tolist(), strict=True))
-    evidence = np.array([sum(map(value.__getitem__, _strings(w))) for w in words], np.float32)
+    # strings are numbered by first occurrence, as the packer has them; sums of half-precision numbers are exact in any order
+    at: dict[str, int] = {}
+    numbers = np.fromiter((at.setdefault(g, len(at)) for w in words for g in _strings(w)), np.int32)
+    value = np.zeros(len(at))
+    for n, parts in _packets(at).items():
+        keys = [at[ctx + ch] for ctx, letters in zip(parts[::2], parts[1::2], strict=True) for ch in letters]
+        value[keys] = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent[n]), np.uint8).reshape(2, -1).T).view("<f2").ravel()
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+    evidence = np.add.reduceat(value[numbers], starts).astype(np.float32) if words else np.zeros(0, np.float32)
     rows = [features(evidence[_unpacked(bag.as_py())]) for bag in docs["_bag"]]
     kept = [c for c in docs.column_names if c not in ("_chunk", "_bag")]
     return pa.table([*(docs[c] for c in kept), *(pa.array(x, pa.float64()) for x in zip(*rows, strict=True))], names=[*kept, *FEATURE_NAMES])
