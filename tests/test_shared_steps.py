@@ -5,7 +5,8 @@ import re
 import pytest
 from conftest import DATA
 
-from caselink.operators import campaigns, graph
+from caselink.operators import campaigns, correlate, graph
+from caselink.plans import q_graph
 from caselink.plans.tables import occurrences
 
 
@@ -35,3 +36,14 @@ def test_nodes_are_counted_by_id(spark, sorted_joins):
 def test_what_meets_an_anchor_is_dealt_by_anchor_once(spark, sorted_joins):
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(campaigns.aliases(occurrences(spark, DATA))))
     assert not any("other" in x for x in dealt) and sum(x.startswith("case_id") and "entity_type" in x for x in dealt) == 1
+
+
+def test_only_shared_values_meet_their_specificities(spark):
+    occ = correlate.normalised(occurrences(spark, DATA))
+    spec = correlate.value_specificity(correlate.document_frequency(occ))
+    shared = correlate.shared_values(occ, spec, ["case_id"], "item_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "case_id" not in next(x for x in shared.split("\n") if "Join Inner" in x)  # the last join is that with the specificities
+
+
+def test_case_nodes_need_no_finished_edges(spark):
+    assert "case-graph" not in plan(q_graph.i1_case_graph_nodes(spark, DATA))
