@@ -3,10 +3,12 @@
 import os
 import time
 
+from conftest import DATA
 from pyspark.sql import functions as F
 from test_case_graph import tables
 
 from caselink.operators import case_graph as cg
+from caselink.plans import q_graph
 from caselink.session import durable, shared_dir
 
 
@@ -55,3 +57,8 @@ def test_a_summary_sends_edges_once(spark):
     got = {r.case_id: r for r in s.collect()}
     assert (got[1].nodes, got[1].edges, got[1].threat_edges, got[1].backbone_edges) == (14, 44, 1, 13) and got[1].key_connectors == ["email:0", "phone:6", "email:1", "phone:5", "email:2"]
     assert (got[2].nodes, got[2].behavioral_edges, got[2].density, got[2].key_connectors) == (2, 1, 1.0, [])
+
+
+def test_nodes_come_from_keys(spark):
+    before = written(spark, "case-")
+    assert q_graph.i1_case_graph_nodes(spark, DATA).count() and written(spark, "case-") == before
