@@ -7,7 +7,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 from test_case_graph import tables
 
-from caselink.operators import case_graph as cg
+from caselink.operators import case_graph as cg, correlate
 from caselink.plans import q_graph
 from caselink.session import durable, shared_dir
 
@@ -62,3 +62,11 @@ def test_a_summary_sends_edges_once(spark):
 def test_nodes_come_from_keys(spark):
     before = written(spark, "case-")
     assert q_graph.i1_case_graph_nodes(spark, DATA).count() and written(spark, "case-") == before
+
+
+def test_rows_of_cases_are_kept_by_block_alone(spark):
+    occ = spark.createDataFrame([(c, c * 10 + i, "phones", f"98{(c + i) % 9}") for c in range(40) for i in range(3)], "case_id long, item_id long, entity_type string, value string")
+    spec = correlate.value_specificity(correlate.document_frequency(occ))
+    before = written(spark, "cross-")
+    links = correlate.cross_case_links(occ, spec, block=10)
+    assert {x.rsplit("-", 1)[0] for x in written(spark, "cross-") - before} == {"cross-blocks"} and links.count()
