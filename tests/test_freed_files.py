@@ -3,11 +3,12 @@
 import os
 import time
 
+import numpy as np
 from conftest import DATA
 from pyspark.sql import functions as F
 from test_case_graph import tables
 
-from caselink.operators import case_graph as cg, correlate
+from caselink.operators import case_graph as cg, correlate, graph
 from caselink.plans import q_graph
 from caselink.session import durable, shared_dir
 
@@ -64,6 +65,34 @@ def test_nodes_come_from_keys(spark):
     assert q_graph.i1_case_graph_nodes(spark, DATA).count() and written(spark, "case-") == before
 
 
+def test_equal_ranks_need_no_links(spark):
+    before = written(spark, "pagerank")
+    rows = [(f"c{i % 7}", f"i{i:03}", 0.5 + (i % 3) / 10) for i in range(200)] + [(f"d{i % 11}", f"i{i:03}", 0.9) for i in range(200)]
+    simple = spark.createDataFrame(rows, "u string, v string, weight double")
+    names = sorted({x for r in rows for x in r[:2]})
+    at, w = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
+    for u, v, x in rows:
+        w[at[u], at[v]] = w[at[v], at[u]] = x
+    share, x = w / w.sum(1, keepdims=True), np.full(len(names), 1 / len(names))
+    once = 0.15 / len(names) + 0.85 * x @ share
+    found = {r.node: r.rank for r in graph.pagerank(simple, tolerance=1.0).collect()}
+    assert np.allclose([found[n] for n in names], once, atol=1e-12)
+    assert [t.rsplit("-", 1)[0] for t in written(spark, "pagerank") - before] == ["pagerank"]  # one round: links aren't written
+    before = written(spark, "pagerank")
+    for _ in range(300):
+        x = 0.15 / len(names) + 0.85 * x @ share
+    found = {r.node: r.rank for r in graph.pagerank(simple, tolerance=1e-9).collect()}
+    assert np.allclose([found[n] for n in names], x, atol=1e-6)
+    assert [t.rsplit("-", 1)[0] for t in written(spark, "pagerank") - before] == ["pagerank"]  # the last round's table alone stays
+
+
+def test_degrees_are_counted_once(spark):
+    before = written(spark, "degrees")
+    simple = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0)], "u string, v string, weight double")
+    got = {r.node: (r.degree, r.importance) for r in graph.node_importance(simple, graph.pagerank(simple)).collect()}
+    assert got["a"] == (2, 1.0) and got["b"][0] == 1 and len(written(spark, "degrees") - before) == 1
+
+
 def test_rows_of_cases_are_kept_by_block_alone(spark):
     occ = spark.createDataFrame([(c, c * 10 + i, "phones", f"98{(c + i) % 9}") for c in range(40) for i in range(3)], "case_id long, item_id long, entity_type string, value string")
     spec = correlate.value_specificity(correlate.document_frequency(occ))
