@@ -93,6 +93,15 @@ def test_degrees_are_counted_once(spark):
     assert got["a"] == (2, 1.0) and got["b"][0] == 1 and len(written(spark, "degrees") - before) == 1
 
 
+def test_needless_edges_go_before_the_first_round(spark):
+    rows = [(i * 37 % 60, 100 + i % 40, (i % 5 + 1) / 5) for i in range(600)]
+    edges = spark.createDataFrame(rows, "u long, v long, weight double").dropDuplicates(["u", "v"]).localCheckpoint()
+    left = graph.locally_needed(edges.union(edges.select("u", F.col("u").alias("v"), "weight").limit(5))).localCheckpoint()
+    assert left.where("u = v").isEmpty() and left.exceptAll(edges).isEmpty() and left.count() < edges.count()
+    forest = lambda e: {(r.u, r.v) for r in graph.scoped_backbone(e.select(F.lit(0).alias("s"), "u", "v", "weight"), "s").collect()}
+    assert forest(left) == forest(edges) and len(forest(edges)) == 80
+
+
 def test_rows_of_cases_are_kept_by_block_alone(spark):
     occ = spark.createDataFrame([(c, c * 10 + i, "phones", f"98{(c + i) % 9}") for c in range(40) for i in range(3)], "case_id long, item_id long, entity_type string, value string")
     spec = correlate.value_specificity(correlate.document_frequency(occ))
